@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,21 +48,75 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes); forgets everything once it holds ``limit`` words."""
+SPACE = bytes([0x20, *range(0x09, 0x0E)])
+#: Bytes that end a word where words are letters and digits; UTF-8 bytes above 0x7F belong to words.
+NOT_ALNUM = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+_BASE, _SPAN = 0x9E3779B97F4A7C15 | 1, 1 << 20
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_POWERS: list[np.ndarray] = []
 
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, _SPAN) - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 2**64))]
+    return _POWERS
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def by_bytes(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (column number ``text``) hold about ``most`` bytes; a longer text stands alone."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+    part = np.cumsum(sizes) // most
+    at = 0
+    for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]:
+        if end > at:
+            yield batch.slice(at, end - at)
+        at = end
+
+
+class Words:
+    """The words of a run of texts (Arrow strings; null: none), as 64-bit hashes.
+
+    hashes: of all words in order. counts: words of each text. starts, ends: bytes of each word in ``data``.
+    """
+
+    def __init__(self, texts: pa.Array, breaks: bytes = SPACE, lower: bool = False):
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        held = texts.buffers()[2] if len(texts) else None
+        self.data = data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        inside = np.ones(256, bool)
+        inside[list(breaks)] = False
+        flags = np.zeros(len(data) + 2, bool)
+        flags[1:-1] = word = inside[data]
+        opens, closes = word & ~flags[:-2], word & ~flags[2:]
+        edges = offsets[(offsets > 0) & (offsets < len(data))]
+        opens[edges] = word[edges]
+        closes[edges - 1] = word[edges - 1]
+        self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        self.counts = np.diff(np.searchsorted(self.starts, offsets))
+        values = _BYTE
+        if lower:
+            values = _BYTE.copy()
+            values[0x41:0x5B] = _BYTE[0x61:0x7B]
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.starts):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + _SPAN, "right")))
+            low, high = int(self.starts[at]), int(self.ends[to - 1])
+            power, inverse = _powers(high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(values[data[low:high]] * power[: high - low], out=sums[1:])
+            first, last = self.starts[at:to] - low, self.ends[at:to] - low
+            self.hashes[at:to] = (sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)
+            at = to
+        self.hashes = mix(self.hashes)
+
+    def each(self) -> Iterator[tuple[int, int]]:
+        """First and end word of each text."""
+        ends = np.cumsum(self.counts)
+        return zip((ends - self.counts).tolist(), ends.tolist(), strict=True)
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:

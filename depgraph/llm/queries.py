@@ -30,6 +30,12 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,6 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op9_jaccard_join, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
