@@ -30,6 +30,15 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.decontaminate import find_hits, judged
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = judged(find_hits(docs, _table(spark, sf_dir, "benchmark")))
+    items = F.array_sort(F.col("contamination.items").cast("array<string>"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depgraph.llm.jaccard_join import near_duplicates
 
@@ -56,6 +65,6 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op9_jaccard_join, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op7_decontamination, op9_jaccard_join, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
