@@ -30,6 +30,13 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.substring_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depgraph.llm.decontaminate import find_hits, judged
 
@@ -65,6 +72,6 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op7_decontamination, op9_jaccard_join, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op4_substring_dedup, op7_decontamination, op9_jaccard_join, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
