@@ -37,6 +37,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.common import scratch_path
+    from depgraph.llm.shards import Store
+
+    store = Store(spark, scratch_path(spark, "store"))
+    store.append(_table(spark, sf_dir, "documents"), arrival="source")
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "lang", "source", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depgraph.llm.decontaminate import find_hits, judged
 
@@ -72,6 +91,16 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op4_substring_dedup, op7_decontamination, op9_jaccard_join, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op4_substring_dedup, op5_line_dedup, op6_sharding, op7_decontamination, op9_jaccard_join, op10_byte_bpe)}
+
+def _oracles() -> dict[str, str]:
+    from depgraph.llm.line_dedup import dedup_lines_sql
+
+    return {
+        "op5_line_dedup": dedup_lines_sql(),
+        "op6_sharding": """SELECT doc_id, lang, source, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+            sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
+    }
+
 
-ORACLES: dict[str, str] = {}
+ORACLES = _oracles()
