@@ -17,7 +17,9 @@ by itself, so that planes that hardly change cost nearly nothing.
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,7 +46,8 @@ def pack_block(ids: np.ndarray, bits: bool = False) -> bytes:
         planes = [np.packbits(flags[:, i]).tobytes() for i in range(32)]
     else:
         planes = [raw[:, i].tobytes() for i in range(4)]
-    small = [zstandard.ZstdCompressor(level=3).compress(p) for p in planes]
+    squeeze = zstandard.ZstdCompressor(level=3)
+    small = [squeeze.compress(p) for p in planes]
     return _HEAD.pack(MAGIC, len(ids), len(small), bits) + struct.pack(f"<{len(small)}I", *map(len, small)) + b"".join(small)
 
 
@@ -68,17 +71,60 @@ def unpack_blocks(payload: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
+_LETTER, _DIGIT, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+#: Letters, a digit, or marks: in texts of Latin-1 characters, what the tokenizer's own pattern finds but for contractions.
+_LATIN = re.compile(f"[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+
+
+class Ids(Pieces):
+    """Ids of pieces, as little-endian unsigned 32-bit integers, for a tokenizer that lower-cases and drops white space.
+
+    Texts of Latin-1 characters are cut into words and marks in lower case, so that few distinct ones are encoded;
+    others, and those with an apostrophe or a special token, into what stands between spaces or line ends.
+    """
+
+    def __init__(self, model, limit: int = 1_200_000):
+        super().__init__(self._ids, limit, any_space=True)
+        self.model = model
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> list:
+        if "'" not in text and "<|" not in text and (text.isascii() or max(text) < "\u0100"):
+            return _LATIN.findall(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def of(self, texts: list[str]) -> list[list]:
+        flat, ends = [], [0]
+        for x in texts:
+            flat += self._cut(x)
+            ends.append(len(flat))
+        found = list(map(self.get, flat))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = list({flat[i] for i in missing})
+        if len(self) + len(new) > self.limit:
+            self.clear()
+        for i in range(0, len(new), 4096):
+            self.update(zip(new[i : i + 4096], self._ids(new[i : i + 4096]), strict=True))
+        for i in missing:
+            found[i] = self[flat[i]]
+        return [found[a:b] for a, b in zip(ends, ends[1:])]
+
+
 @cache
 def _ids(path: str) -> Pieces:
-    """The tokenizer drops white space, so pieces are what stands between spaces."""
+    """One for each worker process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    drops = model.encode(" a b ", add_special_tokens=False).ids == model.encode("a", add_special_tokens=False).ids + model.encode("b", add_special_tokens=False).ids
-    return Pieces(lambda xs: [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(xs, add_special_tokens=False)], any_space=drops)
+    one = lambda x: model.encode(x, add_special_tokens=False).ids
+    if one(" A\n B, 12'") == [i for x in "ab,12'" for i in one(x)]:
+        return Ids(model)
+    return Pieces(lambda xs: [array("I", x.ids).tobytes() for x in model.encode_batch_fast(xs, add_special_tokens=False)])
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", bits: bool = False) -> None:
