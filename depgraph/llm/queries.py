@@ -65,6 +65,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.quality import classify
+
+    found = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+    return found.select("doc_id", "quality_score", "toxic_score", "keep")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depgraph.llm.jaccard_join import near_duplicates
 
@@ -91,7 +98,7 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op4_substring_dedup, op5_line_dedup, op6_sharding, op7_decontamination, op9_jaccard_join, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op4_substring_dedup, op5_line_dedup, op6_sharding, op7_decontamination, op8_quality, op9_jaccard_join, op10_byte_bpe)}
 
 def _oracles() -> dict[str, str]:
     from depgraph.llm.line_dedup import dedup_lines_sql
