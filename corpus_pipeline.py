@@ -1,8 +1,42 @@
-"""The corpus pipeline: each stage works on what the stage before it kept."""
+"""The corpus pipeline: each stage works on all that the stage before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the quality classifier doesn't reject."""
+    from depgraph.llm.quality import classify
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(docs, labels, host=F.col("source"), path=F.col("lang")).where("keep").select(COLUMNS)
+
+
+def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: texts without later copies of repeated runs of lines; n_chars counts what is left."""
+    from depgraph.llm.line_dedup import dedup_lines
+
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of each group of near duplicates the document with the smallest doc_id."""
+    from depgraph.llm.jaccard_join import near_duplicates
+
+    first = near_duplicates(docs).where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(first, F.expr("doc_id <=> kept_id"), "left_semi").select(COLUMNS)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that the benchmark's windows don't cover beyond the limit; what is hit in others is cut out."""
+    from depgraph.llm.decontaminate import decontaminate
+
+    cut = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,13 +46,20 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return byte_bpe_digests(docs)
 
 
-STAGES = [("encode", encode_texts)]
+STAGES = [
+    ("quality", keep_good),
+    ("lines", delete_lines),
+    ("near_copies", keep_one_of_near_copies),
+    ("benchmark", keep_uncontaminated),
+    ("encode", encode_texts),
+]
 
 #: SQL can't express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each but the last written as Parquet in the shared folder and read again."""
     from depgraph.llm.common import written
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

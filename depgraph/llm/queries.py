@@ -19,6 +19,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,7 +104,7 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_file, op4_substring_dedup, op5_line_dedup, op6_sharding, op7_decontamination, op8_quality, op9_jaccard_join, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_token_file, op4_substring_dedup, op5_line_dedup, op6_sharding, op7_decontamination, op8_quality, op9_jaccard_join, op10_byte_bpe)}
 
 def _oracles() -> dict[str, str]:
     from depgraph.llm.line_dedup import dedup_lines_sql
