@@ -71,12 +71,10 @@ class Store:
         if not files:
             return []
         counted = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/data/{name}").groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
-        rows = {f.rsplit("/", 1)[1]: n for f, n in counted}
+        rows = {f.rsplit(f"/data/{name}/", 1)[1]: n for f, n in counted}
         base = there.toUri().getPath()
-        return [
-            {"file": name + s.getPath().toUri().getPath()[len(base):], "bytes": s.getLen(), "rows": rows.get(s.getPath().getName(), 0), "tier": tier(s.getLen(), smallest, fanout)}
-            for s in sorted(files, key=lambda s: s.getPath().getName())
-        ]
+        found = {s.getPath().toUri().getPath()[len(base) + 1 :]: s.getLen() for s in files}
+        return [{"file": f"{name}/{f}", "bytes": n, "rows": rows.get(f, 0), "tier": tier(n, smallest, fanout)} for f, n in sorted(found.items())]
 
     def append(self, rows: DataFrame, arrival: str, smallest: int = 1 << 20, fanout: int = 4) -> int:
         """Add rows as small shards, one or more for each value of the column ``arrival`` and task; returns the version.
