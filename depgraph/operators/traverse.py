@@ -65,7 +65,8 @@ def tree(graph: Graph, root: str, direction: str = "uses", max_rounds: int = 10_
 
     A node is expanded where it occurs first in depth-first order, which is its least path, shorter prefixes first.
     Least paths are found by relaxing links level by level; each expanded node then lists all its children, with a
-    marker where one was expanded before. Below a cycle paths don't settle: that is an error, see ``tree_of_any``.
+    marker where one was expanded before. A child that is its own ancestor, or paths that don't settle, show a cycle
+    below the root: that is an error, see ``tree_of_any``.
     """
     steps, inside = _below(graph, root, direction)
     kinds = graph.nodes.select("id", "kind")
@@ -85,6 +86,9 @@ def tree(graph: Graph, root: str, direction: str = "uses", max_rounds: int = 10_
             best = stored(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "paths")
     first = best.select(F.col("id").alias("first_id"), F.col("path").alias("first_path"))
     below = best.join(steps, F.col("id") == F.col("src")).select(F.concat("path", F.array(F.struct("at", "last"))).alias("path"), F.col("dst").alias("id"), F.col("src").alias("parent"))
+    above = below.join(best.select("id", F.col("path").alias("own")), "id").where("size(own) < size(path) AND slice(path, 1, size(own)) = own")
+    if has_rows(above):
+        raise ValueError("there is a cycle below the root")
     every = below.unionByName(best.where(F.col("id") == root).select("path", "id", F.lit(None).cast("string").alias("parent")))
     named = every.join(kinds, "id").join(first, F.col("id") == F.col("first_id"), "left")
     marker = F.when(F.size("path") == 0, F.lit(None).cast("string")).when(F.col("kind") == "builtin", "builtin").when(F.col("kind") == "unknown", "unresolved").when(F.col("path") != F.col("first_path"), "*")
