@@ -16,8 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from depgraph.llm.common import by_bytes
 from depgraph.llm.pieces import Pieces, encoded
 
+#: Bytes of texts, or of the ids of texts, that a worker turns into an Arrow array at once.
+SLICE = 2 << 20
+
 #: Byte b is shown as the character 0x100 + b: one letter each, none of them white space.
 _SHOWN = {b: 0x100 + b for b in range(256)}
 
@@ -72,7 +76,7 @@ class ByteBpe:
         #: Tokens that no chain of merges makes; as whole pre-tokens they stand all the same.
         names = [shown(t) for t in self.tokens]
         self.whole = {s: [i] for i, (s, ids) in enumerate(zip(names, self.model.encode(names, num_threads=1), strict=True)) if ids != [i]}
-        self.pieces = Pieces(self._encode)
+        self.pieces = Pieces(self._encode, limit=300_000)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""
@@ -96,6 +100,20 @@ def _table(path: str) -> list[bytes]:
     return read_ranks(path)
 
 
+def _id_lists(coder: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    found = list(coder.encode(x.as_py() for x in texts))
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
+def _byte_strings(table: list[bytes], lists: pa.ListArray) -> pa.Array:
+    return pa.array([None if (x := one.as_py()) is None else b"".join([table[i] for i in x]) for one in lists], pa.binary())
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    return (some.column(0) for some in by_bytes(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE))
+
+
 def encode(text, ranks: str, pattern: str):
     """Column array<int>: the ids of the whole text, each match of ``pattern`` encoded by itself, without special
     tokens. Null and empty texts give an empty array."""
@@ -104,9 +122,8 @@ def encode(text, ranks: str, pattern: str):
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(ranks, pattern)
         for texts in batches:
-            found = list(coder.encode(x.as_py() for x in texts))
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            for some in _slices(texts):
+                yield _id_lists(coder, some)
 
     return ids(text)
 
@@ -118,6 +135,23 @@ def decode(ids, ranks: str):
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = _table(ranks)
         for lists in batches:
-            yield pa.array([None if (x := one.as_py()) is None else b"".join([table[i] for i in x]) for one in lists], pa.binary())
+            part = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)) // (SLICE // 4)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lists)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield _byte_strings(table, lists.slice(a, b - a))
 
     return text(ids)
+
+
+def encode_decode(text, ranks: str, pattern: str):
+    """Column struct<ids: array<int>, decoded: binary>: ``encode`` and then ``decode`` of its ids, in one worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(ranks, pattern)
+        for texts in batches:
+            for some in _slices(texts):
+                ids = _id_lists(coder, some)
+                yield pa.StructArray.from_arrays([ids, _byte_strings(coder.tokens, ids)], names=["ids", "decoded"])
+
+    return both(text)

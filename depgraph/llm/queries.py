@@ -91,16 +91,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    from depgraph.llm.byte_bpe import decode, encode
+    from depgraph.llm.byte_bpe import encode_decode
 
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = docs.select("doc_id", encode(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
-    both = coded.withColumn("decoded", decode(F.col("ids"), ranks))
-    return both.select(
+    column = encode_decode(F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return docs.select("doc_id", column.alias("coded")).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("coded.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
 
 
