@@ -339,3 +339,52 @@ def reverse_edges_inverted(spark, sf_dir):
     kinds = graph.nodes.select("id", "kind")
     ends = graph.edges.where("reverse").join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("src_kind")), "src").join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")), "dst")
     return ends.select("src", "kind", "dst", G.forward_kind(F.col("kind"), F.col("src_kind"), F.col("dst_kind")).alias("forward_kind"))
+
+
+@_query()
+def synthetic_graph_stats(spark, sf_dir):
+    """Kinds of the edges of graphs grown from each supplier's key."""
+    from depgraph.sources.synth import synthetic_graph
+
+    graph = synthetic_graph(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed")), 2)
+    return graph.edges.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_sources"))
+
+
+def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: PHP text for each customer, supplier, part and nation, made by Spark from the tables."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    used = lines.groupBy("l_orderkey").agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("        new \\Catalog\\Part"), "l_partkey", F.lit("(); // new Nope()\n")))), "").alias("news"),
+        F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("        if ($x instanceof S\\Supplier"), "l_suppkey", F.lit(") { $y = 'new Nope()'; }\n")))), "").alias("tests"),
+    )
+    method = F.concat(F.lit("    public function order"), "o_orderkey", F.lit("($x) {\n"), F.coalesce("news", F.lit("")), F.coalesce("tests", F.lit("")), F.lit("    }\n"))
+    methods = orders.join(used, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(method)), "").alias("methods"))
+    customers = table(spark, sf_dir, "customer").join(methods, F.col("o_custkey") == F.col("c_custkey"), "left")
+    text = lambda ns, *parts: F.concat(F.lit(f"<?php\nnamespace {ns};\nuse Catalog as S;\n"), *(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    made = [
+        customers.select(F.concat(F.lit("Customer"), "c_custkey"), text("Sales", "class Customer", F.col("c_custkey"), " extends \\Geo\\Nation", F.col("c_nationkey"), " {\n", F.coalesce("methods", F.lit("")), "}\n")),
+        table(spark, sf_dir, "supplier").select(F.concat(F.lit("Supplier"), "s_suppkey"), text("Catalog", "final class Supplier", F.col("s_suppkey"), " extends \\Geo\\Nation", F.col("s_nationkey"), " {}\n")),
+        table(spark, sf_dir, "part").select(F.concat(F.lit("Part"), "p_partkey"), text("Catalog", "class Part", F.col("p_partkey"), " {\n    private ?int $size = ", F.col("p_size"), ";\n}\n")),
+        table(spark, sf_dir, "nation").select(F.concat(F.lit("Nation"), "n_nationkey"), text("Geo", "class Nation", F.col("n_nationkey"), " implements Region", F.col("n_regionkey"), " {}\n")),
+        table(spark, sf_dir, "region").select(F.concat(F.lit("Region"), "r_regionkey"), text("Geo", "interface Region", F.col("r_regionkey"), " {}\n")),
+    ]
+    files = None
+    for one in made:
+        one = one.toDF("path", "content")
+        files = one if files is None else files.unionByName(one)
+    return files
+
+
+@_query("SELECT src, kind, dst FROM forward WHERE kind IN ('declaration-extends', 'declaration-implements', 'declaration-method', 'declaration-property', 'instantiation', 'instanceof')")
+def php_extract_edges(spark, sf_dir):
+    """Extraction from PHP text of the tables gives the edges that the tables give directly."""
+    from depgraph.sources.php import items
+
+    return build.first_edges(items(php_files(spark, sf_dir))[1]).select("src", "kind", "dst")
+
+
+@_query("SELECT id, kind FROM declared WHERE kind <> 'enum'")
+def php_extract_nodes(spark, sf_dir):
+    from depgraph.sources.php import items
+
+    return build.first_nodes(items(php_files(spark, sf_dir))[0]).select("id", "kind")
