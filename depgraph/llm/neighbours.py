@@ -129,26 +129,31 @@ def _longer(x: np.ndarray, longest: float | None) -> np.ndarray:
     return np.concatenate((x, more[:, None]), axis=1)
 
 
+_SCORED = pa.schema([("query", pa.int64()), ("vector", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
+
+
 def _scored(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: vectors of one block of a list. right: queries that visit it. The k best of the block for each query."""
-        names = {"query": [], "vector": [], "score": []}
+        """left: vectors of one block of a list. right: queries that visit it, with the score to reach. The k best of
+        the block for each query."""
+        names = {"query": [], "vector": [], "first": [], "score": []}
         if left.num_rows and right.num_rows:
             matrix = lambda t: np.asarray(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
             x, keys, first = matrix(left), left.column("key").to_numpy(), left.column("first").to_numpy()
-            q, queries = matrix(right), right.column("key").to_numpy()
+            q, queries, bar = matrix(right), right.column("key").to_numpy(), right.column("bar").to_numpy()
             for i in range(0, len(q), 1024):
                 scores = q[i : i + 1024] @ x.T
                 at = max(0, len(x) - k)
-                row, column = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at : at + 1])
+                least = np.maximum(np.partition(scores, at, axis=1)[:, at], bar[i : i + 1024] - 1e-12)
+                row, column = np.nonzero(scores >= least[:, None])
                 order = np.lexsort((first[column], -scores[row, column], row))
                 row, column = row[order], column[order]
                 best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                names["query"].append(queries[i : i + 1024][row[best]])
-                names["vector"].append(keys[column[best]])
-                names["score"].append(scores[row[best], column[best]])
+                row, column = row[best], column[best]
+                for name, values in (("query", queries[i : i + 1024][row]), ("vector", keys[column]), ("first", first[column]), ("score", scores[row, column])):
+                    names[name].append(values)
         flat = {n: np.concatenate(v) if v else np.empty(0, np.float64 if n == "score" else np.int64) for n, v in names.items()}
-        return pa.table(flat, pa.schema([("query", pa.int64()), ("vector", pa.int64()), ("score", pa.float64())]))
+        return pa.table(flat, _SCORED)
 
     return run
 
@@ -179,19 +184,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, near: float = 1.1, bounda
     model = Centroids(_longer(sample, longest), min(MAX_LISTS, max(1, total // LIST)))
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
     placed = written(distinct.select("key", "first", "embedding", F.explode(_lists(sent, longest, boundary, COPIES, False)("embedding")).alias("list")), "lists")
-    asking = rows.where("asks").dropDuplicates(["key"]).select("key", "embedding", F.explode(_lists(sent, longest, near, BEAM, True)("embedding")).alias("list"))
+    asking = rows.where("asks").dropDuplicates(["key"]).select("key", "embedding", F.posexplode(_lists(sent, longest, near, BEAM, True)("embedding")).alias("at", "list"))
     asking = written(asking, "visits")
     if not has_rows(asking):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # long lists, and lists that many queries visit, are scored in blocks; there are at most MAX_LISTS counts
-    blocks = lambda df, name: F.broadcast(df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name)))
+    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
     sizes = written(blocks(placed, "across").join(blocks(asking, "down"), "list"), "blocks")
     left = placed.join(F.broadcast(sizes), "list").withColumn("a", F.expr("pmod(key, across)")).withColumn("d", F.explode(F.expr("sequence(0L, down - 1)"))).select("list", "a", "d", "key", "first", "embedding")
-    right = asking.join(F.broadcast(sizes.select(*(F.col(c).alias(c) for c in sizes.columns))), "list").withColumn("d", F.expr("pmod(key, down)")).withColumn("a", F.explode(F.expr("sequence(0L, across - 1)"))).select("list", "a", "d", "key", "embedding")
-    scored = left.groupBy("list", "a", "d").cogroup(right.groupBy("list", "a", "d")).applyInArrow(_scored(k + 1), "query long, vector long, score double")
-    best = written(scored, "scored").groupBy("query", "vector").agg(F.max("score").alias("score"))
-    named = best.join(distinct.select(F.col("key").alias("vector"), "ids", "first"), "vector")
-    top = named.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first"))).where(F.col("r") <= k + 1)
+
+    def scored(visits: DataFrame, name: str) -> DataFrame:
+        own = F.broadcast(sizes.select(*(F.col(c).alias(c) for c in sizes.columns)))
+        right = visits.join(own, "list").withColumn("d", F.expr("pmod(key, down)")).withColumn("a", F.explode(F.expr("sequence(0L, across - 1)"))).select("list", "a", "d", "key", "embedding", "bar")
+        both = left.groupBy("list", "a", "d").cogroup(right.groupBy("list", "a", "d")).applyInArrow(_scored(k + 1), "query long, vector long, first long, score double")
+        return written(both, name)
+
+    def best(of: DataFrame) -> DataFrame:
+        """The k + 1 best vectors of each query; a vector of several lists counts once."""
+        once = of.groupBy("query", "vector").agg(F.max("score").alias("score"), F.min("first").alias("first"))
+        return once.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first"))).where(F.col("r") <= k + 1)
+
+    # the nearest lists give each query a score that what the others send must reach
+    close = scored(asking.where(F.col("at") < LEAST_VISITS).withColumn("bar", F.lit(float("-inf"))), "scored")
+    bars = best(close).where(F.col("r") == k + 1).select(F.col("query").alias("key"), F.col("score").alias("bar"))
+    further = asking.where(F.col("at") >= LEAST_VISITS).join(bars, "key", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    top = best(close.unionByName(scored(further, "scored"))).select("query", "vector", "score")
+    top = top.join(distinct.select(F.col("key").alias("vector"), "ids"), "vector")
     top = top.select("query", "score", F.explode("ids").alias("vec_id"))
     lists = top.groupBy("query").agg(F.expr(f"slice(array_sort(collect_list(struct(-score AS far, vec_id, score))), 1, {k + 1})").alias("found"))
     lists = written(lists, "found")
