@@ -110,6 +110,12 @@ def _byte_strings(table: list[bytes], lists: pa.ListArray) -> pa.Array:
     return pa.array([None if (x := one.as_py()) is None else b"".join([table[i] for i in x]) for one in lists], pa.binary())
 
 
+def _released(coder: ByteBpe) -> None:
+    """At a task's end: the worker may serve other operators next, so it doesn't keep the pieces it has met."""
+    coder.pieces.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
     return (some.column(0) for some in by_bytes(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE))
 
@@ -124,6 +130,7 @@ def encode(text, ranks: str, pattern: str):
         for texts in batches:
             for some in _slices(texts):
                 yield _id_lists(coder, some)
+        _released(coder)
 
     return ids(text)
 
@@ -153,5 +160,6 @@ def encode_decode(text, ranks: str, pattern: str):
             for some in _slices(texts):
                 ids = _id_lists(coder, some)
                 yield pa.StructArray.from_arrays([ids, _byte_strings(coder.tokens, ids)], names=["ids", "decoded"])
+        _released(coder)
 
     return both(text)

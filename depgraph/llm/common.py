@@ -35,6 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Send texts to Python workers in Arrow batches of at most so many rows, unless the session asks for fewer.
+
+    Spark's own 10,000 rows of long texts take much of a worker's memory, and each task holds several batches.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
@@ -63,7 +73,7 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def by_bytes(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts (column number ``text``) hold about ``most`` bytes; a longer text stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
     part = np.cumsum(sizes) // most

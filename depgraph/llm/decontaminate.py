@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import NOT_ALNUM, Words, by_bytes
+from depgraph.llm.common import NOT_ALNUM, Words, by_bytes, small_batches
 
 #: Words of items in one automaton: about 200 bytes each on an executor.
 AUTOMATON_WORDS = 400_000
@@ -202,6 +202,7 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text"
     contamination is replaced.
     """
     spark, found = docs.sparkSession, []
+    small_batches(spark)
     for automaton in automata(items, n, item_id, item_text):
         found.append(hit_spans(F.col(text), automaton, spark))
     if not found:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import SPACE, Words, by_bytes, has_rows, mix, ranges, windows, written
+from depgraph.llm.common import SPACE, Words, by_bytes, has_rows, mix, ranges, small_batches, windows, written
 from depgraph.llm.components import components
 
 #: Hash bits that go into the counts and overlaps, and n-grams that one range counts at once.
@@ -102,7 +102,7 @@ def _dealt(n: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, 0):
+            for batch in by_bytes(whole, 0, 4 << 20):
                 sets = {fingerprint(s): s >> np.uint64(64 - BITS) for s in ngram_sets(batch.column(0), n) if len(s)}
                 if sets:
                     keys = np.concatenate(list(sets.values()))
@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Other columns are not looked at. Overlaps compare 48-bit hashes of n-grams that at least two sets share.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
     sets = written(docs.mapInArrow(_identified(n), "doc_id long, set_id long, n_shingles long"), "sets")
     known = written(candidates(docs, sets, n, num, den), "candidates")
     postings = written(known.select("set_id", "size", "uniq", F.posexplode("prefix").alias("at", "gram")).select("gram", "set_id", "size", (F.col("uniq") + F.col("at")).alias("at"), (F.col("uniq") / F.col("size")).alias("apart")), "postings")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import NOT_ALNUM, SPACE, Words, by_bytes, written
+from depgraph.llm.common import NOT_ALNUM, SPACE, Words, by_bytes, small_batches, written
 
 #: Bounds, whatever the input's size: labelled documents to fit on, words of a lexicon, rows of sites that are broadcast.
 FIT_DOCUMENTS, LEXICON, BROADCAST_SITES = 20_000, 2_000, 100_000
@@ -191,6 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc
     Labels other than 0 and 1 are left out; several labels of one document all count. Without labels of both classes
     a target's posterior is that of the model's zero weights, 0.5, and for toxic nothing is dropped.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, [good, toxic], doc_id, text, most)
     known = [bool(np.any(w)) for w in model.weights]
     scored = docs.withColumns({"_e": model.evidence(F.col(text)), "_host": host, "_path": path})

@@ -92,7 +92,9 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     from depgraph.llm.byte_bpe import encode_decode
+    from depgraph.llm.common import small_batches
 
+    small_batches(docs.sparkSession)
     column = encode_decode(F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return docs.select("doc_id", column.alias("coded")).select(
         "doc_id",

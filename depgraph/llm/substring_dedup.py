@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import SPACE, Words, by_bytes, mix, windows, written
+from depgraph.llm.common import SPACE, Words, by_bytes, mix, small_batches, windows, written
 
 #: Words of an anchor.
 ANCHOR = 12
@@ -205,6 +205,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", te
     if length <= ANCHOR:
         raise ValueError(f"windows have more than {ANCHOR} words")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row_id"))
+    small_batches(docs.sparkSession)
     seen = written(docs.select("row_id", "text").mapInArrow(_occurrences(length), OCCURRENCES), "anchors")
     always = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), True).otherwise(False)
     counted = seen.groupBy("gram").agg(F.sum("n").alias("n"), always("after").alias("goes_on"), always("before").alias("comes_by")).where("n > 1").drop("n")

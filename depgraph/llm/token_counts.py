@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depgraph.llm.common import small_batches
 from depgraph.llm.pieces import Pieces, encoded
 
 
@@ -54,6 +55,7 @@ def token_count(text, tokenizer: str):
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 512) -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens); columns so named are replaced."""
+    small_batches(docs.sparkSession)
     counted = docs.withColumns(
         {"n_bytes": F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")), "n_tokens": token_count(F.col(text), tokenizer)}
     )

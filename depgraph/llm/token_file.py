@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depgraph.llm.common import small_batches
 from depgraph.llm.pieces import Pieces, encoded
 
 BLOCK = 1 << 15
@@ -160,6 +161,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int | N
             yield close()
 
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     dealt.mapInArrow(chunks, CHUNK_SCHEMA).write.parquet(f"{path}/chunks")
