@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -76,14 +77,16 @@ class ByteBpe:
         #: Tokens that no chain of merges makes; as whole pre-tokens they stand all the same.
         names = [shown(t) for t in self.tokens]
         self.whole = {s: [i] for i, (s, ids) in enumerate(zip(names, self.model.encode(names, num_threads=1), strict=True)) if ids != [i]}
-        self.pieces = Pieces(self._encode, limit=300_000)
+        self.pieces = Pieces(self._encode, limit=400_000)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""
         cut = [self.split(p) for p in pieces]
-        flat = [shown(t.encode()) for c in cut for t in c]
-        ids = iter([self.whole.get(s, x) for s, x in zip(flat, self.model.encode(flat, num_threads=1), strict=True)] if flat else [])
-        return [np.array([i for _ in c for i in next(ids)], "<u4").tobytes() for c in cut]
+        tokens = list(dict.fromkeys(t for c in cut for t in c))
+        names = [shown(t.encode()) for t in tokens]
+        ids = self.model.encode(names, num_threads=1) if names else []
+        known = {t: array("I", self.whole.get(s, x)).tobytes() for t, s, x in zip(tokens, names, ids, strict=True)}
+        return [b"".join([known[t] for t in c]) for c in cut]
 
     def encode(self, texts) -> Iterator[bytes]:
         for found in encoded(self.pieces, texts):
@@ -107,7 +110,14 @@ def _id_lists(coder: ByteBpe, texts: pa.Array) -> pa.ListArray:
 
 
 def _byte_strings(table: list[bytes], lists: pa.ListArray) -> pa.Array:
-    return pa.array([None if (x := one.as_py()) is None else b"".join([table[i] for i in x]) for one in lists], pa.binary())
+    out = [None if n is None else [] for n in pa.compute.list_value_length(lists).to_pylist()]
+    tokens = [table[i] for i in lists.flatten().to_pylist()]
+    at = 0
+    for i, n in enumerate(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()):
+        if out[i] is not None:
+            out[i] = b"".join(tokens[at : at + n])
+        at += n
+    return pa.array(out, pa.binary())
 
 
 def _released(coder: ByteBpe) -> None:

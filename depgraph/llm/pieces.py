@@ -26,16 +26,22 @@ class Pieces(dict):
 
     def of(self, texts: list[str]) -> list[list]:
         """The encoded pieces of each text, in order; few and short texts at a time, see ``blocks``."""
-        cut = [self._cut(x) for x in texts]
-        new = list({p for c in cut for p in c if p not in self})
-        if new and len(self) + len(new) > self.limit:
+        flat, ends = [], [0]
+        for x in texts:
+            flat += self._cut(x)
+            ends.append(len(flat))
+        found = list(map(self.get, flat))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = list({flat[i] for i in missing})
+        if len(self) + len(new) > self.limit:
             self.clear()
-            new = list({p for c in cut for p in c})
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             raw = some if self.any_space else [p[0] if type(p) is tuple else " " + p for p in some]
             self.update(zip(some, self.encode(raw), strict=True))
-        return [list(map(self.__getitem__, c)) for c in cut]
+        for i in missing:
+            found[i] = self[flat[i]]
+        return [found[a:b] for a, b in zip(ends, ends[1:])]
 
     def _cut(self, text: str) -> list:
         if self.any_space:

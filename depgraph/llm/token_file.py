@@ -96,22 +96,6 @@ class Ids(Pieces):
             return _LATIN.findall(text.lower())
         return text.replace("\n", " ").split(" ")
 
-    def of(self, texts: list[str]) -> list[list]:
-        flat, ends = [], [0]
-        for x in texts:
-            flat += self._cut(x)
-            ends.append(len(flat))
-        found = list(map(self.get, flat))
-        missing = [i for i, x in enumerate(found) if x is None]
-        new = list({flat[i] for i in missing})
-        if len(self) + len(new) > self.limit:
-            self.clear()
-        for i in range(0, len(new), 4096):
-            self.update(zip(new[i : i + 4096], self._ids(new[i : i + 4096]), strict=True))
-        for i in missing:
-            found[i] = self[flat[i]]
-        return [found[a:b] for a, b in zip(ends, ends[1:])]
-
 
 @cache
 def _ids(path: str) -> Pieces:
