@@ -3,8 +3,9 @@
 Vectors get one more component that makes their lengths equal, so that the largest inner product is the smallest
 distance. A bounded sample is halved again and again at the median, which gives lists of equal size; their means
 are the centroids. A graph of near centroids is held in memory and searched best first. Each vector goes to the
-list of its nearest centroid and, near a boundary, to the lists of others that are nearly as near; each query
-visits the lists whose centroids are nearly as near as its nearest one. Lists are scored exactly, in double precision.
+list of its nearest centroid and, near a boundary, to the lists of others that are nearly as near; each query is
+compared with all centroids and visits all lists whose centroids are nearly as near as its nearest one, however many
+they are. Lists are scored exactly, in double precision.
 
 Equal vectors are one vector with its smallest ids, so a vector that many rows share is one entry of its list.
 """
@@ -23,10 +24,12 @@ from depgraph.llm.common import has_rows, written
 
 #: Bounds, whatever the input's size: vectors to fit on, lists, and what is scored at once in one task.
 FIT_VECTORS, MAX_LISTS, BLOCK = 50_000, 4_096, 4_096
-#: Vectors of a list (more where MAX_LISTS is reached), lists of a boundary vector, lists that a search keeps.
-LIST, COPIES, BEAM, DEGREE = 256, 4, 128, 24
+#: Vectors of a list (more where MAX_LISTS is reached), lists of a boundary vector, links of a centroid.
+LIST, COPIES, DEGREE = 256, 4, 24
 #: Lists that each query visits at least, however near the nearest centroid is.
 LEAST_VISITS = 4
+#: The share of their true neighbours among the fitted vectors that so many of those must find; the ratio grows to it.
+FOUND, TRIED = 0.95, 256
 
 
 class Centroids:
@@ -67,7 +70,7 @@ class Centroids:
             out[i : i + 512] = own[some] - 2 * np.einsum("bd,bmd->bm", x[i : i + 512], self.at[some])
         return np.maximum(out + (x * x).sum(axis=1)[:, None], 0)
 
-    def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best first through the graph, all rows of x in step: numbers of near centroids and squared distances, nearest first."""
         n, beam = len(self.at), min(beam, len(self.at))
         start = np.unique(np.linspace(0, n - 1, min(beam, max(8, n // 64))).astype(np.int64))
@@ -102,28 +105,59 @@ class Centroids:
         order = np.argsort(far, axis=1, kind="stable")
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(far, order, axis=1)
 
+    def every(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all centroids and their squared distances, nearest first, for each row of x."""
+        own = (self.at * self.at).sum(axis=1)
+        far = np.maximum(own - 2 * (x @ self.at.T) + (x * x).sum(axis=1)[:, None], 0)
+        order = np.argsort(far, axis=1, kind="stable")
+        return order, np.take_along_axis(far, order, axis=1)
+
 
-def _lists(sent, longest: float, ratio: float, most: int, query: bool):
-    """The numbers of the lists of each vector."""
+def _lists(sent, longest: float, ratio: float, query: bool):
+    """The numbers of the lists of each vector: of a query all within the ratio, of another at most COPIES of them."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model: Centroids = pickle.loads(sent.value)
         for vectors in batches:
-            out = []
-            for i in range(0, len(vectors), 1024):
-                some = vectors.slice(i, 1024)
+            for i in range(0, len(vectors), 256):
+                some = vectors.slice(i, 256)
                 x = np.asarray(some.flatten(), np.float64).reshape(len(some), -1)
-                ids, d = model.search(_longer(x, None if query else longest), BEAM if query else 4 * COPIES)
-                keep = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
-                keep[:, most:] = False
-                if query:
-                    keep[:, :LEAST_VISITS] = np.isfinite(d[:, :LEAST_VISITS])
-                out += [a[k] for a, k in zip(ids, keep, strict=True)]
-            yield pa.array(out, pa.list_(pa.int64()))
+                ids, keep = chosen(model, x, longest, ratio, query)
+                yield pa.array([a[k] for a, k in zip(ids, keep, strict=True)], pa.list_(pa.int64()))
 
     return F.arrow_udf(run, "array<long>")
 
 
+def chosen(model: Centroids, x: np.ndarray, longest: float, ratio: float, query: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of lists, nearest first, for each row of x, and which of them it goes to."""
+    ids, d = model.every(_longer(x, None)) if query else model.search(_longer(x, longest), 4 * COPIES)
+    keep = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
+    if query:
+        keep[:, :LEAST_VISITS] = True
+    else:
+        keep[:, COPIES:] = False
+    return ids, keep
+
+
+def wide_enough(model: Centroids, fitted: np.ndarray, longest: float, near: float, boundary: float, k: int) -> float:
+    """The ratio for queries: ``near``, or more where TRIED of the fitted vectors need more to find FOUND of their k best."""
+    need = []
+    for i in range(0, min(TRIED, len(fitted)), 64):
+        asks = fitted[i : min(i + 64, TRIED)]
+        scores = asks @ fitted.T
+        scores[np.arange(len(asks)), np.arange(i, i + len(asks))] = -np.inf
+        most = min(k, len(fitted) - 1)
+        best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most else np.empty((len(asks), 0), np.int64)
+        ids, d = model.every(_longer(asks, None))
+        times = np.empty(d.shape)
+        np.put_along_axis(times, ids, np.sqrt(d) / np.maximum(np.sqrt(d[:, :1]), 1e-12), axis=1)
+        lists, keep = chosen(model, fitted[best.ravel()], longest, boundary, False)
+        row = np.repeat(np.arange(len(asks)), most)
+        need.append(np.where(keep, times[row[:, None], lists], np.inf).min(axis=1))
+    need = np.concatenate(need)
+    return max(near, float(np.quantile(need, FOUND))) if len(need) else near
+
+
 def _longer(x: np.ndarray, longest: float | None) -> np.ndarray:
     more = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
     return np.concatenate((x, more[:, None]), axis=1)
@@ -163,7 +197,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, near: float = 1.1, bounda
 
     is_query: Column that tells the query rows. A query's own row is no answer to it; equal vectors are. Equal scores
     go by the smaller vec_id. near, boundary: how many times as far as the nearest centroid may a query's or a
-    vector's further lists be. Vectors that are null, zero, not of the commonest length, or hold null, NaN or
+    vector's further lists be; near grows where the fitted vectors show that it is too little (FOUND). Vectors that are null, zero, not of the commonest length, or hold null, NaN or
     infinite components take no part, nor do rows with a null id; of repeated ids each row takes part. The index is
     fitted on at most FIT_VECTORS vectors, those with the least hash, and holds all. Other columns are not looked at.
     """
@@ -182,9 +216,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, near: float = 1.1, bounda
     longest = distinct.agg(F.max(F.expr("sqrt(aggregate(embedding, double(0), (s, x) -> s + x * x))"))).first()[0]
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("key"), "key").limit(FIT_VECTORS).select("embedding").collect()])
     model = Centroids(_longer(sample, longest), min(MAX_LISTS, max(1, total // LIST)))
+    near = wide_enough(model, sample, longest, near, boundary, k)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
-    placed = written(distinct.select("key", "first", "embedding", F.explode(_lists(sent, longest, boundary, COPIES, False)("embedding")).alias("list")), "lists")
-    asking = rows.where("asks").dropDuplicates(["key"]).select("key", "embedding", F.posexplode(_lists(sent, longest, near, BEAM, True)("embedding")).alias("at", "list"))
+    placed = written(distinct.select("key", "first", "embedding", F.explode(_lists(sent, longest, boundary, False)("embedding")).alias("list")), "lists")
+    asking = rows.where("asks").dropDuplicates(["key"]).select("key", "embedding", F.posexplode(_lists(sent, longest, near, True)("embedding")).alias("at", "list"))
     asking = written(asking, "visits")
     if not has_rows(asking):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

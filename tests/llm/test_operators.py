@@ -348,6 +348,22 @@ def test_neighbours(spark):
     assert nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_visits_all_lists_of_the_ratio(spark, monkeypatch):
+    """A ratio that selects every one of 375 lists finds exactly what brute force finds."""
+    from depgraph.llm import neighbours as N
+
+    monkeypatch.setattr(N, "LIST", 4)
+    x = np.random.default_rng(5).normal(size=(1500, 16))
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.nearest(vectors, F.col("vec_id") % 20 == 0, near=1e6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    scores = x[::20] @ x.T
+    for q, s in zip(range(0, 1500, 20), scores, strict=True):
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s, kind="stable")[:20].tolist()
+
+
 def test_components(spark):
     from depgraph.llm.components import components
 
