@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import sqlite3
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,12 +105,12 @@ def _below(graph: Graph, root: str, direction: str, level: int | None = None) ->
     return stored(steps, "children"), inside
 
 
-def tree_of_any(graph: Graph, roots: DataFrame, direction: str = "uses", level: int | None = None, most_links: int = 1_000_000) -> DataFrame:
+def tree_of_any(graph: Graph, roots: DataFrame, direction: str = "uses", level: int | None = None) -> DataFrame:
     """The occurrences (OCCURRENCES) of the tree below each root (column id), for any graph and any level.
 
     Which occurrence expands a node depends on all that come before it in depth-first order, which is sequential
-    by nature, so each root's links are walked in one task, and roots in parallel. For that the links that one root
-    reaches are bounded by ``most_links``; beyond it is an error, and ``tree`` is the way for graphs without cycles.
+    by nature, so each root's links are walked in one task, and roots in parallel. Links come to the task sorted and
+    one batch at a time, into a database that spills to the task's disk, so memory doesn't bound what a root reaches.
     """
     reached = reach(graph, roots, direction, level)
     steps = children(graph, direction)
@@ -117,44 +118,103 @@ def tree_of_any(graph: Graph, roots: DataFrame, direction: str = "uses", level:
     named = reached.join(kinds, "id")
     own = named.join(steps, (F.col("id") == F.col("src")) & ~F.col("kind").isin(*TERMINAL_KINDS), "left")
     own = own.join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")), "dst", "left").select("root", "id", "kind", "dst", "dst_kind", "at", "last")
-    large = own.groupBy("root").count().where(F.col("count") > most_links).select("root").take(1)
-    if large:
-        raise ValueError(f"more than {most_links} links below {large[0][0]}")
-
-    def walk(links: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_walked(links, level)), columns=["root", "path", "depth", "id", "parent", "kind", "marker"])
-
-    return own.groupBy("root").applyInPandas(walk, OCCURRENCES)
-
-
-def _walked(links: pd.DataFrame, level: int | None) -> Iterator[tuple]:
-    """Depth-first over one root's links; an explicit stack, so long chains are fine."""
-    root = links["root"].iloc[0]
-    kinds = dict(zip(links["id"], links["kind"], strict=True))
-    below: dict[str, list[tuple]] = {}
-    for r in links[links["dst"].notna()].sort_values(["id", "at"]).itertuples(index=False):
-        below.setdefault(r.id, []).append((int(r.at), bool(r.last), r.dst))
-        kinds.setdefault(r.dst, r.dst_kind)
-    expanded, above = set(), set()
-    stack: list[tuple] = [("in", root, None, [])]
+    return own.repartition("root").sortWithinPartitions("root", "id", "at").mapInArrow(_walks_of(level), OCCURRENCES)
+
+
+_WALKED = pa.schema(
+    [("root", pa.string()), ("path", pa.list_(pa.struct([("at", pa.int32()), ("last", pa.bool_())]))), ("depth", pa.int32())]
+    + [(name, pa.string()) for name in ("id", "parent", "kind", "marker")]
+)
+#: Links of a node that a walk reads at once, and occurrences and steps of their paths that it returns at once.
+_READ, _ROWS, _STEPS = 1_000, 5_000, 200_000
+
+
+def _walks_of(level: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """batches: links sorted by root. Each root's links go to a database of their own and are walked when the next root begins."""
+        root, db = None, None
+        for batch in batches:
+            roots = batch.column("root").to_pylist()
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("id", "at", "last", "dst", "kind", "dst_kind")), strict=True))
+            start = 0
+            for end in [i for i in range(1, len(roots)) if roots[i] != roots[i - 1]] + [len(roots)]:
+                if start < end:
+                    if db is None or roots[start] != root:
+                        if db is not None:
+                            yield from _sliced(_walked(db, root, level))
+                            db.close()
+                        root, db = roots[start], _database()
+                    db.executemany("INSERT INTO links VALUES (?, ?, ?, ?, ?, ?)", rows[start:end])
+                start = end
+        if db is not None:
+            yield from _sliced(_walked(db, root, level))
+            db.close()
+
+    return run
+
+
+def _database() -> sqlite3.Connection:
+    """A private database, in memory while it is small and else in a temporary file that ends with it."""
+    db = sqlite3.connect("", isolation_level=None)
+    db.execute("PRAGMA journal_mode = OFF")
+    db.execute("CREATE TABLE links (id TEXT, at INT, last INT, dst TEXT, kind TEXT, dst_kind TEXT)")
+    db.execute("CREATE TABLE expanded (id TEXT PRIMARY KEY) WITHOUT ROWID")
+    db.execute("BEGIN")
+    return db
+
+
+def _sliced(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, steps = [], 0
+    for row in rows:
+        held.append(row)
+        steps += len(row[1])
+        if len(held) >= _ROWS or steps >= _STEPS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _WALKED, strict=True)], schema=_WALKED)
+            held, steps = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _WALKED, strict=True)], schema=_WALKED)
+
+
+def _walked(db: sqlite3.Connection, root: str, level: int | None) -> Iterator[tuple]:
+    """Depth-first over one root's links; a stack of the open nodes only, so long chains and wide nodes are fine."""
+    db.execute("CREATE INDEX ordered ON links (id, at)")
+
+    def below(id: str) -> Iterator[tuple]:
+        at = 0
+        while found := db.execute("SELECT at, last, dst, dst_kind FROM links WHERE id = ? AND at > ? ORDER BY at LIMIT ?", (id, at, _READ)).fetchall():
+            yield from found
+            at = found[-1][0]
+
+    def expands(id: str, depth: int) -> bool:
+        """Mark the node as expanded; whether its links are to be followed."""
+        db.execute("INSERT INTO expanded VALUES (?)", (id,))
+        return level is None or depth < level
+
+    kind = db.execute("SELECT kind FROM links WHERE id = ? LIMIT 1", (root,)).fetchone()[0]
+    yield root, [], 0, root, None, kind, None
+    above, path, stack = set(), [], []
+    if kind not in TERMINAL_KINDS and expands(root, 0):
+        above.add(root)
+        stack.append((root, below(root)))
     while stack:
-        what, id, parent, path = stack.pop()
-        if what == "out":
-            above.discard(id)
+        parent, rest = stack[-1]
+        step = next(rest, None)
+        if step is None:
+            stack.pop()
+            above.discard(parent)
+            if path:
+                path.pop()
             continue
-        kind, marker = kinds[id], None
-        if path:
-            marker = "recursive" if id in above else "*" if id in expanded else {"builtin": "builtin", "unknown": "unresolved"}.get(kind)
-        yield root, path, len(path), id, parent, kind, marker
-        if id in above or id in expanded or kind in TERMINAL_KINDS:
-            continue
-        expanded.add(id)
-        if level is not None and len(path) >= level:
-            continue
-        above.add(id)
-        stack.append(("out", id, None, []))
-        for at, last, dst in reversed(below.get(id, [])):
-            stack.append(("in", dst, id, [*path, {"at": at, "last": last}]))
+        at, last, id, kind = step
+        path.append({"at": at, "last": bool(last)})
+        again = db.execute("SELECT 1 FROM expanded WHERE id = ?", (id,)).fetchone() is not None
+        marker = "recursive" if id in above else "*" if again else {"builtin": "builtin", "unknown": "unresolved"}.get(kind)
+        yield root, list(path), len(path), id, parent, kind, marker
+        if id not in above and not again and kind not in TERMINAL_KINDS and expands(id, len(path)):
+            above.add(id)
+            stack.append((id, below(id)))
+        else:
+            path.pop()
 
 
 def walks(graph: Graph, root: str, direction: str = "uses", level: int = 10) -> DataFrame:

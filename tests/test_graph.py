@@ -1,5 +1,8 @@
 """Hand-built graphs with known results."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +61,41 @@ def test_level_marks_what_it_cuts_as_expanded(spark):
     assert lines(made(spark, ["AC", "CB", "AB", "BD"]), level=2) == ["A", "├── C", "│   └── B", "└── B (*)"]
 
 
+def test_walk_of_more_than_a_million_links():
+    n, names = 1_000_001, ["root", "id", "at", "last", "dst", "kind", "dst_kind"]
+    cut = [range(i, min(i + 10_000, n + 1)) for i in range(1, n + 1, 10_000)]
+    batches = (pa.RecordBatch.from_pydict(dict(zip(names, (["R"] * len(r), ["R"] * len(r), list(r), [x == n for x in r], [f"N{x}" for x in r], ["function"] * len(r), ["function"] * len(r)), strict=True))) for r in cut)
+    assert sum(b.num_rows for b in traverse._walks_of(None)(batches)) == n + 1
+
+
+@pytest.mark.parametrize("level", [None, 0, 1, 3])
+def test_walk_in_batches(monkeypatch, level):
+    """Several roots, their links in small batches, against a plain recursion over cyclic graphs."""
+    monkeypatch.setattr(traverse, "_READ", 2)
+    monkeypatch.setattr(traverse, "_ROWS", 5)
+    rng, rows, expected = random.Random(8), [], []
+    for root in "abcde":
+        below = {x: rng.sample("abcdefgh", rng.randrange(5)) for x in "abcdefgh"}
+        rows += [dict(root=root, id=x, kind="function", dst=y, dst_kind="function", at=i + 1, last=i + 1 == len(below[x])) for x in below for i, y in enumerate(below[x])]
+        rows += [dict(root=root, id=x, kind="function", dst=None, dst_kind=None, at=None, last=None) for x in below if not below[x]]
+        expanded = set()
+
+        def visit(x, parent, path, above):
+            again = "recursive" if x in above else "*" if x in expanded else None
+            expected.append((root, [s[0] for s in path], x, parent, again))
+            if not again:
+                expanded.add(x)
+                for i, y in enumerate(below[x] if level is None or len(path) < level else []):
+                    visit(y, x, [*path, (i + 1,)], above | {x})
+
+        visit(root, None, [], set())
+    schema = pa.schema([(c, pa.bool_() if c == "last" else pa.int32() if c == "at" else pa.string()) for c in rows[0]])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 7], schema) for i in range(0, len(rows), 7)]
+    got = [r for b in traverse._walks_of(level)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["root"], [s["at"] for s in r["path"]], r["id"], r["parent"], r["marker"]) for r in got] == expected
+    assert list(traverse._walks_of(level)(iter([]))) == []
+
+
 def test_unresolved_nodes_are_not_expanded(spark):
     graph = made(spark, ["AB", "BC"], nodes=["A", "C"])
     assert lines(graph) == ["A", "└── B (unresolved)"]
