@@ -94,6 +94,27 @@ def test_usage_matrix(spark):
     assert sorted(got) == sorted(expected)
 
 
+LISTS = r"""<?php
+namespace App;
+use A\B, C\D as E;
+use \G\{H, I\J as K, function f, const L,};
+class X {
+    const ONE = [1, 2], TWO = self::ONE, THREE = 3;
+    public ?int $a, $b = [1, 2], $c;
+    public function __construct(private int $p, $q) { echo $q, $p; new B(); new E(); new H(); new K(); new f(); }
+}
+"""
+
+
+def test_lists_of_names(spark):
+    """Each name of a use statement, a group, a list of constants and a list of properties counts."""
+    nodes, edges = items(spark.createDataFrame([("a.php", LISTS)], "path string, content string"))
+    got = {(r.id.split("::")[-1], r.kind) for r in nodes.where("kind IN ('constant', 'property')").collect()}
+    assert got == {(x, "constant") for x in ("ONE", "TWO", "THREE")} | {(x, "property") for x in "abcp"}
+    made = {r.dst for r in edges.where("kind = 'instantiation'").collect()}
+    assert made == {"A\\B", "C\\D", "G\\H", "G\\I\\J", "App\\f"}
+
+
 def test_graph_of_text_holds(spark):
     graph = graph_of(spark.createDataFrame([("a.php", SERVICE)], "path string, content string"))
     for broken in (validate.one_way, validate.dangling, validate.repeated_nodes, validate.repeated_edges):
