@@ -24,11 +24,18 @@ def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of each group of near duplicates the document with the smallest doc_id."""
+    """Operator 9: of each group of near duplicates one row, that with the smallest doc_id (null last), then hash of text.
+
+    Rows are told apart by a number of their own, as doc_ids may be null or repeat; texts without words all stay.
+    """
+    from depgraph.llm.common import written
     from depgraph.llm.jaccard_join import near_duplicates
 
-    first = near_duplicates(docs).where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.expr("doc_id <=> kept_id"), "left_semi").select(COLUMNS)
+    docs = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    groups = near_duplicates(docs, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    first = groups.join(docs.select("row", order.alias("place")), "row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return docs.join(first.select(F.col("place.row").alias("row")), "row", "left_semi").select(COLUMNS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

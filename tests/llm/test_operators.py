@@ -373,6 +373,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c + " d"), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    kept = [(r.doc_id, r.text[:1]) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (1, "b"), (None, "c"), (None, ""), (None, "")], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     """Stage by stage on a fixture: junk and toxic go, repeated lines go, one near copy stays, test items go."""
     import corpus_pipeline
