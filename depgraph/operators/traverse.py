@@ -217,13 +217,15 @@ def _walked(db: sqlite3.Connection, root: str, level: int | None) -> Iterator[tu
             path.pop()
 
 
-def walks(graph: Graph, root: str, direction: str = "uses", level: int = 10) -> DataFrame:
+def walks(graph: Graph, root: str, direction: str = "uses", level: int | None = None) -> DataFrame:
     """path (ids from the root, as an array), depth, id, recursive: every visit of the plain traversal, which cuts
-    cycles but expands nodes again wherever they occur, up to ``level`` steps."""
+    cycles but expands nodes again wherever they occur, up to ``level`` steps or without a limit."""
     steps = stored(children(graph, direction), "children")
     frontier = graph.nodes.where(F.col("id") == root).select(F.array("id").alias("path"), F.expr("cast(array() as array<int>)").alias("places"), "id", F.lit(False).alias("recursive"))
     every = frontier = stored(frontier, "walks")
-    for _ in range(level):
+    depth = 0
+    while level is None or depth < level:
+        depth += 1
         on = frontier.where("NOT recursive").join(steps, F.col("id") == F.col("src"))
         frontier = on.select(F.concat("path", F.array("dst")).alias("path"), F.concat("places", F.array("at")).alias("places"), F.col("dst").alias("id"), F.array_contains("path", F.col("dst")).alias("recursive"))
         frontier = stored(frontier, "walks")

@@ -109,6 +109,12 @@ def test_plain_walk_expands_again(spark):
     assert got == ["A", "B", "D", "C", "D"]
 
 
+def test_plain_walk_has_no_limit_of_its_own(spark):
+    graph = made(spark, ["AB", "BC", "CD", "DE", "EF", "FG", "GH", "HI", "IJ", "JK", "KL", "LA"])
+    got = [(r.depth, r.id[-1], r.recursive) for r in traverse.walks(graph, "App\\A").orderBy("depth").collect()]
+    assert got == [*((i, x, False) for i, x in enumerate("ABCDEFGHIJKL")), (12, "A", True)]
+
+
 def test_build(spark):
     graph = made(spark, ["AB", "AB"])
     assert graph.edges.where("NOT reverse").count() == 1
