@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from depgraph.tables import discard, has_rows, shared_dir
+from depgraph.tables import stored as written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (local tests) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["discard", "has_rows", "shared_dir", "written"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Send texts to Python workers in Arrow batches of at most so many rows, unless the session asks for fewer.
 
@@ -45,10 +31,6 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def has_rows(df: DataFrame) -> bool:
-    return bool(df.take(1))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on all input bits (uint64 in, uint64 out)."""
     h = h ^ (h >> np.uint64(31))
@@ -61,16 +43,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes that end a word where words are letters and digits; UTF-8 bytes above 0x7F belong to words.
 NOT_ALNUM = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-_BASE, _SPAN = 0x9E3779B97F4A7C15 | 1, 1 << 20
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, _SPAN) - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 2**64))]
-    return _POWERS
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: The low bytes of a number that belong to a word of so many bytes, and the longest word that is read in numbers.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_LONG = 64
 
 
 def by_bytes(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -84,6 +61,23 @@ def by_bytes(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[
         at = end
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time are mixed in, so words of up to eight bytes and one length never
+    collide; words beyond _LONG bytes get a cryptographic digest."""
+    h = sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    on, at = np.flatnonzero(sizes <= _LONG), 0
+    while len(on):
+        h[on] = mix(h[on] ^ (eights[starts[on] + at] & _MASKS[np.minimum(sizes[on] - at, 8)]))
+        at += 8
+        on = on[sizes[on] > at]
+    for i in np.flatnonzero(sizes > _LONG):
+        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return h
+
+
 class Words:
     """The words of a run of texts (Arrow strings; null: none), as 64-bit hashes.
 
@@ -106,22 +100,7 @@ class Words:
         closes[edges - 1] = word[edges - 1]
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.counts = np.diff(np.searchsorted(self.starts, offsets))
-        values = _BYTE
-        if lower:
-            values = _BYTE.copy()
-            values[0x41:0x5B] = _BYTE[0x61:0x7B]
-        self.hashes = np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(self.starts):
-            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + _SPAN, "right")))
-            low, high = int(self.starts[at]), int(self.ends[to - 1])
-            power, inverse = _powers(high - low)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(values[data[low:high]] * power[: high - low], out=sums[1:])
-            first, last = self.starts[at:to] - low, self.ends[at:to] - low
-            self.hashes[at:to] = (sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)
-            at = to
-        self.hashes = mix(self.hashes)
+        self.hashes = _word_hashes(_LOWER[data] if lower else data, self.starts, self.ends - self.starts)
 
     def each(self) -> Iterator[tuple[int, int]]:
         """First and end word of each text."""

@@ -1,15 +1,18 @@
 """Operator 9, n-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Each document becomes the set of its n-grams' hashes and one fingerprint of that set. Documents with the same
-   fingerprint are one candidate from here on, so copies are never paired with one another.
-2. The hashes are dealt out by range in packed arrays, each range counts in how many sets its n-grams occur, and
+1. Each document becomes the set of its n-grams' hashes and one fingerprint of that set. One row of each fingerprint
+   goes on, so copies are neither counted nor paired with one another.
+2. Slices of the input tell which n-grams are frequent within them; those whose sums pass a limit are frequent n-grams,
+   with a rank of their own, and skip the counting. The limit grows with the number of slices, so there are never more
+   of them than a slice has n-grams, and every other n-gram occurs in a bounded number of sets.
+3. The other hashes are dealt out by range in packed arrays, each range counts in how many sets its n-grams occur, and
    only n-grams that occur in more than one set go back to their sets. What does not come back occurs once.
-3. Each set orders its n-grams rarest first and posts its prefix, as long as the threshold needs. N-grams that
+4. Each set orders its n-grams rarest first and posts its prefix, as long as the threshold needs. N-grams that
    occur once come first, so a set with enough of them posts nothing.
-4. Sets that share a posted n-gram are candidates if the positional filter (which holds the length filter) lets
+5. Sets that share a posted n-gram are candidates if the positional filter (which holds the length filter) lets
    them. The first round pairs each posting list with its most central set only; the second pairs what is in
-   different components still, so a large group of near copies isn't paired with itself, and no link that could
-   join components is left out. Each pair is verified once, by the suffix filter and then the exact overlap.
+   different components still, long lists in blocks, so a large group of near copies isn't paired with itself, and no
+   link that could join components is left out. Each pair is verified once, by the suffix filter and then the overlap.
 """
 
 from __future__ import annotations
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 from depgraph.llm.common import SPACE, Words, by_bytes, has_rows, mix, ranges, small_batches, windows, written
 from depgraph.llm.components import components
 
-#: Hash bits that go into the counts and overlaps, and n-grams that one range counts at once.
-BITS, RANGE = 48, 3_000_000
+#: N-grams that one range counts at once, on average.
+RANGE = 2_000_000
+#: Bytes of a slice of texts; sets of a slice from which on an n-gram is reported; the least limit of a frequent one.
+SLICE, OFTEN, FREQUENT = 4 << 20, 8, 1_000
+#: Sets of one block of a posting list in the second round.
+POSTED = 4_096
 
 
 def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -47,26 +54,61 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
+SETS = "doc_id long, set_id long, n_shingles long, gram long, times long"
+
+
 def _identified(n: int):
+    """A row for each text, one for each n-gram that is frequent within a slice, and one (without either) for the slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, 1):
+            for batch in by_bytes(whole, 1, SLICE):
                 sets = list(ngram_sets(batch.column(1), n))
                 keys = [fingerprint(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "set_id", "n_shingles"])
+                found = np.sort(np.concatenate([*dict(zip(keys, sets, strict=True)).values(), np.empty(0, np.uint64)]))
+                cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.empty(0, np.int64)
+                times = np.diff(np.append(cuts, len(found)))
+                often = times >= OFTEN
+                grams, times = found[cuts[often]].astype(np.int64), times[often]
+                rest = len(grams) + 1
+                columns = {"doc_id": batch.column(0).to_pylist() + [None] * rest, "set_id": keys + [None] * rest, "n_shingles": [len(s) for s in sets] + [None] * rest}
+                columns |= {"gram": [None] * len(sets) + grams.tolist() + [None], "times": [None] * len(sets) + times.tolist() + [1]}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
     return run
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """48-bit numbers in 6 bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams (sorted) that many slices found frequent, and ranks of their frequency.
+
+    With S slices and the limit T, at least OFTEN * S, an n-gram that isn't among them occurs in less than T + OFTEN * S sets, and
+    there are at most 1 / OFTEN of a slice's n-grams of them: some 90,000 at any size of the input.
+    """
+    slices = found.where("times IS NOT NULL AND gram IS NULL").count()
+    sums = found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times"))
+    table = sums.where(F.col("times") >= max(FREQUENT, OFTEN * slices)).toPandas()
+    grams = table["gram"].to_numpy(np.int64).astype(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], _ranks(table["times"].to_numpy(np.int64)[order])
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _ranks(times: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(times, 1)))).astype(np.uint8)
+
+
+def _alone(n: int):
+    """set_id and text of each set of a slice, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, 0, SLICE):
+                first: dict[int, int] = {}
+                for i, grams in enumerate(ngram_sets(batch.column(0), n)):
+                    if len(grams):
+                        first.setdefault(fingerprint(grams), i)
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), batch.column(0).take(pa.array(first.values(), pa.int64()))], names=["set_id", "text"])
+
+    return run
 
 
 _PACKED = pa.schema([("part", pa.int32()), ("sets", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("ranks", pa.binary())])
@@ -80,55 +122,62 @@ def _packed(parts: np.ndarray, sets: np.ndarray, keys: np.ndarray, ranks: np.nda
     ranks = None if ranks is None else ranks[order]
     cuts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else np.empty(0, np.int64)
     rows: dict[str, list] = {k: [] for k in _PACKED.names}
-    for a, b in zip(cuts, [*cuts[1:], len(parts)], strict=True):
+    for a, b in zip(cuts, np.append(cuts[1:], len(parts))[: len(cuts)], strict=True):
         own = sets[a:b]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         rows["part"].append(int(parts[a]))
         rows["sets"].append(own[first].tobytes())
         rows["counts"].append(np.diff(np.r_[first, b - a]).astype("<u4").tobytes())
-        rows["keys"].append(_pack(keys[a:b]))
+        rows["keys"].append(keys[a:b].tobytes())
         rows["ranks"].append(None if ranks is None else ranks[a:b].tobytes())
     return pa.RecordBatch.from_pydict(rows, _PACKED)
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """sets, counts, keys, ranks of all packed rows."""
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, keys, ranks of all packed rows."""
     join = lambda name: b"".join(x for x in table.column(name).to_pylist() if x is not None)
-    return np.frombuffer(join("sets"), "<i8"), np.frombuffer(join("counts"), "<u4").astype(np.int64), _unpack(join("keys")), np.frombuffer(join("ranks"), np.uint8)
+    owner = np.repeat(np.frombuffer(join("sets"), "<i8"), np.frombuffer(join("counts"), "<u4").astype(np.int64))
+    return owner, np.frombuffer(join("keys"), "<u8"), np.frombuffer(join("ranks"), np.uint8)
 
 
-def _dealt(n: int, parts: int):
-    """Each distinct set's n-grams, dealt to the part that counts their range."""
+def _dealt(n: int, parts: int, sent):
+    """Each set's n-grams: frequent ones, with their ranks, to the part of the set, others to the part of their range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, ranks = sent.value
         for whole in batches:
-            for batch in by_bytes(whole, 0, 4 << 20):
-                sets = {fingerprint(s): s >> np.uint64(64 - BITS) for s in ngram_sets(batch.column(0), n) if len(s)}
-                if sets:
-                    keys = np.concatenate(list(sets.values()))
-                    owner = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
-                    yield _packed(((keys >> np.uint64(BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), owner, keys)
+            for batch in by_bytes(whole, 1, SLICE):
+                sets = list(ngram_sets(batch.column(1), n))
+                keys = np.concatenate([*sets, np.empty(0, np.uint64)])
+                owner = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+                at = np.minimum(np.searchsorted(often, keys), max(len(often) - 1, 0))
+                known = often[at] == keys if len(often) else np.zeros(len(keys), bool)
+                if known.any():
+                    yield _packed((owner[known] % parts).astype(np.int32), owner[known], keys[known], ranks[at[known]])
+                if not known.all():
+                    keys, owner = keys[~known], owner[~known]
+                    yield _packed(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), owner, keys)
 
     return run
 
 
 def _counted(parts: int):
-    """The n-grams of a range that occur in more than one set, with a rank of their frequency, dealt back by set."""
+    """The n-grams of a range that occur in more than one set, with a rank of their frequency, dealt back by set.
+
+    Frequent n-grams, which are with their sets already, pass through.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        sets, counts, keys, _ = _gathered(table)
-        _, kept = np.unique(sets, return_index=True)
-        starts = np.cumsum(counts) - counts
-        keys = keys[ranges(starts[kept], counts[kept])]
-        owner = np.repeat(sets[kept], counts[kept])
+        passed = table.column("ranks").is_valid()
+        owner, keys, _ = _gathered(table.filter(pa.compute.invert(passed)))
         order = np.argsort(keys, kind="stable")
         run_at = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else np.empty(0, np.int64)
-        lengths = np.diff(np.r_[run_at, len(keys)])
+        lengths = np.diff(np.append(run_at, len(keys)))
         found = np.empty(len(keys), np.int64)
         found[order] = np.repeat(lengths, lengths)
         again = found > 1
-        ranks = np.minimum(255, np.floor(8 * np.log2(np.maximum(found, 1)))).astype(np.uint8)
-        return pa.Table.from_batches([_packed((owner[again] % parts).astype(np.int32), owner[again], keys[again], ranks[again])])
+        back = _packed((owner[again] % parts).astype(np.int32), owner[again], keys[again], _ranks(found[again]))
+        return pa.concat_tables([table.filter(passed).cast(_PACKED), pa.Table.from_batches([back])])
 
     return run
 
@@ -142,12 +191,11 @@ def _prefixed(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         known = table.column("size").is_valid().to_numpy(zero_copy_only=False)
         ids, sizes = (table.filter(pa.array(known)).column(c).to_numpy() for c in ("set_id", "size"))
-        sets, counts, keys, ranks = _gathered(table.filter(pa.array(~known)))
-        owner = np.repeat(sets, counts)
+        owner, keys, ranks = _gathered(table.filter(pa.array(~known)))
         order = np.lexsort((keys, ranks, owner))
         owner, keys = owner[order], keys[order]
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
-        lengths = np.diff(np.r_[first, len(owner)])
+        lengths = np.diff(np.append(first, len(owner)))
         by_id = np.argsort(ids)
         size = sizes[by_id][np.searchsorted(ids[by_id], owner[first])] if len(first) else np.empty(0, np.int64)
         uniq = size - lengths
@@ -162,13 +210,15 @@ def _prefixed(num: int, den: int):
     return run
 
 
-def candidates(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def candidates(docs: DataFrame, sets: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, num: int, den: int) -> DataFrame:
     """set_id, size, uniq (n-grams in no other set), prefix (without those), shared (all others, sorted uint64)."""
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
-    dealt = docs.select("text").mapInArrow(_dealt(n, parts), PACKED)
-    back = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_counted(parts), PACKED)
     sizes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("n_shingles").alias("size"))
+    spark = docs.sparkSession
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    alone = docs.select("text").mapInArrow(_alone(n), "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text"))
+    dealt = alone.mapInArrow(_dealt(n, parts, spark.sparkContext.broadcast(often)), PACKED)
+    back = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_counted(parts), PACKED)
     sizes = sizes.select(F.expr(f"cast(pmod(set_id, {parts}) as int)").alias("part"), "set_id", "size")
     both = back.unionByName(sizes, allowMissingColumns=True).repartition(parts, "part")
     return both.groupBy("part").applyInArrow(_prefixed(num, den), "set_id long, size long, uniq long, prefix array<long>, shared binary")
@@ -179,7 +229,7 @@ def _overlap(a: pa.Array, b: pa.Array, least: pa.Array) -> pa.Array:
     out = []
     for x, y, need in zip(a, b, least.to_pylist(), strict=True):
         x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-        cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(BITS - 4)
+        cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
         in_x, in_y = (np.diff(np.r_[0, np.searchsorted(z, cuts), len(z)]) for z in (x, y))
         if np.minimum(in_x, in_y).sum() < need:
             out.append(0)
@@ -206,15 +256,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     similarity of their sets of n-grams is num / den or more; component_id is the smallest doc_id that links reach.
     A text of fewer than n words has its whole sequence as the only n-gram. Null and empty texts have the empty
     set and stand alone, as do rows with a null doc_id and no equals. Rows that repeat a doc_id each get a row.
-    Other columns are not looked at. Overlaps compare 48-bit hashes of n-grams that at least two sets share.
+    Other columns are not looked at. Overlaps compare 64-bit hashes of n-grams that at least two sets share.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
-    sets = written(docs.mapInArrow(_identified(n), "doc_id long, set_id long, n_shingles long"), "sets")
-    known = written(candidates(docs, sets, n, num, den), "candidates")
+    found = written(docs.mapInArrow(_identified(n), SETS), "sets")
+    sets = found.where("times IS NULL").select("doc_id", "set_id", "n_shingles")
+    known = written(candidates(docs, sets, frequent(found), n, num, den), "candidates")
     postings = written(known.select("set_id", "size", "uniq", F.posexplode("prefix").alias("at", "gram")).select("gram", "set_id", "size", (F.col("uniq") + F.col("at")).alias("at"), (F.col("uniq") / F.col("size")).alias("apart")), "postings")
     central = postings.groupBy("gram").agg(F.min(F.struct("apart", "set_id", "size", "at")).alias("c"), F.min("size").alias("low"), F.count("*").alias("n")).where("n > 1")
-    central = written(central.select("gram", "low", *(F.col(f"c.{x}").alias(f"{x}_c") for x in ("set_id", "size", "at"))), "central")
+    central = written(central.select("gram", "low", F.expr(f"cast(n div {POSTED} as int)").alias("last"), *(F.col(f"c.{x}").alias(f"{x}_c") for x in ("set_id", "size", "at"))), "central")
 
     def feasible(x: str, y: str) -> str:
         """The positional filter, as SQL: what is left from the common n-gram on can reach the overlap needed."""
@@ -242,10 +293,10 @@ def _distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 def _across(postings: DataFrame, central: DataFrame, labels: DataFrame, feasible, num: int, den: int) -> DataFrame:
     """Pairs within a posting list whose sets are in different components; at least one not in the central set's."""
     named = postings.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("node", "apart")
-    home = central.join(labels, F.col("set_id_c") == F.col("node"), "left").select("gram", "low", F.coalesce("label", "set_id_c").alias("home"))
+    home = central.join(labels, F.col("set_id_c") == F.col("node"), "left").select("gram", "low", "last", F.coalesce("label", "set_id_c").alias("home"))
     named = written(named.join(home, "gram"), "named-postings")
-    # a set that can't reach even the smallest one of its list has no partner there
-    off = named.where(f"label <> home AND {num + den} * (size - at) >= {num} * (size + low)")
-    other = named.select("gram", *(F.col(x).alias(f"{x}_o") for x in ("set_id", "size", "at", "label")))
-    pairs = off.join(other, "gram").where("label <> label_o AND (label_o = home OR set_id < set_id_o)")
+    # a set that can't reach even the smallest one of its list has no partner there; it meets the others block by block
+    off = named.where(f"label <> home AND {num + den} * (size - at) >= {num} * (size + low)").withColumn("block", F.explode(F.expr("sequence(0, last)")))
+    other = named.select("gram", F.expr("cast(pmod(set_id, last + 1) as int)").alias("block"), *(F.col(x).alias(f"{x}_o") for x in ("set_id", "size", "at", "label")))
+    pairs = off.join(other, ["gram", "block"]).where("label <> label_o AND (label_o = home OR set_id < set_id_o)")
     return pairs.where(feasible("", "_o"))

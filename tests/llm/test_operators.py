@@ -130,10 +130,18 @@ def corpus(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), texts
 
 
-def test_jaccard_join(spark, corpus, empty):
+@pytest.mark.parametrize("limit", [1_000, 1])
+def test_jaccard_join(spark, corpus, empty, monkeypatch, limit):
+    """With a limit of 1 the n-grams of the shared passage are frequent ones, which skip the counting."""
+    from depgraph.llm import jaccard_join as J
     from depgraph.llm.jaccard_join import near_duplicates
 
+    monkeypatch.setattr(J, "FREQUENT", limit)
     docs, texts = corpus
+    if limit == 1:
+        docs = docs.coalesce(1)
+        found = J.frequent(docs.select("doc_id", "text").mapInArrow(J._identified(5), J.SETS))
+        assert len(found[0]) > 40 and (np.diff(found[0].astype(float)) > 0).all()
     sets = []
     for x in texts:
         w = (x or "").encode().lower().split()
@@ -149,6 +157,40 @@ def test_jaccard_join(spark, corpus, empty):
     assert near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["2", "200"])
+def test_jaccard_join_without_common_ngrams(spark, partitions):
+    from depgraph.llm.jaccard_join import near_duplicates
+
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = [(i, " ".join(f"{x}{k}" for k in range(9))) for i, x in enumerate("abc")]
+        for some in ([], rows[:1], rows, [*rows, (3, rows[0][1]), (None, rows[1][1]), (4, None)]):
+            docs = spark.createDataFrame(some, "doc_id long, text string")
+            got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()), key=str)
+            first = {t: min(d for d, u in some if u == t and d is not None) for d, t in some if d is not None}
+            assert got == sorted(((d, 5 if t else 0, first[t] if t else d) for d, t in some), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_word_hashes():
+    """Words that a polynomial modulo 2**64 can't tell apart (Thue-Morse and its complement), and all cuts of one text."""
+    import pyarrow as pa
+
+    from depgraph.llm.common import NOT_ALNUM, SPACE, Words
+
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    h = Words(pa.array([f"{a} {b} {a}", None, "", "x"]), SPACE).hashes
+    assert h[0] == h[2] != h[1]
+    some = [("ab" * 40)[:n] for n in range(1, 81)] + ["é" * n for n in range(1, 50)]
+    h = Words(pa.array([" ".join(some), *some]), SPACE).hashes
+    assert (h[: len(some)] == h[len(some) :]).all() and len(set(h.tolist())) == len(some)
+    assert len(set(Words(pa.array(["AbC,abc", "aBc"]), NOT_ALNUM, lower=True).hashes.tolist())) == 1
+
+
 def test_jaccard_join_large_group(spark):
     """A group of near copies whose members link through others only."""
     from depgraph.llm.jaccard_join import near_duplicates
