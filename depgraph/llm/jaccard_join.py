@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from depgraph.llm.common import SPACE, Words, by_bytes, has_rows, mix, ranges, small_batches, windows, written
 from depgraph.llm.components import components
 
-#: N-grams that one range counts at once, on average.
-RANGE = 2_000_000
+#: Hash bits that go into counts and overlaps, and n-grams that one range counts at once, on average.
+BITS, RANGE = 56, 2_000_000
 #: Bytes of a slice of texts; sets of a slice from which on an n-gram is reported; the least limit of a frequent one.
 SLICE, OFTEN, FREQUENT = 4 << 20, 8, 1_000
 #: Sets of one block of a posting list in the second round.
@@ -54,6 +54,7 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
+_CUT = np.uint64(64 - BITS)
 SETS = "doc_id long, set_id long, n_shingles long, gram long, times long"
 
 
@@ -65,7 +66,7 @@ def _identified(n: int):
             for batch in by_bytes(whole, 1, SLICE):
                 sets = list(ngram_sets(batch.column(1), n))
                 keys = [fingerprint(s) if len(s) else None for s in sets]
-                found = np.sort(np.concatenate([*dict(zip(keys, sets, strict=True)).values(), np.empty(0, np.uint64)]))
+                found = np.sort(np.concatenate([*dict(zip(keys, sets, strict=True)).values(), np.empty(0, np.uint64)])) >> _CUT
                 cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.empty(0, np.int64)
                 times = np.diff(np.append(cuts, len(found)))
                 often = times >= OFTEN
@@ -126,9 +127,14 @@ def _packed(parts: np.ndarray, sets: np.ndarray, keys: np.ndarray, ranks: np.nda
         own = sets[a:b]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         rows["part"].append(int(parts[a]))
-        rows["sets"].append(own[first].tobytes())
-        rows["counts"].append(np.diff(np.r_[first, b - a]).astype("<u4").tobytes())
-        rows["keys"].append(keys[a:b].tobytes())
+        # counts are bytes, so a set with more keys than that stands there more than once
+        times = np.diff(np.append(first, b - a))
+        pieces = -(-times // 255)
+        counts = np.full(pieces.sum(), 255, np.uint8)
+        counts[np.cumsum(pieces) - 1] = times - 255 * (pieces - 1)
+        rows["sets"].append(np.repeat(own[first], pieces).tobytes())
+        rows["counts"].append(counts.tobytes())
+        rows["keys"].append(np.ascontiguousarray(keys[a:b, None].view(np.uint8)[:, : BITS // 8]).tobytes())
         rows["ranks"].append(None if ranks is None else ranks[a:b].tobytes())
     return pa.RecordBatch.from_pydict(rows, _PACKED)
 
@@ -136,8 +142,11 @@ def _packed(parts: np.ndarray, sets: np.ndarray, keys: np.ndarray, ranks: np.nda
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """owner, keys, ranks of all packed rows."""
     join = lambda name: b"".join(x for x in table.column(name).to_pylist() if x is not None)
-    owner = np.repeat(np.frombuffer(join("sets"), "<i8"), np.frombuffer(join("counts"), "<u4").astype(np.int64))
-    return owner, np.frombuffer(join("keys"), "<u8"), np.frombuffer(join("ranks"), np.uint8)
+    owner = np.repeat(np.frombuffer(join("sets"), "<i8"), np.frombuffer(join("counts"), np.uint8))
+    packed = np.frombuffer(join("keys"), np.uint8).reshape(-1, BITS // 8)
+    keys = np.zeros((len(packed), 8), np.uint8)
+    keys[:, : BITS // 8] = packed
+    return owner, keys.view("<u8").ravel(), np.frombuffer(join("ranks"), np.uint8)
 
 
 def _dealt(n: int, parts: int, sent):
@@ -148,7 +157,7 @@ def _dealt(n: int, parts: int, sent):
         for whole in batches:
             for batch in by_bytes(whole, 1, SLICE):
                 sets = list(ngram_sets(batch.column(1), n))
-                keys = np.concatenate([*sets, np.empty(0, np.uint64)])
+                keys = np.concatenate([*sets, np.empty(0, np.uint64)]) >> _CUT
                 owner = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
                 at = np.minimum(np.searchsorted(often, keys), max(len(often) - 1, 0))
                 known = often[at] == keys if len(often) else np.zeros(len(keys), bool)
@@ -156,7 +165,7 @@ def _dealt(n: int, parts: int, sent):
                     yield _packed((owner[known] % parts).astype(np.int32), owner[known], keys[known], ranks[at[known]])
                 if not known.all():
                     keys, owner = keys[~known], owner[~known]
-                    yield _packed(((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), owner, keys)
+                    yield _packed(((keys >> np.uint64(BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), owner, keys)
 
     return run
 
@@ -218,9 +227,9 @@ def candidates(docs: DataFrame, sets: DataFrame, often: tuple[np.ndarray, np.nda
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     alone = docs.select("text").mapInArrow(_alone(n), "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text"))
     dealt = alone.mapInArrow(_dealt(n, parts, spark.sparkContext.broadcast(often)), PACKED)
-    back = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_counted(parts), PACKED)
+    back = dealt.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_counted(parts), PACKED)
     sizes = sizes.select(F.expr(f"cast(pmod(set_id, {parts}) as int)").alias("part"), "set_id", "size")
-    both = back.unionByName(sizes, allowMissingColumns=True).repartition(parts, "part")
+    both = back.unionByName(sizes, allowMissingColumns=True).repartitionById(parts, F.col("part"))
     return both.groupBy("part").applyInArrow(_prefixed(num, den), "set_id long, size long, uniq long, prefix array<long>, shared binary")
 
 
@@ -229,7 +238,7 @@ def _overlap(a: pa.Array, b: pa.Array, least: pa.Array) -> pa.Array:
     out = []
     for x, y, need in zip(a, b, least.to_pylist(), strict=True):
         x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-        cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
+        cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(BITS - 4)
         in_x, in_y = (np.diff(np.r_[0, np.searchsorted(z, cuts), len(z)]) for z in (x, y))
         if np.minimum(in_x, in_y).sum() < need:
             out.append(0)
@@ -256,7 +265,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     similarity of their sets of n-grams is num / den or more; component_id is the smallest doc_id that links reach.
     A text of fewer than n words has its whole sequence as the only n-gram. Null and empty texts have the empty
     set and stand alone, as do rows with a null doc_id and no equals. Rows that repeat a doc_id each get a row.
-    Other columns are not looked at. Overlaps compare 64-bit hashes of n-grams that at least two sets share.
+    Other columns are not looked at. Overlaps compare 56-bit hashes of n-grams that at least two sets share.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
