@@ -2,7 +2,8 @@
 
 A store is a folder: ``data/<id>/*.parquet`` are immutable shards, ``manifest/v<n>.json`` lists the shards of a
 version. Readers take the newest manifest; writers add files that no manifest names yet, and then commit the next
-manifest by one rename that fails if another writer was first. So an interrupted job leaves a store as it was.
+manifest by one rename that fails if another writer was first (HDFS and local file systems rename so; on an object
+store without such a rename, let one writer commit at a time). So an interrupted job leaves a store as it was.
 The driver holds one line a shard, never rows.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,8 @@ class Store:
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "schema": None, "shards": []}
+        if not self._fs.exists(self._path(f"manifest/v{version:08d}.json")):
+            raise FileNotFoundError(f"{self.path} has no version {version}, or vacuum removed it")
         stream = self._fs.open(self._path(f"manifest/v{version:08d}.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -79,14 +83,18 @@ class Store:
     def append(self, rows: DataFrame, arrival: str, smallest: int = 1 << 20, fanout: int = 4) -> int:
         """Add rows as small shards, one or more for each value of the column ``arrival`` and task; returns the version.
 
-        Each arrival's rows stay together, so nothing is shuffled; null is an arrival of its own.
+        Each arrival's rows stay together, so nothing is shuffled; null is an arrival of its own. Rows are kept as they
+        are, equal ones and those with nulls too, under any column names; an empty table adds a version without shards.
         """
         before = self.manifest()
         schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
         if before["schema"] not in (None, schema):
             raise ValueError("the rows don't have the columns of the store")
         name = uuid.uuid4().hex
-        rows.withColumn("_arrival", F.xxhash64(arrival)).write.partitionBy("_arrival").option("compression", "zstd").parquet(f"{self.path}/data/{name}")
+        column, taken = "arrival", {c.lower() for c in rows.columns}
+        while column in taken:
+            column += "_"
+        rows.withColumn(column, F.xxhash64(F.col(arrival))).write.partitionBy(column).option("compression", "zstd").parquet(f"{self.path}/data/{name}")
         self.commit(before | {"schema": schema, "shards": before["shards"] + self._listed(name, smallest, fanout)})
         return before["version"] + 1
 
@@ -131,13 +139,26 @@ class Store:
                 return before["version"]
             self.commit(before | {"shards": [s for s in before["shards"] if s["file"] not in merged] + made})
 
-    def vacuum(self) -> None:
-        """Delete data that the newest version doesn't name; earlier versions can't be read any more."""
-        kept = {s["file"] for s in self.manifest()["shards"]}
+    def vacuum(self, grace: float = 7 * 86_400) -> None:
+        """Remove all versions but the newest, and the data that only they name.
+
+        Data that no version names may belong to a writer that hasn't committed yet, so it goes only when it is older
+        than ``grace`` seconds. A reader of an earlier version, or a merge of its shards, fails from then on.
+        """
+        newest = self.version()
+        folders = lambda version: {s["file"].split("/")[0] for s in self.manifest(version)["shards"]}
+        kept = folders(newest)
+        there = self._path("manifest")
+        names = [s.getPath().getName() for s in self._fs.listStatus(there)] if newest else []
+        older = sorted(int(x[1:-5]) for x in names if x.startswith("v") and x.endswith(".json") and int(x[1:-5]) < newest)
+        known = set().union(*(folders(v) for v in older))
+        for v in older:
+            self._fs.delete(self._path(f"manifest/v{v:08d}.json"), False)
+        before = (time.time() - grace) * 1000
         there = self._path("data")
         for folder in self._fs.listStatus(there) if self._fs.exists(there) else []:
             name = folder.getPath().getName()
-            if not any(f.startswith(f"{name}/") for f in kept):
+            if name not in kept and (name in known or folder.getModificationTime() < before):
                 self._fs.delete(folder.getPath(), True)
 
 

@@ -174,6 +174,23 @@ def test_jaccard_join_without_common_ngrams(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_packed_ngrams():
+    """Sets of more than 255 n-grams in one part, parts without any, and nothing at all come back as they were."""
+    import pyarrow as pa
+
+    from depgraph.llm import jaccard_join as J
+
+    rng = np.random.default_rng(1)
+    owner = np.repeat(np.array([7, -3, 9]), [1000, 255, 2])
+    keys = rng.integers(0, 1 << J.BITS, len(owner)).astype(np.uint64)
+    parts = rng.integers(0, 3, len(owner)) * 2
+    ranks = rng.integers(0, 255, len(owner)).astype(np.uint8)
+    got = J._gathered(pa.Table.from_batches([J._packed(parts, owner, keys, ranks)]))
+    order = np.argsort(parts, kind="stable")
+    assert all((a == b[order]).all() for a, b in zip(got, (owner, keys, ranks), strict=True))
+    assert all(len(x) == 0 for x in J._gathered(pa.Table.from_batches([J._packed(parts[:0], owner[:0], keys[:0])])))
+
+
 def test_word_hashes():
     """Words that a polynomial modulo 2**64 can't tell apart (Thue-Morse and its complement), and all cuts of one text."""
     import pyarrow as pa
@@ -316,11 +333,22 @@ def test_sharding(spark, odd, empty):
     with pytest.raises(Exception, match="exist"):  # another writer was first
         store.commit(stale)
     assert store.version() == 4
+    writing = f"{store.path}/data/not-committed-yet"
+    odd.write.parquet(writing)
     store.vacuum()
-    assert pairs(store.read()) == before
+    assert pairs(store.read()) == before and pairs(spark.read.parquet(writing)) == pairs(odd)
+    with pytest.raises(FileNotFoundError):
+        store.read(3)
+    assert not store._fs.exists(store._path("data/" + stale["shards"][0]["file"]))
+    store.vacuum(grace=-60)
+    assert not store._fs.exists(store._path("data/not-committed-yet")) and pairs(store.read()) == before
     assert store.append(empty, "source") == 5 and store.read().count() == 3 * odd.count()
     with pytest.raises(ValueError):
         store.append(odd.drop("source"), "doc_id")
+    clash = odd.withColumns({"arrival": F.col("doc_id") * 2, "_arrival": F.lit("mine"), "Arrival_": F.lit("x")})
+    named = Store(spark, scratch_path(spark, "store"))
+    named.append(clash, "arrival")
+    assert pairs(named.read()) == pairs(clash)
     none = Store(spark, scratch_path(spark, "store"))
     none.append(empty, "source")
     assert none.read().count() == 0 and none.compact() == 1
