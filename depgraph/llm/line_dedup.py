@@ -1,104 +1,171 @@
 """Operator 5, line dedup: a suffix array over line-ID sequences by distributed prefix doubling (DataFrame functions only).
 
-A document is the sequence of its lines that are not blank. Round k has, for each line where a run of 2**k lines
-starts that occurs more than once, the rank of that run among all runs of 2**k lines; the rank of a run of twice
-as many lines is the rank of a pair of ranks. Lines whose run is unique leave, so rounds shrink, and they end with
-the longest repeated run. Suffixes of equal rank in round k are one interval of the suffix array whose longest
-common prefix is 2**k lines or more. The first suffix of an interval, in the order of doc_id and line, is kept;
-the others start later copies.
+1. A document is the sequence of its lines that are not blank. Of documents with one and the same text the first stands
+   for all; each of the others is one later copy as a whole. Lines that occur once end the runs around them, so only
+   the others are ranked.
+2. Prefix doubling: round k ranks the runs of 2**k lines from each start (fewer where a run ends before). A run's rank
+   is that of the pair of ranks of its halves, in the pairs' order, so ranks order suffixes by their first 2**k lines.
+   Rounds end when no run of 2**k lines occurs twice; the last ranks order the suffix array.
+3. The longest common prefix of neighbours in the suffix array is put together from the rounds: the highest round in
+   which both have one rank, and then the same from the first line after that run on.
+4. Intervals of the suffix array whose longest common prefix reaches the least length are repeated runs. The first
+   suffix of an interval, by doc_id and line, stays; the others start later copies, which are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import has_rows, written
+from depgraph.llm.common import discard, has_rows, unused, written
 
 _LINES = """filter(transform(split({text}, '\\n', -1), (x, i) -> named_struct('at', i, 'line', x)),
   s -> translate(s.line, ' \\t\\r', '') <> '')"""
+_PLACE = F.struct("doc_id", "row_id", "line")
 
 
-def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_id, line (number among those not blank), chars and two hashes of each line."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_id"), F.posexplode(F.expr(_LINES.format(text=text))).alias("line", "s"))
-    return rows.select("doc_id", "row_id", "line", F.length("s.line").alias("chars"), F.xxhash64("s.line").alias("h"), F.hash("s.line").alias("m"))
+def line_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row_id, t and u (which tell texts apart), own: characters and two hashes of each line that is not blank."""
+    own = F.transform(F.expr(_LINES.format(text=f"`{text}`")), lambda s: F.struct(F.length(s["line"]).alias("chars"), F.xxhash64(s["line"]).alias("h"), F.hash(s["line"]).alias("m")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"), own.alias("own"))
+    return rows.where("size(own) > 0")
 
 
-def _ranked(pairs: DataFrame, name: str) -> DataFrame:
-    """The repeated pairs (h, m), each with its rank in their order and the place where it occurs first."""
-    repeated = pairs.groupBy("h", "m").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row_id", "line")).alias("first")).where("n > 1")
-    ordered = repeated.repartitionByRange("h", "m").sortWithinPartitions("h", "m")
-    return written(ordered.select("h", "m", F.monotonically_increasing_id().alias("rank"), "first"), name)
+def _ranked(pairs: DataFrame, least: int, name: str) -> DataFrame:
+    """The pairs (h, m) that occur ``least`` times, with their rank in order, how often and where first they occur."""
+    found = pairs.groupBy("h", "m").agg(F.count(F.lit(1)).alias("n"), F.min(_PLACE).alias("first")).where(F.col("n") >= least)
+    ordered = found.repartitionByRange("h", "m").sortWithinPartitions("h", "m")
+    return written(ordered.select("h", "m", F.monotonically_increasing_id().alias("rank"), "n", "first"), name)
 
 
-def suffix_rounds(all_lines: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ... a table of the repeated runs of 2**k lines: doc_id, row_id, line, chars, rank, later."""
-    rounds: list[DataFrame] = []
+def suffix_rounds(lines: DataFrame, mark: int = 1) -> DataFrame:
+    """doc_id, row_id, line, chars, ranks, lengths, later, later_run of each start of a repeated line.
+
+    lines: doc_id, row_id, line, chars, h, m. ranks and lengths: of each round, the rank of the run of 2**k lines and its
+    lines, fewer if a line that occurs once or the end comes first. later: the line occurs at an earlier place too;
+    later_run: the run of 2**mark lines does.
+    """
+    ranks = _ranked(lines, 2, "line-ranks")
+    now = lines.join(ranks, ["h", "m"]).select(
+        "doc_id", "row_id", "line", "chars", F.array("rank").alias("ranks"), F.array(F.lit(1)).alias("lengths"), (_PLACE > F.col("first")).alias("later")
+    )
     # rows equal in doc_id and text have the same row_id and count once
-    pairs = all_lines
-    while True:
-        ranks = _ranked(pairs, "line-ranks")
-        later = (F.struct("doc_id", "row_id", "line") > F.col("first")).alias("later")
-        now = pairs.join(ranks, ["h", "m"]).select("doc_id", "row_id", "line", "chars", "rank", later)
-        now = written(now.dropDuplicates(["row_id", "line"]) if not rounds else now, "line-runs")
-        if not has_rows(now):
-            return rounds
-        rounds.append(now)
-        step = 2 ** (len(rounds) - 1)
-        ahead = now.select("row_id", (F.col("line") - step).alias("line"), F.col("rank").alias("m"))
-        pairs = now.withColumnRenamed("rank", "h").join(ahead, ["row_id", "line"]).select("doc_id", "row_id", "line", "chars", "h", "m")
+    now = written(now.dropDuplicates(["row_id", "line"]).withColumn("later_run", F.col("later") if mark == 0 else F.lit(False)), "line-runs")
+    discard(ranks)
+    k, held = 0, now
+    while has_rows(now):
+        k += 1
+        half = 2 ** (k - 1)
+        ahead = now.select("row_id", (F.col("line") - half).alias("line"), F.element_at("ranks", -1).alias("m"), F.element_at("lengths", -1).alias("beyond"))
+        length = F.element_at("lengths", -1)
+        pairs = now.join(ahead, ["row_id", "line"], "left").withColumns(
+            {"h": F.element_at("ranks", -1), "m": F.coalesce("m", F.lit(-1)), "length": F.when(length == half, half + F.coalesce("beyond", F.lit(0))).otherwise(length)}
+        )
+        pairs = written(pairs.drop("beyond"), "line-pairs")
+        ranks = _ranked(pairs, 1, "line-ranks")
+        joined = pairs.join(ranks, ["h", "m"]).withColumns({"ranks": F.concat("ranks", F.array("rank")), "lengths": F.concat("lengths", F.array("length"))})
+        if k == mark:
+            joined = joined.withColumn("later_run", (F.col("length") == 2**k) & (_PLACE > F.col("first")))
+        new = written(joined.select(*now.columns, (F.col("n") > 1).alias("twice")), "line-runs")
+        discard(held, pairs, ranks)
+        again = has_rows(new.where(f"twice AND element_at(lengths, -1) = {2**k}"))
+        now, held = new.drop("twice"), new
+        if not again and k >= mark:
+            break
+    return now
+
+
+def common_prefixes(starts: DataFrame) -> DataFrame:
+    """row_id, line, other_row, other_line, lcp: neighbours in the suffix array and how many lines they have in common.
+
+    starts: as ``suffix_rounds`` gives them. Neighbours without a common line are left out.
+    """
+    order = [F.element_at("ranks", -1).alias("last"), "row_id", "line"]
+    ordered = starts.select(*order, "ranks", "lengths").repartitionByRange("last", "row_id", "line").sortWithinPartitions("last", "row_id", "line")
+    ordered = written(ordered.withColumn("id", F.monotonically_increasing_id()), "suffix-array")
+    # the ids count within partitions; one row a partition tells where each begins
+    part, within = F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    begins = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
+    places = ordered.withColumn("part", F.shiftright("id", 33)).join(F.broadcast(begins), "part").select((F.col("begin") + within).alias("place"), "row_id", "line", "ranks", "lengths")
+    other = places.select((F.col("place") - 1).alias("place"), F.col("row_id").alias("other_row"), F.col("line").alias("other_line"), F.col("ranks").alias("other_ranks"))
+    # a rank that two suffixes share in a round they share in all rounds before it
+    equal = F.size(F.filter(F.arrays_zip(F.col("ranks").alias("a"), F.col("other_ranks").alias("b")), lambda s: s["a"] == s["b"])).alias("equal")
+    keys = ["row_id", "line", "other_row", "other_line"]
+    pairs = places.join(other, "place").select(*keys, F.lit(0).alias("lcp"), equal, "lengths").where("equal > 0")
+    grown = lambda p: p.select(*keys, (F.col("lcp") + F.col("lengths")[F.col("equal") - 1]).alias("lcp"), (F.col("equal") - 1).alias("round"), F.expr("lengths[equal - 1] = shiftleft(1, equal - 1) AND equal > 1").alias("open"))
+    found = written(grown(pairs), "prefixes")
+    done = found.where("NOT open").select(*keys, "lcp")
+    while has_rows(found.where("open")):
+        here = starts.select("row_id", F.col("line").alias("at"), "ranks", "lengths")
+        there = starts.select(F.col("row_id").alias("other_row"), F.col("line").alias("other_at"), F.col("ranks").alias("other_ranks"))
+        on = found.where("open").withColumns({"at": F.col("line") + F.col("lcp"), "other_at": F.col("other_line") + F.col("lcp")})
+        on = on.join(here, ["row_id", "at"], "left").join(there, ["other_row", "other_at"], "left").withColumn("equal", F.least(F.coalesce(F.greatest(equal, F.lit(0)), F.lit(0)), "round"))
+        on = written(on.select(*keys, "lcp", "equal", "lengths"), "prefixes")
+        found = grown(on.where("equal > 0"))
+        done = done.unionByName(on.where("equal = 0").select(*keys, "lcp")).unionByName(found.where("NOT open").select(*keys, "lcp"))
+    return done
 
 
 def dedup_lines(docs: DataFrame, min_doublings: int = 1, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Delete later copies of repeated runs of lines; the first copy of each, by doc_id and line, stays.
 
     Deleted is each line in a later copy of a run of at least 2**min_doublings lines, and each line that is by
-    itself a later copy and has ``min_chars`` characters or more. Lines are compared exactly; blank ones (spaces,
-    tabs, carriage returns) are no part of runs and stay. All columns stay; ``text`` holds the lines left, and is
-    null or empty where it was. Added: n_lines (not blank), n_removed, longest_run (the largest power of two of
-    lines that begin a later copy in the row, or 0); columns so named are replaced. Rows equal in doc_id and text
-    count as one document and share its result. A null doc_id is the first in order.
+    itself a later copy and has ``min_chars`` characters or more. Lines are compared by 96 bits of hashes; blank ones
+    (spaces, tabs, carriage returns) are no part of runs and stay. All columns stay, whatever their names; ``text``
+    holds the lines left, and is null or empty where it was. Added: n_lines (not blank), n_removed, longest_run (lines
+    of the longest run in the row that occurs anywhere else too, or 0); columns so named are replaced. Rows equal in
+    doc_id and text count as one document and share its result. A null doc_id is the first in order. An empty table
+    gives an empty one.
     """
-    all_lines = written(lines(docs, doc_id, text), "lines")
-    rounds = suffix_rounds(all_lines)
-    later = [r.where("later").select("row_id", "line", "chars", F.lit(k).alias("k")) for k, r in enumerate(rounds)]
-    none = all_lines.select("row_id", "line", "chars", F.lit(0).alias("k")).limit(0)
-    runs = none
-    for one in later:
-        runs = runs.unionByName(one)
-    starts = F.when((F.col("k") == min_doublings) & (F.lit(min_doublings) > 0), F.sequence(F.col("line"), F.col("line") + (2**min_doublings - 1)))
-    starts = starts.when((F.col("k") == 0) & ((F.col("chars") >= min_chars) | (F.lit(min_doublings) == 0)), F.array("line"))
-    gone = runs.select("row_id", "k", F.explode_outer(starts).alias("line"))
-    gone = gone.groupBy("row_id").agg(F.collect_set("line").alias("_gone"), F.max(F.expr("cast(pow(2, k) as long)")).alias("_longest"))
-    out = docs.withColumns({"_key": F.xxhash64(doc_id, text)}).join(gone.withColumnRenamed("row_id", "_key"), "_key", "left")
-    out = out.withColumns({"_all": F.split(text, "\n", -1), "_at": F.expr(f"transform({_LINES.format(text=text)}, s -> s.at)")})
-    left = F.expr("transform(array_except(sequence(0, size(_all) - 1), transform(_gone, i -> _at[i])), i -> _all[i])")
+    whole = written(line_sequences(docs, doc_id, text), "lines")
+    firsts = whole.groupBy("t", "u").agg(F.min(F.struct("doc_id", "row_id")).alias("f"), F.max("row_id").alias("high"), F.min("row_id").alias("low"))
+    firsts = written(firsts.select(F.col("f.row_id").alias("row_id"), (F.col("low") < F.col("high")).alias("copied")), "first-texts")
+    own = whole.join(firsts, "row_id", "left")
+    lines = own.where("copied IS NOT NULL").select("doc_id", "row_id", F.posexplode("own").alias("line", "s")).select("doc_id", "row_id", "line", "s.chars", "s.h", "s.m")
+    starts = suffix_rounds(lines, min_doublings)
+    run = 2**min_doublings
+    cut = starts.where(f"later_run OR later AND chars >= {min_chars}")
+    cut = cut.select("row_id", F.explode(F.when(F.col("later_run"), F.sequence("line", F.col("line") + (run - 1))).otherwise(F.array("line"))).alias("at"))
+    prefixes = common_prefixes(starts)
+    longest = prefixes.select("row_id", "lcp").unionByName(prefixes.select(F.col("other_row").alias("row_id"), "lcp"))
+    every = cut.select("row_id", "at", F.lit(0).alias("lcp")).unionByName(longest.select("row_id", F.lit(None).cast("int").alias("at"), "lcp"))
+    by_row = every.groupBy("row_id").agg(F.collect_set("at").alias("gone"), F.max("lcp").alias("lcp"))
+    # copies of a whole text: all lines of the later ones, if there are enough of them or each is long enough by itself
+    copies = own.where("coalesce(copied, true)").select("row_id", "copied", F.size("own").alias("n"), F.expr(f"filter(sequence(0, size(own) - 1), i -> size(own) >= {run} OR own[i].chars >= {min_chars})").alias("all")).dropDuplicates(["row_id"])
+    result = by_row.join(copies, "row_id", "full").select(
+        "row_id", F.when(F.col("n").isNotNull() & F.col("copied").isNull(), F.col("all")).otherwise(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"), F.coalesce("n", "lcp").alias("longest")
+    )
+    key, gone, long, parts, at = unused(docs, "key", "gone", "longest", "parts", "at")
+    result = result.toDF(key, gone, long)
+    out = docs.withColumn(key, F.xxhash64(doc_id, text)).join(result, key, "left")
+    out = out.withColumns({parts: F.split(text, "\n", -1), at: F.expr(f"transform({_LINES.format(text=f'`{text}`')}, s -> s.at)")})
+    left = F.expr(f"transform(array_except(sequence(0, size({parts}) - 1), transform({gone}, i -> {at}[i])), i -> {parts}[i])")
     return out.withColumns(
         {
-            text: F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col(text)),
-            "n_lines": F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at")).cast("long"),
-            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-            "longest_run": F.coalesce("_longest", F.lit(0).cast("long")),
+            text: F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col(text)),
+            "n_lines": F.when(F.col(at).isNull(), 0).otherwise(F.size(at)).cast("long"),
+            "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"),
+            "longest_run": F.coalesce(long, F.lit(0)).cast("long"),
         }
-    ).drop("_key", "_gone", "_longest", "_all", "_at")
+    ).drop(key, gone, long, parts, at)
 
 
-def dedup_lines_sql(levels: int = 14, min_chars: int = 40) -> str:
-    """The same in DuckDB SQL, for runs of two lines and rounds up to 2**levels lines."""
-    parts = [
-        r"""l0 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line, i, x AS name, length(x) AS chars
+def dedup_lines_sql(min_chars: int = 40) -> str:
+    """The same in DuckDB SQL, for runs of two lines; the longest runs by sorting all suffixes."""
+    common = "coalesce(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda k: {a}[k] = {b}[k]), false), least(len({a}), len({b})) + 1) - 1"
+    return f"""WITH l0 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line, i, x AS name, length(x) AS chars
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-WHERE translate(x, ' ' || chr(9) || chr(13), '') <> '')"""
-    ]
-    for k in range(levels):
-        parts.append(f"r{k} AS (SELECT *, count(*) OVER (PARTITION BY name) AS n, row_number() OVER (PARTITION BY name ORDER BY doc_id, line) > 1 AS later FROM l{k})")
-        parts.append(f"l{k + 1} AS (SELECT a.doc_id, a.line, a.chars, md5(a.name || '/' || b.name) AS name FROM (SELECT * REPLACE (md5(name) AS name) FROM r{k} WHERE n > 1) a JOIN (SELECT doc_id, line, md5(name) AS name FROM r{k} WHERE n > 1) b ON a.doc_id = b.doc_id AND b.line = a.line + {2**k})")
-    later = " UNION ALL ".join(f"SELECT doc_id, {2**k} AS depth FROM r{k} WHERE later" for k in range(levels))
-    return f"""WITH {", ".join(parts)}, gone AS (
-SELECT doc_id, line FROM r0 WHERE later AND chars >= {min_chars}
+WHERE translate(x, ' ' || chr(9) || chr(13), '') <> ''),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, line) > 1 AS later FROM l0),
+l1 AS (SELECT a.doc_id, a.line, a.name AS n1, b.name AS n2 FROM l0 a JOIN l0 b ON a.doc_id = b.doc_id AND b.line = a.line + 1),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY n1, n2 ORDER BY doc_id, line) > 1 AS later FROM l1),
+gone AS (SELECT doc_id, line FROM r0 WHERE later AND chars >= {min_chars}
 UNION SELECT doc_id, line FROM r1 WHERE later UNION SELECT doc_id, line + 1 FROM r1 WHERE later),
-longest AS (SELECT doc_id, max(depth) AS longest_run FROM ({later}) GROUP BY doc_id),
+numbered AS (SELECT doc_id, line, dense_rank() OVER (ORDER BY name) AS g FROM l0),
+sequences AS (SELECT doc_id, list(g ORDER BY line) AS s FROM numbered GROUP BY doc_id),
+suffixes AS (SELECT doc_id, s[i:] AS suffix FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM sequences)),
+ordered AS (SELECT doc_id, suffix, coalesce(lag(suffix) OVER w, []) AS before, coalesce(lead(suffix) OVER w, []) AS after FROM suffixes WINDOW w AS (ORDER BY suffix)),
+longest AS (SELECT doc_id, max(greatest(coalesce({common.format(a="suffix", b="before")}, 0), coalesce({common.format(a="suffix", b="after")}, 0))) AS longest_run FROM ordered GROUP BY doc_id),
 cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 kept AS (SELECT c.doc_id, string_agg(c.x, chr(10) ORDER BY c.i) FILTER (WHERE g.line IS NULL) AS text, count(g.line) AS n_removed, count(l.line) AS n_lines
 FROM cut c LEFT JOIN l0 l ON l.doc_id = c.doc_id AND l.i = c.i LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY c.doc_id)

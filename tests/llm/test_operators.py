@@ -296,7 +296,13 @@ def brute_lines(rows, min_lines=2, min_chars=40):
                 if run in seen and (n > 1 or len(run[0]) >= min_chars):
                     gone |= {(d, i + j) for j in range(n)}
                 seen.add(run)
-    return {d: (len(cut[d]), sum((d, i) in gone for i in range(len(cut[d])))) for d in cut}
+    longest = dict.fromkeys(cut, 0)
+    for (d, i), (e, j) in combinations(order, 2):
+        n = 0
+        while i + n < len(cut[d]) and j + n < len(cut[e]) and cut[d][i + n] == cut[e][j + n]:
+            n += 1
+        longest[d], longest[e] = max(longest[d], n), max(longest[e], n)
+    return {d: (len(cut[d]), sum((d, i) in gone for i in range(len(cut[d]))), longest[d]) for d in cut}
 
 
 def test_line_dedup(spark, empty):
@@ -306,12 +312,20 @@ def test_line_dedup(spark, empty):
     long = "a line of boilerplate that is longer than forty characters"
     pool = ["x", "y", "", "  ", long, "short line"]
     rows = [(i, "\n".join(pool[int(j)] if j < 6 else f"own {i} {j}" for j in rng.integers(0, 9, int(rng.integers(0, 25))))) for i in range(30)]
-    rows += [(30, None), (31, ""), (32, "\n\n"), (33, rows[4][1]), (34, rows[4][1] + "\nend")]
-    docs = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, n_lines string").repartition(3)
-    got = {r.doc_id: r for r in dedup_lines(docs).collect()}
-    assert {d: (r.n_lines, r.n_removed) for d, r in got.items()} == brute_lines(rows)
+    rows += [(30, None), (31, ""), (32, "\n\n"), (33, rows[4][1]), (34, rows[4][1] + "\nend"), (41, "alone " * 9), (42, "alone " * 9), (43, "few"), (44, "few")]
+    runs = {n: [f"run {n} {k}" for k in range(n)] for n in (3, 5, 7, 13)}
+    for i, (a, b) in enumerate(((3, 5), (5, 7), (7, 3), (13, 13), (3, 13))):
+        rows.append((50 + i, "\n".join([f"a{i}", *runs[a], "", f"b{i}", *runs[b][: 4 + i], *runs[a][2:]])))
+    docs = spark.createDataFrame([(*r, "old", 1, 2) for r in rows], "doc_id long, text string, n_lines string, key int, Gone int").repartition(3)
+    found = dedup_lines(docs)
+    assert found.columns == ["doc_id", "text", "n_lines", "key", "Gone", "n_removed", "longest_run"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert {d: (r.n_lines, r.n_removed, r.longest_run) for d, r in got.items()} == brute_lines(rows)
+    assert all(r.key == 1 and r.Gone == 2 for r in got.values())
+    for doublings in (0, 2):
+        got4 = {r.doc_id: (r.n_lines, r.n_removed, r.longest_run) for r in dedup_lines(docs, doublings).collect()}
+        assert got4 == brute_lines(rows, 2**doublings, 40 if doublings else 0)
     assert got[30].text is None and got[31].text == "" and got[32].text == "\n\n"
-    assert all(r.longest_run <= max(1, r.n_lines) for r in got.values())
     assert dedup_lines(empty).count() == 0
     one = spark.createDataFrame([(None, "x\ny\nz"), (1, "x\ny")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in dedup_lines(one).collect()} == {None: "x\ny\nz", 1: ""}
