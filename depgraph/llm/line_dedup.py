@@ -27,8 +27,7 @@ _PLACE = F.struct("doc_id", "row_id", "line")
 def line_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_id, t and u (which tell texts apart), own: characters and two hashes of each line that is not blank."""
     own = F.transform(F.expr(_LINES.format(text=f"`{text}`")), lambda s: F.struct(F.length(s["line"]).alias("chars"), F.xxhash64(s["line"]).alias("h"), F.hash(s["line"]).alias("m")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"), own.alias("own"))
-    return rows.where("size(own) > 0")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"), own.alias("own"))
 
 
 def _ranked(pairs: DataFrame, least: int, name: str) -> DataFrame:
@@ -117,7 +116,8 @@ def dedup_lines(docs: DataFrame, min_doublings: int = 1, min_chars: int = 40, do
     doc_id and text count as one document and share its result. A null doc_id is the first in order. An empty table
     gives an empty one.
     """
-    whole = written(line_sequences(docs, doc_id, text), "lines")
+    # filtered once written, as Spark would make the sequences twice otherwise
+    whole = written(line_sequences(docs, doc_id, text), "lines").where("size(own) > 0")
     firsts = whole.groupBy("t", "u").agg(F.min(F.struct("doc_id", "row_id")).alias("f"), F.max("row_id").alias("high"), F.min("row_id").alias("low"))
     firsts = written(firsts.select(F.col("f.row_id").alias("row_id"), (F.col("low") < F.col("high")).alias("copied")), "first-texts")
     own = whole.join(firsts, "row_id", "left")
