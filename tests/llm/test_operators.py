@@ -247,6 +247,31 @@ def test_substring_dedup(corpus, empty):
     assert {(r.n_words, r.n_removed) for r in remove_repeats(twice).collect()} == {(len(cut[3]), len(cut[3]) if len(cut[3]) >= 35 else 0)}
 
 
+def test_substring_dedup_equal_rows(spark):
+    """Equal rows count each anchor once, and words that a polynomial hash can't tell apart are different words."""
+    from depgraph.llm.substring_dedup import remove_repeats
+
+    text = " ".join(f"e{i}" for i in range(60))
+    rows = [(1, text)] * 400 + [(None, text), (None, None)]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 60, 60, "")] * 400 + [(None, 60, 60, ""), (None, 0, 0, "")], key=str)
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, " ".join([a] + [f"w{i}" for i in range(34)])), (2, " ".join([b] + [f"w{i}" for i in range(34)]))]
+    assert [r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
+
+
+def test_compacted_paths(spark):
+    """A path of 40 anchors, one that branches, and an anchor by itself."""
+    from depgraph.llm.substring_dedup import compacted
+
+    rows = [(i, 1000 + i if i < 39 else None, 999 + i if i else None) for i in range(40)]
+    rows += [(100, 2000, None), (101, None, 2000), (102, None, None), (103, 3000, None)]
+    got = {r.gram: (r.head, r.place) for r in compacted(spark.createDataFrame(rows, "gram long, after long, before long")).collect()}
+    assert got == {i: (0, i) for i in range(40)} | {100: (100, 0), 101: (100, 1), 102: (102, 0), 103: (103, 0)}
+
+
 ITEMS = [(1, " ".join(f"i{k}" for k in range(30))), (2, "Short, item!"), (3, " ".join(f"i{k}" for k in range(10, 40))), (4, None), (5, "--"), (6, "item short item"), (7, "short item")]
 
 
