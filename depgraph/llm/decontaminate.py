@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import NOT_ALNUM, Words, by_bytes, small_batches
+from depgraph.llm.common import NOT_ALNUM, Words, by_bytes, small_batches, unused
 
 #: Words of items in one automaton: about 200 bytes each on an executor.
 AUTOMATON_WORDS = 400_000
@@ -32,8 +32,8 @@ class Automaton:
     items of shorter whole items that end a state's runs, longest first.
     """
 
-    def __init__(self, items: list[tuple[int, list[int]]], n: int):
-        """items: their numbers and 64-bit word hashes."""
+    def __init__(self, items: list[tuple[str, list[int]]], n: int):
+        """items: their ids and 64-bit word hashes."""
         self.n = n
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -45,8 +45,8 @@ class Automaton:
                 last = self._add(last, self.words[w])
                 path.append(last)
             ends.append(path)
-        within: list[set[int]] = [set() for _ in self.link]
-        whole: list[list[tuple[int, int]]] = [[] for _ in self.link]
+        within: list[set[str]] = [set() for _ in self.link]
+        whole: list[list[tuple[int, str]]] = [[] for _ in self.link]
         for (item, ws), path in zip(items, ends, strict=True):
             if len(ws) < n:
                 state = path[-1]
@@ -55,8 +55,8 @@ class Automaton:
                 within[self._of_length(state, n)].add(item)
         order = sorted(range(len(self.link)), key=self.length.__getitem__)
         #: The items of the window that ends each state's runs, if they are long enough; those of its own and linked short items.
-        self.hits: list[tuple[int, ...]] = [()] * len(self.link)
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        self.hits: list[tuple[str, ...]] = [()] * len(self.link)
+        self.short: list[tuple[tuple[int, str], ...]] = [()] * len(self.link)
         for state in order[1:]:
             above = self.link[state]
             if self.length[above] >= n:
@@ -103,7 +103,7 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def stream(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
+    def stream(self, words: list[int]) -> Iterator[tuple[int, int, str]]:
         """(end, words, item) of each window that occurs in a run of word numbers."""
         next_, link, length, n = self.next, self.link, self.length, self.n
         state = have = 0
@@ -123,7 +123,7 @@ class Automaton:
                             yield i + 1, size, item
 
 
-def _spans(automaton: Automaton, hashes: np.ndarray, numbers: tuple[np.ndarray, np.ndarray]) -> tuple[list[tuple[int, int]], list[int]]:
+def _spans(automaton: Automaton, hashes: np.ndarray, numbers: tuple[np.ndarray, np.ndarray]) -> tuple[list[tuple[int, int]], list[str]]:
     """Word spans of a document that windows hit, and the items they are of. Runs of words that no item has are skipped."""
     known, number = numbers
     if not len(known):
@@ -132,7 +132,7 @@ def _spans(automaton: Automaton, hashes: np.ndarray, numbers: tuple[np.ndarray,
     there = known[at] == hashes
     edges = np.flatnonzero(np.diff(np.r_[False, there, False].astype(np.int8)))
     spans: list[tuple[int, int]] = []
-    items: set[int] = set()
+    items: set[str] = set()
     for a, b in edges.reshape(-1, 2):
         if b - a < automaton.least:
             continue
@@ -149,7 +149,7 @@ def _spans(automaton: Automaton, hashes: np.ndarray, numbers: tuple[np.ndarray,
 def automata(items: DataFrame, n: int, item_id: str, text: str, most: int = AUTOMATON_WORDS) -> Iterator[Automaton]:
     """One for each ``most`` words of items, read through the driver item by item; more than one only for large sets."""
     held, size = [], 0
-    for item, t in items.select(F.col(item_id).cast("long"), text).where(f"{item_id} IS NOT NULL").orderBy(item_id).toLocalIterator():
+    for item, t in items.select(F.col(item_id).cast("string").alias("item"), F.col(text)).where("item IS NOT NULL").orderBy("item").toLocalIterator():
         words = Words(pa.array([t], pa.string()), NOT_ALNUM, lower=True).hashes.tolist()
         if held and size + len(words) > most:
             yield Automaton(held, n)
@@ -161,7 +161,7 @@ def automata(items: DataFrame, n: int, item_id: str, text: str, most: int = AUTO
         yield Automaton(held, n)
 
 
-HITS = "struct<n_words: long, spans: array<struct<low: long, high: long>>, items: array<long>>"
+HITS = "struct<n_words: long, spans: array<struct<low: long, high: long>>, items: array<string>>"
 
 
 def hit_spans(text, automaton: Automaton, spark) -> object:
@@ -183,7 +183,7 @@ def hit_spans(text, automaton: Automaton, spark) -> object:
                 for a, b in words.each():
                     spans, items = _spans(own[0], words.hashes[a:b], own[1])
                     out.append({"n_words": b - a, "spans": [{"low": x, "high": y} for x, y in spans], "items": items})
-            yield pa.array(out, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), ("items", pa.list_(pa.int64()))]))
+            yield pa.array(out, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), ("items", pa.list_(pa.string()))]))
 
     return F.arrow_udf(find, HITS)(text)
 
@@ -194,12 +194,12 @@ _MERGE = """aggregate(array_sort({x}), cast(array() as array<struct<low: long, h
      concat(m, array(s))))"""
 
 
-def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Add ``contamination``: n_words, spans (merged word spans inside any occurrence of a window), items (their ids).
+def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "contamination") -> DataFrame:
+    """Add ``into``: n_words, spans (merged word spans inside any occurrence of a window), items (their ids as strings).
 
     Words are letters, digits and all characters beyond ASCII, with A-Z lower-cased. Null and empty texts have no
-    words; items without words or id match nothing; without items no word is hit. Other columns stay; one named
-    contamination is replaced.
+    words; items without words or id match nothing; items that repeat an id count as one; without items no word is
+    hit. Other columns stay, also those of repeated rows; one named like ``into`` is replaced.
     """
     spark, found = docs.sparkSession, []
     small_batches(spark)
@@ -208,12 +208,12 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text"
     if not found:
         found = [hit_spans(F.col(text), Automaton([], n), spark)]
     if len(found) == 1:
-        return docs.withColumn("contamination", found[0])
-    parts = [f"_part{i}" for i in range(len(found))]
+        return docs.withColumn(into, found[0])
+    parts = unused(docs, *(f"part{i}" for i in range(len(found))))
     wide = docs.withColumns(dict(zip(parts, found, strict=True)))
     spans = F.expr(_MERGE.format(x="concat(" + ", ".join(f"{p}.spans" for p in parts) + ")"))
-    merged = F.struct(F.col("_part0.n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.concat(*(F.col(f"{p}.items") for p in parts)))).alias("items"))
-    return wide.withColumn("contamination", merged).drop(*parts)
+    merged = F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.concat(*(F.col(f"{p}.items") for p in parts)))).alias("items"))
+    return wide.withColumn(into, merged).drop(*parts)
 
 
 def without_spans(text, spans):
@@ -238,17 +238,23 @@ def without_spans(text, spans):
     return F.arrow_udf(cut, "string")(text, spans)
 
 
+def _hit_words(into: str) -> str:
+    return f"aggregate({into}.spans, cast(0 as long), (n, s) -> n + s.high - s.low)"
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, share: int = 20, text: str = "text") -> DataFrame:
     """Drop the documents that exceed the coverage limit (one word in ``share``) and cut the hit spans out of others.
 
-    Columns stay as they are in ``docs``.
+    All other columns stay as they are in ``docs``, whatever their names; nulls, ties and repeats as in ``find_hits``.
     """
-    found = judged(find_hits(docs, items, n, text), share)
-    return found.where("NOT contaminated").withColumn(text, without_spans(F.col(text), F.col("contamination.spans"))).select(docs.columns)
+    (into,) = unused(docs, "contamination")
+    found = find_hits(docs, items, n, text, into=into)
+    kept = found.where(F.expr(f"NOT ({_hit_words(into)} > 0 AND {share} * {_hit_words(into)} >= {into}.n_words)"))
+    return kept.withColumn(text, without_spans(F.col(text), F.col(f"{into}.spans"))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def judged(hits: DataFrame, share: int = 20) -> DataFrame:
-    """Add n_words, n_hit and contaminated: some word is hit, and at least one in ``share`` is."""
-    n_hit = F.expr("aggregate(contamination.spans, cast(0 as long), (n, s) -> n + s.high - s.low)")
-    counted = hits.withColumns({"n_words": F.col("contamination.n_words"), "n_hit": n_hit})
+    """Add n_words, n_hit and contaminated (some word is hit, and at least one in ``share`` is) to what ``find_hits``
+    gives; columns so named are replaced."""
+    counted = hits.withColumns({"n_words": F.col("contamination.n_words"), "n_hit": F.expr(_hit_words("contamination"))})
     return counted.withColumn("contaminated", F.expr(f"n_hit > 0 AND {share} * n_hit >= n_words"))
