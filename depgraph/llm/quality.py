@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import NOT_ALNUM, SPACE, Words, by_bytes, small_batches, written
+from depgraph.llm.common import NOT_ALNUM, SPACE, Words, by_bytes, small_batches, unused, written
 
 #: Bounds, whatever the input's size: labelled documents to fit on, words of a lexicon, rows of sites that are broadcast.
 FIT_DOCUMENTS, LEXICON, BROADCAST_SITES = 20_000, 2_000, 100_000
@@ -122,10 +122,12 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: list[str], doc_id: str = "doc_id", text: str = "text", most: int = FIT_DOCUMENTS) -> Model:
-    """Fit on at most ``most`` labelled documents, those with the least hash of their id. A target that has one class
-    only, or no labels, gets no weights."""
-    chosen = labels.where(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(most).select(F.col(doc_id).alias("_id"), *targets)
-    sample = written(docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.col(text).alias("_text"), *(chosen[t] for t in targets)), "labelled")
+    """Fit on at most ``most`` labels of documents, those with the least hash of their id. Rows that repeat an id count
+    as one, with the least of their texts. A target that has one class only, or no labels, gets no weights."""
+    known = labels.select(F.col(doc_id).alias("id"), *targets).where("id IS NOT NULL")
+    chosen = known.orderBy(F.xxhash64("id"), "id", *targets).limit(most)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")).join(F.broadcast(chosen.select("id").distinct()), "id").groupBy("id").agg(F.min("_text").alias("_text"))
+    sample = written(texts.join(F.broadcast(chosen), "id").select("_text", *targets), "labelled")
     lexicons = [lexicon(sample, "_text", t) for t in targets]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,24 +189,26 @@ def _pseudo(n: int, k: int, within: float | None, between: float) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", good: str = "quality", toxic: str = "toxic", most: int = FIT_DOCUMENTS) -> DataFrame:
     """Add quality_score and toxic_score (posteriors between 0 and 1) and keep: good rather than not, and not toxic.
 
-    Columns so named are replaced. Null texts count as empty, and null hosts and paths are sites of their own.
+    Columns so named are replaced, all others stay. Null texts count as empty, null hosts and paths are sites of their
+    own, and repeated rows each count and get a row. The evidence is written once, with the rows that it is of.
     Labels other than 0 and 1 are left out; several labels of one document all count. Without labels of both classes
     a target's posterior is that of the model's zero weights, 0.5, and for toxic nothing is dropped.
     """
     small_batches(docs.sparkSession)
     model = fit(docs, labels, [good, toxic], doc_id, text, most)
     known = [bool(np.any(w)) for w in model.weights]
-    scored = docs.withColumns({"_e": model.evidence(F.col(text)), "_host": host, "_path": path})
-    expected = [1 / (1 + F.exp(-(F.col("_e")[i] + p))) for i, p in enumerate(model.priors)]
-    summed = scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), *(e.alias(f"p{i}") for i, e in enumerate(expected)))
+    e, h, p, *site = unused(docs, "evidence", "host", "path", "site0", "site1", "site_host", "site_path")
+    scored = written(docs.withColumns({e: model.evidence(F.col(text)), h: host, p: path}), "evidence")
+    expected = [1 / (1 + F.exp(-(F.col(e)[i] + prior))) for i, prior in enumerate(model.priors)]
+    summed = scored.select(F.col(h).alias("host"), F.col(p).alias("path"), *(x.alias(f"p{i}") for i, x in enumerate(expected)))
     sums = [f(i).alias(f"{x}{i}") for i in range(2) for x, f in (("s", lambda i: F.sum(f"p{i}")), ("q", lambda i: F.sum(F.col(f"p{i}") * F.col(f"p{i}"))))]
     paths = written(summed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *sums), "paths")
-    sites = [site_priors(paths, model.priors[i], i).withColumnRenamed("site", f"_site{i}") for i in range(2)]
-    both = sites[0].alias("a").join(sites[1].alias("b"), F.expr("a.host <=> b.host AND a.path <=> b.path")).select(F.col("a.host").alias("_h"), F.col("a.path").alias("_p"), "_site0", "_site1")
+    sites = [site_priors(paths, model.priors[i], i).withColumnRenamed("site", site[i]) for i in range(2)]
+    both = sites[0].alias("a").join(sites[1].alias("b"), F.expr("a.host <=> b.host AND a.path <=> b.path")).select(F.col("a.host").alias(site[2]), F.col("a.path").alias(site[3]), *site[:2])
     both = written(both, "sites")
     small = both.count() <= BROADCAST_SITES
-    out = scored.join(F.broadcast(both) if small else both, F.expr("_host <=> _h AND _path <=> _p"))
-    posterior = [1 / (1 + F.exp(-(F.col("_e")[i] + F.col(f"_site{i}")))) for i in range(2)]
+    out = scored.join(F.broadcast(both) if small else both, F.col(h).eqNullSafe(F.col(site[2])) & F.col(p).eqNullSafe(F.col(site[3])))
+    posterior = [1 / (1 + F.exp(-(F.col(e)[i] + F.col(site[i])))) for i in range(2)]
     out = out.withColumns({"quality_score": posterior[0], "toxic_score": posterior[1]})
     keep = (F.col("quality_score") >= 0.5 if known[0] else F.lit(True)) & (F.col("toxic_score") < 0.5 if known[1] else F.lit(True))
-    return out.withColumn("keep", keep).drop("_e", "_host", "_path", "_h", "_p", "_site0", "_site1")
+    return out.withColumn("keep", keep).drop(e, h, p, *site)

@@ -300,11 +300,17 @@ def test_decontamination(spark, empty, monkeypatch, most):
                 if tuple(w[j : j + len(key)]) == key:
                     found |= own
                     hit[j : j + len(key)] = [1] * len(key)
-        assert (got[d].n_words, got[d].n_hit, got[d].contamination["items"]) == (len(w), sum(hit), sorted(found)), x
+        assert (got[d].n_words, got[d].n_hit, got[d].contamination["items"]) == (len(w), sum(hit), sorted(map(str, found))), x
         assert got[d].contaminated == (sum(hit) > 0 and 20 * sum(hit) >= len(w))
     kept = {r.doc_id: r.text for r in D.decontaminate(docs, items).collect()}
     assert set(kept) == {d for d in got if not got[d].contaminated} and kept[7].split() == ["z"] * 300
     assert D.find_hits(empty, items).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "'mine' AS n_words", "1 AS N_hit", "2 AS contaminated", "3 AS contamination", "4 AS part0")
+    named = spark.createDataFrame([("b-1", ITEMS[0][1]), ("a", ITEMS[0][1]), ("a", None), (None, "short item")], "item_id string, text string")
+    cut = D.decontaminate(clash, named)
+    assert cut.columns == clash.columns and {tuple(r)[2:] for r in cut.collect()} == {("mine", 1, 2, 3, 4)}
+    found = D.find_hits(clash, named)
+    assert found.columns == clash.columns and [r.contamination["items"] for r in found.where("doc_id = 3").collect()] == [["a", "b-1"]]
     assert D.judged(D.find_hits(docs, items.limit(0))).where("n_hit > 0 OR contaminated").count() == 0
 
 
@@ -420,6 +426,79 @@ def test_quality(spark, empty):
     assert classify(docs.limit(0), known, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_quality_posteriors(spark):
+    """Posteriors from the evidence by plain sums: shares of hosts shrunk to the global one, those of paths to their host's."""
+    from depgraph.llm import quality as Q
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        host, path = ("hot", "p0") if i % 3 == 0 else (f"h{rng.integers(0, 6)}", f"p{rng.integers(0, 3)}")
+        good = rng.random() < 0.3 + 0.1 * (hash_of := int(host[1:]) if host != "hot" else 4)
+        words = [f"w{rng.integers(0, 80)}" + ("" if good else "##") for _ in range(int(rng.integers(3, 30)))]
+        rows.append((i, " ".join(words), host if i % 50 else None, path, int(good), hash_of))
+    docs = spark.createDataFrame([(*r[:4], "x", 1.5, "y", False) for r in rows], "doc_id long, text string, host string, path string, evidence string, site0 double, _id string, keep boolean")
+    docs = docs.unionByName(docs.where("doc_id < 5"))  # repeated rows
+    labels = spark.createDataFrame([(r[0], r[4], int(r[0] % 11 == 0)) for r in rows[:200]] + [(7, None, 3), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = Q.classify(docs, labels, F.col("host"), F.col("path"))
+    assert out.columns == [*docs.columns, "quality_score", "toxic_score"]
+    got = sorted(((r.doc_id, r.host, r.path, r.quality_score, r.toxic_score, r.keep) for r in out.collect()), key=str)
+    model = Q.fit(docs, labels, ["quality", "toxic"])
+    found = docs.select("doc_id", "host", "path", model.evidence(F.col("text")).alias("e")).collect()
+
+    def pseudo(n, k, within, between):
+        if n <= k or k < 2:
+            return 10_000.0
+        outer = (between - within / (n - k) * (k - 1)) / n
+        return min(10_000.0, max(1.0, within / (n - k) / outer)) if outer > 0 else 10_000.0
+
+    scores = []
+    for i in range(2):
+        p = {}
+        for r in found:
+            p.setdefault((r.host, r.path), []).append(1 / (1 + np.exp(-(r.e[i] + model.priors[i]))))
+        hosts = {}
+        for (h, _), v in p.items():
+            hosts.setdefault(h, []).extend(v)
+        n, share = len(found), sum(map(sum, p.values())) / len(found)
+        m = pseudo(n, len(hosts), sum(sum((np.array(v) - np.mean(v)) ** 2) for v in hosts.values()), sum(len(v) * (np.mean(v) - share) ** 2 for v in hosts.values()))
+        near = {h: (sum(v) + m * share) / (len(v) + m) for h, v in hosts.items()}
+        m = pseudo(n, len(p), sum(sum((np.array(v) - np.mean(v)) ** 2) for v in p.values()), sum(len(v) * (np.mean(v) - np.mean(hosts[k[0]])) ** 2 for k, v in p.items()))
+        site = {k: (sum(v) + m * near[k[0]]) / (len(v) + m) for k, v in p.items()}
+        scores.append([1 / (1 + np.exp(-(r.e[i] + np.log(site[r.host, r.path] / (1 - site[r.host, r.path]))))) for r in found])
+    expected = sorted(((r.doc_id, r.host, r.path, a, b, bool(a >= 0.5 and b < 0.5)) for r, a, b in zip(found, *scores, strict=True)), key=str)
+    assert len(got) == len(expected) and all(x[:3] == y[:3] and x[5] == y[5] and np.allclose(x[3:5], y[3:5], rtol=1e-6) for x, y in zip(got, expected, strict=True))
+
+
+def test_texts_longer_than_a_block(spark):
+    """Texts that are cut (words), cut rarely (lines, one blank in between) and not at all (no blank) give the libraries' ids."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from depgraph.llm.byte_bpe import encode_decode
+    from depgraph.llm.pieces import BLOCK, blocks
+    from depgraph.llm.token_counts import count_tokens
+    from depgraph.llm.token_file import read_token_file, write_token_file
+    from depgraph.llm.common import scratch_path
+
+    words = " ".join(f"w{i % 1999},  x{i % 97}" for i in range(150_000))
+    texts = [words, "\n".join(f"line{i % 499}" for i in range(160_000)) + " end " + "tail\n" * 9, "日本語テスト" * 9_000]
+    assert len(words) > BLOCK and len(list(blocks(words))) > 1 and "".join(blocks(words)) == words
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bpe = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in count_tokens(docs, P.path("byte_bpe_50k.json")).collect()} == {i: len(bpe.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read().splitlines() if x)}
+    tik = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = docs.select("doc_id", encode_decode(F.col("text"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).alias("c"))
+    for r in coded.collect():
+        assert list(r.c.ids) == tik.encode_ordinary(texts[r.doc_id]) and bytes(r.c.decoded) == texts[r.doc_id].encode()
+    path = scratch_path(spark, "token-file")
+    write_token_file(docs, path, P.path("word_bpe_49k.json"), end_id=1)
+    word = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for r in read_token_file(spark, path).collect():
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == [*word.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+
+
 def test_site_shrinkage(spark):
     """A site of one document stays near the global share; one of many follows its own documents."""
     from depgraph.llm.quality import site_priors
@@ -493,6 +572,23 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert sorted(kept, key=str) == sorted([(1, "a"), (1, "b"), (None, "c"), (None, ""), (None, "")], key=str)
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Each stage keeps its columns, and rows with nulls, empty texts and repeated ids, and takes empty tables."""
+    import corpus_pipeline as C
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (2, None), (3, ""), (3, " \n"), (4, text("c")), (None, None)]
+    docs = spark.createDataFrame([(d, t, None if d == 1 else "en", None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"quality": len(rows), "lines": len(rows), "near_copies": len(rows) - 1, "benchmark": len(rows), "encode": len(rows)}
+    for name, stage in C.STAGES:
+        out = stage(spark, docs.withColumns({"extra": F.lit(1), "keep": F.lit("mine"), "key": F.lit(2)}), str(tmp_path))
+        assert name == "encode" or out.columns == C.COLUMNS, name
+        assert out.count() == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_pipeline(spark, tmp_path):
     """Stage by stage on a fixture: junk and toxic go, repeated lines go, one near copy stays, test items go."""
     import corpus_pipeline
