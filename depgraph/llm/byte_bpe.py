@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import by_bytes
+from depgraph.llm.common import by_bytes, give_back
 from depgraph.llm.pieces import Pieces, encoded
 
 #: Bytes of texts, or of the ids of texts, that a worker turns into an Arrow array at once.
@@ -123,7 +123,7 @@ def _byte_strings(table: list[bytes], lists: pa.ListArray) -> pa.Array:
 def _released(coder: ByteBpe) -> None:
     """At a task's end: the worker may serve other operators next, so it doesn't keep the pieces it has met."""
     coder.pieces.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,13 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """At a task's end: free memory goes back to the system, as the worker process stays and may serve other operators."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on all input bits (uint64 in, uint64 out)."""
     h = h ^ (h >> np.uint64(31))
@@ -120,16 +128,6 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Indices start, start+1, ... of each run, one run after the other."""
-    counts = np.asarray(counts, np.int64)
-    total = int(counts.sum())
-    if not total:
-        return np.empty(0, np.int64)
-    ends = np.cumsum(counts)
-    return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(np.asarray(starts, np.int64), counts)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores as it takes to be no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

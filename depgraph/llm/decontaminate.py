@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import NOT_ALNUM, Words, by_bytes, small_batches, unused
+from depgraph.llm.common import NOT_ALNUM, Words, by_bytes, give_back, small_batches, unused
 
 #: Words of items in one automaton: about 200 bytes each on an executor.
 AUTOMATON_WORDS = 400_000
@@ -167,15 +167,12 @@ HITS = "struct<n_words: long, spans: array<struct<low: long, high: long>>, items
 def hit_spans(text, automaton: Automaton, spark) -> object:
     """Column struct: n_words, the hit spans of words (low to high - 1, merged, in order) and the items found."""
     sent = spark.sparkContext.broadcast(pickle.dumps(automaton, protocol=5))
-    kept: dict[int, tuple] = {}
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = kept.get(0)
-        if own is None:
-            made = pickle.loads(sent.value)
-            hashes = np.fromiter(made.words, np.uint64, len(made.words))
-            order = np.argsort(hashes)
-            own = kept[0] = made, (hashes[order], order)
+        made = pickle.loads(sent.value)
+        hashes = np.fromiter(made.words, np.uint64, len(made.words))
+        order = np.argsort(hashes)
+        own = made, (hashes[order], order)
         for texts in batches:
             out = []
             for some in by_bytes(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
@@ -184,8 +181,11 @@ def hit_spans(text, automaton: Automaton, spark) -> object:
                     spans, items = _spans(own[0], words.hashes[a:b], own[1])
                     out.append({"n_words": b - a, "spans": [{"low": x, "high": y} for x, y in spans], "items": items})
             yield pa.array(out, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), ("items", pa.list_(pa.string()))]))
+        del made, own
+        give_back()
 
-    return F.arrow_udf(find, HITS)(text)
+    # called nondeterministic so that a filter on the hits isn't pushed below, where it would find them a second time
+    return F.arrow_udf(find, HITS).asNondeterministic()(text)
 
 
 _MERGE = """aggregate(array_sort({x}), cast(array() as array<struct<low: long, high: long>>), (m, s) ->
@@ -234,6 +234,7 @@ def without_spans(text, spans):
                     at = starts[s["high"]]
                 out.append(b"".join([*kept, raw[at:]]).decode())
             yield pa.array(out, pa.string())
+        give_back()
 
     return F.arrow_udf(cut, "string")(text, spans)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import SPACE, Words, by_bytes, has_rows, mix, ranges, small_batches, windows, written
+from depgraph.llm.common import SPACE, Words, by_bytes, give_back, has_rows, mix, small_batches, windows, written
 from depgraph.llm.components import components
 
 #: Hash bits that go into counts and overlaps, and n-grams that one range counts at once, on average.
@@ -75,6 +75,7 @@ def _identified(n: int):
                 columns = {"doc_id": batch.column(0).to_pylist() + [None] * rest, "set_id": keys + [None] * rest, "n_shingles": [len(s) for s in sets] + [None] * rest}
                 columns |= {"gram": [None] * len(sets) + grams.tolist() + [None], "times": [None] * len(sets) + times.tolist() + [1]}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+        give_back()
 
     return run
 
@@ -108,6 +109,7 @@ def _alone(n: int):
                     if len(grams):
                         first.setdefault(fingerprint(grams), i)
                 yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), batch.column(0).take(pa.array(first.values(), pa.int64()))], names=["set_id", "text"])
+        give_back()
 
     return run
 
@@ -166,6 +168,7 @@ def _dealt(n: int, parts: int, sent):
                 if not known.all():
                     keys, owner = keys[~known], owner[~known]
                     yield _packed(((keys >> np.uint64(BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), owner, keys)
+        give_back()
 
     return run
 
@@ -186,6 +189,8 @@ def _counted(parts: int):
         found[order] = np.repeat(lengths, lengths)
         again = found > 1
         back = _packed((owner[again] % parts).astype(np.int32), owner[again], keys[again], _ranks(found[again]))
+        del owner, keys, order, found
+        give_back()
         return pa.concat_tables([table.filter(passed).cast(_PACKED), pa.Table.from_batches([back])])
 
     return run
@@ -214,6 +219,8 @@ def _prefixed(num: int, den: int):
         spans = list(zip(first[on].tolist(), lengths[on].tolist(), room[on].tolist(), strict=True))
         rows["prefix"] = [keys[a : a + min(m, r)].astype(np.int64) for a, m, r in spans]
         rows["shared"] = [np.sort(keys[a : a + m]).tobytes() for a, m, _ in spans]
+        del owner, keys, ranks, order
+        give_back()
         return pa.Table.from_pydict(rows, _CANDIDATE)
 
     return run

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import NOT_ALNUM, SPACE, Words, by_bytes, small_batches, unused, written
+from depgraph.llm.common import NOT_ALNUM, SPACE, Words, by_bytes, give_back, small_batches, unused, written
 
 #: Bounds, whatever the input's size: labelled documents to fit on, words of a lexicon, rows of sites that are broadcast.
 FIT_DOCUMENTS, LEXICON, BROADCAST_SITES = 20_000, 2_000, 100_000
@@ -117,6 +117,7 @@ class Model:
                 parts = [np.clip(features(b.column(0), lexicons) @ weights - priors, -20, 20) for b in by_bytes(pa.RecordBatch.from_arrays([texts], names=["t"]), 0)]
                 flat = np.concatenate(parts).ravel() if parts else np.empty(0)
                 yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(priors)), pa.array(flat))
+            give_back()
 
         return F.arrow_udf(score, "array<double>")(text)
 
