@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RECORDERS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that ``stored`` writes meanwhile, for whoever knows when they may be discarded."""
+    made: list[DataFrame] = []
+    _RECORDERS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDERS.pop()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.stored_at = path
+    for held in _RECORDERS:
+        held.append(made)
     return made
 
 
