@@ -12,10 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from depgraph.tables import discard, has_rows, shared_dir
+from depgraph.tables import discard, has_rows, recorded, shared_dir
 from depgraph.tables import stored as written
 
-__all__ = ["discard", "has_rows", "shared_dir", "written"]
+__all__ = ["discard", "has_rows", "recorded", "shared_dir", "written"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

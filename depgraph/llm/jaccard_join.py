@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import SPACE, Words, by_bytes, give_back, has_rows, mix, small_batches, windows, written
+from depgraph.llm.common import SPACE, Words, by_bytes, discard, give_back, has_rows, mix, recorded, small_batches, windows, written
 from depgraph.llm.components import components
 
 #: Hash bits that go into counts and overlaps, and n-grams that one range counts at once, on average.
@@ -278,6 +278,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     small_batches(docs.sparkSession)
     found = written(docs.mapInArrow(_identified(n), SETS), "sets")
     sets = found.where("times IS NULL").select("doc_id", "set_id", "n_shingles")
+    with recorded() as made:
+        labels = _labels(docs, sets, found, n, num, den)
+        ids = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+        ids = ids.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("label", "set_id").alias("label"))
+        ids = written(ids, "first-ids")
+    least = ids.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = written(ids.join(least, "label").select("set_id", "component_id"), "named")
+    discard(*made)
+    return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labels(docs: DataFrame, sets: DataFrame, found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, label: the component of each set that links to another."""
     known = written(candidates(docs, sets, frequent(found), n, num, den), "candidates")
     postings = written(known.select("set_id", "size", "uniq", F.posexplode("prefix").alias("at", "gram")).select("gram", "set_id", "size", (F.col("uniq") + F.col("at")).alias("at"), (F.col("uniq") / F.col("size")).alias("apart")), "postings")
     central = postings.groupBy("gram").agg(F.min(F.struct("apart", "set_id", "size", "at")).alias("c"), F.min("size").alias("low"), F.count("*").alias("n")).where("n > 1")
@@ -294,12 +307,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     more = written(verified(_distinct_pairs(rest, "set_id", "set_id_o"), known, num, den), "links")
     if has_rows(more):
         labels = components(links.unionByName(more))
-    ids = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    ids = ids.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("label", "set_id").alias("label"))
-    ids = written(ids, "first-ids")
-    least = ids.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = written(ids.join(least, "label").select("set_id", "component_id"), "named")
-    return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return labels
 
 
 def _distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:

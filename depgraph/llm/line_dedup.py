@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import discard, has_rows, unused, written
+from depgraph.llm.common import discard, has_rows, recorded, unused, written
 
 _LINES = """filter(transform(split({text}, '\\n', -1), (x, i) -> named_struct('at', i, 'line', x)),
   s -> translate(s.line, ' \\t\\r', '') <> '')"""
@@ -105,17 +105,8 @@ def common_prefixes(starts: DataFrame) -> DataFrame:
     return done
 
 
-def dedup_lines(docs: DataFrame, min_doublings: int = 1, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Delete later copies of repeated runs of lines; the first copy of each, by doc_id and line, stays.
-
-    Deleted is each line in a later copy of a run of at least 2**min_doublings lines, and each line that is by
-    itself a later copy and has ``min_chars`` characters or more. Lines are compared by 96 bits of hashes; blank ones
-    (spaces, tabs, carriage returns) are no part of runs and stay. All columns stay, whatever their names; ``text``
-    holds the lines left, and is null or empty where it was. Added: n_lines (not blank), n_removed, longest_run (lines
-    of the longest run in the row that occurs anywhere else too, or 0); columns so named are replaced. Rows equal in
-    doc_id and text count as one document and share its result. A null doc_id is the first in order. An empty table
-    gives an empty one.
-    """
+def _gone_lines(docs: DataFrame, min_doublings: int, min_chars: int, doc_id: str, text: str) -> DataFrame:
+    """row_id, gone (the lines to delete), longest, of rows that have either."""
     # filtered once written, as Spark would make the sequences twice otherwise
     whole = written(line_sequences(docs, doc_id, text), "lines").where("size(own) > 0")
     firsts = whole.groupBy("t", "u").agg(F.min(F.struct("doc_id", "row_id")).alias("f"), F.max("row_id").alias("high"), F.min("row_id").alias("low"))
@@ -132,9 +123,27 @@ def dedup_lines(docs: DataFrame, min_doublings: int = 1, min_chars: int = 40, do
     by_row = every.groupBy("row_id").agg(F.collect_set("at").alias("gone"), F.max("lcp").alias("lcp"))
     # copies of a whole text: all lines of the later ones, if there are enough of them or each is long enough by itself
     copies = own.where("coalesce(copied, true)").select("row_id", "copied", F.size("own").alias("n"), F.expr(f"filter(sequence(0, size(own) - 1), i -> size(own) >= {run} OR own[i].chars >= {min_chars})").alias("all")).dropDuplicates(["row_id"])
-    result = by_row.join(copies, "row_id", "full").select(
+    return by_row.join(copies, "row_id", "full").select(
         "row_id", F.when(F.col("n").isNotNull() & F.col("copied").isNull(), F.col("all")).otherwise(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"), F.coalesce("n", "lcp").alias("longest")
     )
+
+
+def dedup_lines(docs: DataFrame, min_doublings: int = 1, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Delete later copies of repeated runs of lines; the first copy of each, by doc_id and line, stays.
+
+    Deleted is each line in a later copy of a run of at least 2**min_doublings lines, and each line that is by
+    itself a later copy and has ``min_chars`` characters or more. Lines are compared by 96 bits of hashes; blank ones
+    (spaces, tabs, carriage returns) are no part of runs and stay. All columns stay, whatever their names; ``text``
+    holds the lines left, and is null or empty where it was. Added: n_lines (not blank), n_removed, longest_run (lines
+    of the longest run in the row that occurs anywhere else too, or 0); columns so named are replaced. Rows equal in
+    doc_id and text count as one document and share its result. A null doc_id is the first in order. An empty table
+    gives an empty one.
+    """
+    with recorded() as made:
+        result = _gone_lines(docs, min_doublings, min_chars, doc_id, text)
+    # what is left to do needs this small table only
+    result = written(result, "gone-lines")
+    discard(*(t for t in made if t is not result))
     key, gone, long, parts, at = unused(docs, "key", "gone", "longest", "parts", "at")
     result = result.toDF(key, gone, long)
     out = docs.withColumn(key, F.xxhash64(doc_id, text)).join(result, key, "left")
