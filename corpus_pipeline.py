@@ -1,13 +1,39 @@
-"""The corpus pipeline: each stage works on all that the stage before it kept."""
+"""The corpus pipeline: each stage works on all that the stage before it kept.
+
+Each stage takes the columns of ``documents`` (others are left out), with nulls in any of them, empty and very long texts,
+repeated rows and ids, and empty tables; what becomes of such rows is in the docstring of its operator.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Intermediate tables of the stage that was called last.
+_MADE: list[DataFrame] = []
+
+
+def _stage(function):
+    """A stage whose intermediate tables are deleted when the next one is called: each stage's result is written and
+    read again before, so only the written result is needed from then on."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        from depgraph.llm.common import discard, recorded
+
+        discard(*_MADE)
+        with recorded() as made:
+            out = function(spark, docs, sf_dir)
+        _MADE[:] = made
+        return out
+
+    return run_stage
 
 
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the quality classifier doesn't reject."""
     from depgraph.llm.quality import classify
@@ -16,6 +42,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classify(docs, labels, host=F.col("source"), path=F.col("lang")).where("keep").select(COLUMNS)
 
 
+@_stage
 def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: texts without later copies of repeated runs of lines; n_chars counts what is left."""
     from depgraph.llm.line_dedup import dedup_lines
@@ -23,6 +50,7 @@ def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@_stage
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group of near duplicates one row, that with the smallest doc_id (null last), then hash of text.
 
@@ -38,6 +66,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return docs.join(first.select(F.col("place.row").alias("row")), "row", "left_semi").select(COLUMNS)
 
 
+@_stage
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that the benchmark's windows don't cover beyond the limit; what is hit in others is cut out."""
     from depgraph.llm.decontaminate import decontaminate
@@ -46,6 +75,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+@_stage
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: token ids and decoded text of each document that is left, as digests."""
     from depgraph.llm.queries import byte_bpe_digests
