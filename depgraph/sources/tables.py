@@ -112,6 +112,6 @@ _REST = """forward AS (SELECT src, kind, dst, min(line) AS line, 2 * min(seq) AS
 inverse AS (SELECT dst AS src, CASE WHEN kind LIKE 'declaration-%' THEN 'declared-in' ELSE 'used-by' END AS kind, src AS dst, seq + 1 AS seq FROM forward),
 edges AS (SELECT src, kind, dst, seq, false AS reverse FROM forward UNION ALL SELECT src, kind, dst, min(seq), true FROM inverse GROUP BY src, kind, dst),
 nodes AS (SELECT id, kind, true AS resolved FROM declared UNION ALL
-SELECT DISTINCT id, 'unknown', false FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM declared))"""
+SELECT DISTINCT id, 'unknown', false FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) ANTI JOIN declared USING (id))"""
 STAR_SQL = f"{_FORWARD}, {_DECLARED}, {_REST}"
 FLOW_SQL = f"{_FLOW}, {_REST}"
