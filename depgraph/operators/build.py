@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depgraph.functions import inverse_kind
 from depgraph.model import Graph
-from depgraph.tables import has_rows
+from depgraph.tables import has_rows, stored
 
 
 class NodeExists(ValueError):
@@ -83,11 +83,25 @@ def add_nodes(graph: Graph, nodes: DataFrame) -> Graph:
     return Graph(kept.unionByName(strict_nodes(nodes)), graph.edges)
 
 
+#: Places from here on are numbered anew when edges are added, so that no number of merges runs out of places.
+_FAR = 1 << 61
+
+
+def _renumbered(edges: DataFrame) -> DataFrame:
+    """The edges in the same order, at the least places that tasks can give without knowing of each other."""
+    order = ["seq", "src", "kind", "dst"]
+    return stored(edges.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "renumbered")
+
+
 def add_edges(graph: Graph, edges: DataFrame) -> Graph:
     """Add forward edges after those that are there, with inverses and placeholders."""
-    last = graph.edges.agg(F.max("seq")).first()[0]
-    base = 0 if last is None else last // 2 + 1
-    joined = forward_edges(graph).unionByName(edges.withColumn("seq", F.col("seq") + base))
+    there = forward_edges(graph)
+    last, top = there.agg(F.max("seq")).first()[0], edges.agg(F.max("seq")).first()[0]
+    if (last or 0) + (top or 0) + 1 >= _FAR:
+        there, edges = _renumbered(there), _renumbered(edges)
+        last = there.agg(F.max("seq")).first()[0]
+    base = 0 if last is None else last + 1
+    joined = there.unionByName(edges.withColumn("seq", F.col("seq") + base))
     known = graph.nodes
     return Graph(known.unionByName(placeholders(known, edges)), both_ways(first_edges(joined)))
 

@@ -143,6 +143,18 @@ def test_merge(spark):
         build.strict_nodes(b.nodes.unionByName(b.nodes))
 
 
+def test_merges_do_not_run_out_of_places(spark):
+    """Graphs whose places are as large as those of extracted text, merged one after the other, keep their order."""
+    merged = None
+    for i, (a, b) in enumerate(("AB", "CD", "EF", "GH")):
+        ns = spark.createDataFrame([(f"App\\{x}", "function", True, None, k) for k, x in enumerate((a, b))], NODES)
+        es = spark.createDataFrame([(f"App\\{x}", "function-call", f"App\\{y}", False, ("f", 1, 1, "f"), (1 << 61) - 9 + k) for k, (x, y) in enumerate(((a, b), (b, a)))], EDGE)
+        one = build.assemble(ns, es)
+        merged = one if merged is None else build.merge(merged, one)
+    assert "".join(r.src[-1] for r in merged.edges.where("NOT reverse").orderBy("seq").collect()) == "ABCDEFGH"
+    assert merged.edges.count() == 16 and merged.edges.where("seq < 0").count() == 0
+
+
 def test_reach(spark):
     graph = made(spark, ["AB", "BC", "CA", "CD"])
     roots = lookup.node(graph, "App\\A")
