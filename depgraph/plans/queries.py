@@ -364,7 +364,10 @@ def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [
         customers.select(F.concat(F.lit("Customer"), "c_custkey"), text("Sales", "class Customer", F.col("c_custkey"), " extends \\Geo\\Nation", F.col("c_nationkey"), " {\n", F.coalesce("methods", F.lit("")), "}\n")),
         table(spark, sf_dir, "supplier").select(F.concat(F.lit("Supplier"), "s_suppkey"), text("Catalog", "final class Supplier", F.col("s_suppkey"), " extends \\Geo\\Nation", F.col("s_nationkey"), " {}\n")),
-        table(spark, sf_dir, "part").select(F.concat(F.lit("Part"), "p_partkey"), text("Catalog", "class Part", F.col("p_partkey"), " {\n    private ?int $size = ", F.col("p_size"), ";\n}\n")),
+        table(spark, sf_dir, "part").select(
+            F.concat(F.lit("Part"), "p_partkey"),
+            text("Catalog", "#[", F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), "(size: ", F.col("p_size"), ")]\nclass Part", F.col("p_partkey"), " {\n    private ", F.col("p_type"), "|null $size = null;\n}\n"),
+        ),
         table(spark, sf_dir, "nation").select(F.concat(F.lit("Nation"), "n_nationkey"), text("Geo", "class Nation", F.col("n_nationkey"), " implements Region", F.col("n_regionkey"), " {}\n")),
         table(spark, sf_dir, "region").select(F.concat(F.lit("Region"), "r_regionkey"), text("Geo", "interface Region", F.col("r_regionkey"), " {}\n")),
     ]
@@ -375,7 +378,7 @@ def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files
 
 
-@_query("SELECT src, kind, dst FROM forward WHERE kind IN ('declaration-extends', 'declaration-implements', 'declaration-method', 'declaration-property', 'instantiation', 'instanceof')")
+@_query("SELECT src, kind, dst FROM forward")
 def php_extract_edges(spark, sf_dir):
     """Extraction from PHP text of the tables gives the edges that the tables give directly."""
     from depgraph.sources.php import items
@@ -388,3 +391,61 @@ def php_extract_nodes(spark, sf_dir):
     from depgraph.sources.php import items
 
     return build.first_nodes(items(php_files(spark, sf_dir))[0]).select("id", "kind")
+
+
+#: A class for an order, its customer K and its status S: each kind of use and declaration, and what must not count.
+_ORDER = r"""<?php
+namespace Desk;
+use Lib\{CustomerK as Buyer, Clerk};
+use Tool\Kit;
+/** @see Nope */
+#[Mark, Kit\Tag([Kit\Nope::A])]
+final class OrderN {
+    use Counted;
+    #[Column] const FIRST = 1, STATUS_S = 2;
+    #[Column] protected ?Buyer $buyer, $other;
+    public function __construct(#[In] private readonly (Buyer&Clerk)|null $both, int $n = 0) { parent::__construct(); }
+    #[Run("new Nope()")] public static function open(Buyer|string $b, self $me): static|Kit\BoxS {
+        // new Nope();
+        try { Buyer::make(Kit\Box::$pool); } catch (\Error | Kit\Fault $e) { $this->close(Buyer::KINDS); }
+        return $this?->total instanceof \Closure ? array_map(fn(Nope $x): Nope => new static(), []) : <<<"TEXT"
+            new Nope()
+            TEXT;
+    }
+}
+enum StateN: string { #[Mark] case S = 's'; public function of(): ?Buyer { return helper(self::S); } }
+"""
+# The edges of that text; N, K and S stand for the same as there.
+_ORDER_EDGES = r"""OrderN attribute Desk\Mark|OrderN attribute Tool\Kit\Tag|OrderN declaration-trait-use Desk\Counted
+OrderN declaration-constant Desk\OrderN::FIRST|OrderN declaration-constant Desk\OrderN::STATUS_S|OrderN::FIRST attribute Desk\Column|OrderN::STATUS_S attribute Desk\Column
+OrderN declaration-property Desk\OrderN::buyer|OrderN declaration-property Desk\OrderN::other|OrderN declaration-property Desk\OrderN::both
+OrderN::buyer attribute Desk\Column|OrderN::other attribute Desk\Column|OrderN::buyer declaration-type-property Lib\CustomerK|OrderN::other declaration-type-property Lib\CustomerK
+OrderN declaration-method Desk\OrderN::__construct|OrderN::__construct attribute Desk\In|OrderN::both attribute Desk\In
+OrderN::__construct declaration-type-parameter Lib\CustomerK|OrderN::__construct declaration-type-parameter Lib\Clerk
+OrderN::both declaration-type-property Lib\CustomerK|OrderN::both declaration-type-property Lib\Clerk
+OrderN declaration-method Desk\OrderN::open|OrderN::open attribute Desk\Run|OrderN::open declaration-type-return Tool\Kit\BoxS|OrderN::open declaration-type-parameter Lib\CustomerK
+OrderN::open static-call Lib\CustomerK::make|OrderN::open static-property-access Tool\Kit\Box::pool|OrderN::open catch Error|OrderN::open catch Tool\Kit\Fault
+OrderN::open method-call Desk\OrderN::close|OrderN::open const-fetch Lib\CustomerK::KINDS|OrderN::open property-access Desk\OrderN::total
+OrderN::open instanceof Closure|OrderN::open function-call array_map|OrderN::open instantiation Desk\OrderN
+StateN declaration-enum-case Desk\StateN::S|StateN::S attribute Desk\Mark|StateN declaration-method Desk\StateN::of
+StateN::of declaration-type-return Lib\CustomerK|StateN::of function-call helper|StateN::of const-fetch Desk\StateN::S"""
+
+
+def _order_sql() -> str:
+    filled = lambda x: "replace(replace(replace(" + x + ", 'OrderN', 'Order' || o_orderkey), 'StateN', 'State' || o_orderkey), 'CustomerK', 'Customer' || o_custkey)"
+    edges = [e.split(" ") for line in _ORDER_EDGES.split("\n") for e in line.split("|")]
+    values = ", ".join(f"('Desk\\{s}', '{k}', '{d}')" for s, k, d in edges)
+    status = "regexp_replace({}, '(STATUS_|Box|::)S$', '\\1' || o_orderstatus)"
+    return f"SELECT DISTINCT {filled(status.format('v.src'))} AS src, v.kind, {filled(status.format('v.dst'))} AS dst FROM orders, (VALUES {values}) v(src, kind, dst)"
+
+
+@_query(_order_sql(), prelude=None)
+def php_extract_kinds(spark, sf_dir):
+    """Every kind of use and declaration, types and attributes among them, in a file for each order."""
+    from depgraph.sources.php import items
+
+    text = F.lit(_ORDER)
+    for old, new in (("OrderN", F.concat(F.lit("Order"), "o_orderkey")), ("StateN", F.concat(F.lit("State"), "o_orderkey")), ("CustomerK", F.concat(F.lit("Customer"), "o_custkey")), ("STATUS_S", F.concat(F.lit("STATUS_"), "o_orderstatus")), ("BoxS", F.concat(F.lit("Box"), "o_orderstatus")), ("case S", F.concat(F.lit("case "), "o_orderstatus")), ("self::S", F.concat(F.lit("self::"), "o_orderstatus"))):
+        text = F.replace(text, F.lit(old), new)
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), text.alias("content"))
+    return build.first_edges(items(files)[1]).select("src", "kind", "dst")

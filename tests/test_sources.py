@@ -42,8 +42,8 @@ new Outside();
 NODES = """class Service|constant Service::LIMIT|property Service::n|property Service::log|method Service::__construct|property Service::t|method Service::run|method Service::help
 interface One|method One::a|enum Suit|enum_case Suit::Hearts|enum_case Suit::Spades|function top"""
 RUN = r"""instantiation Lib\Logger|instanceof Lib\Thing|property-access App\Svc\Service::n|const-fetch App\Svc\Service::LIMIT|method-call App\Svc\Service::help|static-call Lib\Logger::make
-static-call App\Svc\Base::run|catch Err|catch App\Svc\Oops|function-call strlen|instantiation Abs\C|static-property-access Lib\Thing::inst|instantiation App\Svc\Service"""
-OTHER = r"""Service declaration-extends App\Svc\Base|Service declaration-implements App\Svc\One|Service declaration-implements Two|Service declaration-trait-use App\Svc\Tr|One declaration-extends App\Svc\Zero|top instantiation App\Svc\Service"""
+static-call App\Svc\Base::run|catch Err|catch App\Svc\Oops|function-call strlen|instantiation Abs\C|static-property-access Lib\Thing::inst|instantiation App\Svc\Service|declaration-type-parameter Lib\Logger"""
+OTHER = r"""Service declaration-extends App\Svc\Base|Service declaration-implements App\Svc\One|Service declaration-implements Two|Service declaration-trait-use App\Svc\Tr|Service::log declaration-type-property Lib\Logger|Service::t declaration-type-property Lib\Thing|Service::__construct declaration-type-parameter Lib\Thing|One declaration-extends App\Svc\Zero|top instantiation App\Svc\Service"""
 
 
 def split(text):
@@ -115,6 +115,53 @@ def test_lists_of_names(spark):
     assert made == {"A\\B", "C\\D", "G\\H", "G\\I\\J", "App\\f"}
 
 
+SIGNATURES = r"""<?php
+namespace App;
+use A\{T, U};
+#[Mark, \Other(1, [T::K])] final class X {
+    #[Mark(Y::class)]
+    #[T] const ONE = 1, TWO = 2;
+    #[U] public readonly ?T $a, $b;
+    protected (T&U)|null|self $c = null;
+    private int|string $n;
+    static U $s;
+    #[Run(new Z())] public function __construct(#[In] private T|U|null $p, #[U] protected (T&Q) $r, &...$rest) { static $kept = 1; $f = #[Lost(1)] fn(W $w): V => $w; }
+    abstract function m(T $t = new Deep(), self $me, array $l = [U::K]): ?U;
+    function n(): (T&U)|static { return fn(V $v): V => $v; }
+}
+enum E { #[Mark] case One; case Two; public function of(E $e): static { } }
+#[T] function top(U &$u, string ...$s): \V|int { }
+interface I { #[Mark] public function i(I $i): self; }
+"""
+SIGNED = r"""X attribute App\Mark|X attribute Other|X::ONE attribute App\Mark|X::ONE attribute A\T|X::TWO attribute App\Mark|X::TWO attribute A\T
+X::a attribute A\U|X::b attribute A\U|X::a declaration-type-property A\T|X::b declaration-type-property A\T|X::c declaration-type-property A\T|X::c declaration-type-property A\U|X::s declaration-type-property A\U
+X::__construct attribute App\Run|X::__construct attribute App\In|X::__construct attribute A\U|X::p attribute App\In|X::r attribute A\U
+X::p declaration-type-property A\T|X::p declaration-type-property A\U|X::r declaration-type-property A\T|X::r declaration-type-property App\Q
+X::__construct declaration-type-parameter A\T|X::__construct declaration-type-parameter A\U|X::__construct declaration-type-parameter App\Q
+X::m declaration-type-parameter A\T|X::m declaration-type-return A\U|X::n declaration-type-return A\T|X::n declaration-type-return A\U
+E::One attribute App\Mark|E::of declaration-type-parameter App\E|top attribute A\T|top declaration-type-parameter A\U|top declaration-type-return V|I::i attribute App\Mark|I::i declaration-type-parameter App\I"""
+
+
+def test_types_and_attributes(spark):
+    """Types of parameters, results and properties, however nested, and attributes of every declaration, each once;
+    nothing in a head or an attribute is a use."""
+    nodes, edges = items(spark.createDataFrame([("a.php", SIGNATURES)], "path string, content string"))
+    rows = edges.where("kind = 'attribute' OR kind LIKE 'declaration-type%' OR kind NOT LIKE 'declaration%'").collect()
+    got = [f"{r.src.removeprefix('App' + chr(92))} {r.kind} {r.dst}" for r in rows]
+    twice = "X::__construct declaration-type-parameter A\\T"  # of two parameters
+    assert sorted(got) == sorted([*split(SIGNED), twice])
+    assert {r.id for r in nodes.where("kind = 'property'").collect()} == {f"App\\X::{x}" for x in ("a", "b", "c", "n", "s", "p", "r")}
+
+
+def test_order_of_edges(spark):
+    """A declaration is followed by its attributes, then returned types, then parameters; files go by path."""
+    code = r"<?php function {0}(#[B] D $d, E $e): R|Q {{ }} #[A] function z{0}(E $x): D {{ new K(); }}"
+    _, edges = items(spark.createDataFrame([(f"{i}.php", code.format(f"f{i}")) for i in (3, 1, 2)], "path string, content string"))
+    rows = edges.orderBy("seq").collect()
+    assert [r.file.path for r in rows] == [f"{i}.php" for i in (1, 2, 3) for _ in range(9)]
+    assert [r.dst for r in rows[:9]] == ["R", "Q", "B", "D", "E", "A", "D", "E", "K"]
+
+
 def test_graph_of_text_holds(spark):
     graph = graph_of(spark.createDataFrame([("a.php", SERVICE)], "path string, content string"))
     for broken in (validate.one_way, validate.dangling, validate.repeated_nodes, validate.repeated_edges):
