@@ -153,6 +153,15 @@ def test_types_and_attributes(spark):
     assert {r.id for r in nodes.where("kind = 'property'").collect()} == {f"App\\X::{x}" for x in ("a", "b", "c", "n", "s", "p", "r")}
 
 
+def test_anonymous_class(spark):
+    """What an anonymous class does belongs to the method around it, which goes on after it; its methods aren't members."""
+    code = "<?php class X { function f() { $o = new class { function g() { new In(); } }; new After(); } function h(T $t) { new Last(); } }"
+    nodes, edges = items(spark.createDataFrame([("a.php", code)], "path string, content string"))
+    assert {r.id for r in nodes.collect()} == {"X", "X::f", "X::h"}
+    used = {(r.src, r.dst) for r in edges.where("kind <> 'declaration-method'").collect()}
+    assert used == {("X::f", "In"), ("X::f", "After"), ("X::h", "T"), ("X::h", "Last")}
+
+
 def test_order_of_edges(spark):
     """A declaration is followed by its attributes, then returned types, then parameters; files go by path."""
     code = r"<?php function {0}(#[B] D $d, E $e): R|Q {{ }} #[A] function z{0}(E $x): D {{ new K(); }}"
