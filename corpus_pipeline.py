@@ -54,12 +54,15 @@ def delete_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group of near duplicates one row, that with the smallest doc_id (null last), then hash of text.
 
-    Rows are told apart by a number of their own, as doc_ids may be null or repeat; texts without words all stay.
+    Rows are told apart by their places in the files they are read from (64 bits of hashes), as doc_ids may be null or
+    repeat. Rows that come from no files are written first. Texts without words all stay.
     """
     from depgraph.llm.common import written
     from depgraph.llm.jaccard_join import near_duplicates
 
-    docs = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    if not docs.inputFiles():
+        docs = written(docs.select(COLUMNS), "read-again")
+    docs = docs.select(*COLUMNS, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
     groups = near_duplicates(docs, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
     first = groups.join(docs.select("row", order.alias("place")), "row").groupBy("component_id").agg(F.min("place").alias("place"))
