@@ -14,9 +14,10 @@ from depgraph.operators.lookup import traversable
 from depgraph.tables import has_rows, stored
 
 
-def links(graph: Graph, direction: str) -> DataFrame:
-    """src, dst, place: each pair of nodes once, at the place of its first edge of the direction."""
-    return traversable(graph.edges, direction).groupBy("src", "dst").agg(F.min(F.struct("seq", "kind")).alias("place"))
+def ways(graph: Graph, direction: str) -> DataFrame:
+    """src, dst, seq, kind of the edges of a direction, written unless the graph's edges are a written table already."""
+    edges = traversable(graph.edges, direction).select("src", "dst", "seq", "kind")
+    return edges if hasattr(graph.edges, "stored_at") else stored(edges, "ways")
 
 
 def expandable(graph: Graph) -> DataFrame:
@@ -31,16 +32,23 @@ def reach(graph: Graph, roots: DataFrame, direction: str = "uses", level: int |
     node is reached but not expanded. Each level is one join of the frontier with the links and one with what was
     reached, written as a table, so nothing is gathered in one place and lost executors cost one level.
     """
-    open_nodes = graph.nodes if stop is None else graph.nodes.where(~F.coalesce(stop, F.lit(False)))
+    return _reached(graph, ways(graph, direction), roots, level, stop, through_terminals)
+
+
+def _reached(graph: Graph, edges: DataFrame, roots: DataFrame, level: int | None, stop: Column | None = None, through_terminals: bool = False) -> DataFrame:
+    """``reach`` along ``edges`` (src, dst). Only the frontier is tested for nodes that aren't expanded, so edges are
+    neither grouped nor shuffled where the frontier is small enough for Spark to send it to them."""
+    open_nodes = F.lit(True) if stop is None else ~F.coalesce(stop, F.lit(False))
     if not through_terminals:
-        open_nodes = open_nodes.where(~F.col("kind").isin(*TERMINAL_KINDS))
-    steps = stored(links(graph, direction).select("src", "dst").join(open_nodes.select(F.col("id").alias("src")), "src", "left_semi"), "links")
-    start = roots.select("id").distinct().join(graph.nodes.select("id"), "id", "left_semi")
+        open_nodes &= ~F.col("kind").isin(*TERMINAL_KINDS)
+    known = stored(graph.nodes.select("id", open_nodes.alias("open")), "known")
+    start = roots.select("id").distinct().join(known, "id", "left_semi")
     reached = frontier = stored(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")), "reached")
     depth = 0
     while level is None or depth < level:
         depth += 1
-        new = frontier.join(steps, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
+        open_frontier = frontier.join(known.where("open"), "id", "left_semi")
+        new = open_frontier.join(edges, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
         frontier = stored(new.join(reached, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if not has_rows(frontier):
             break
@@ -48,12 +56,11 @@ def reach(graph: Graph, roots: DataFrame, direction: str = "uses", level: int |
     return reached
 
 
-def children(graph: Graph, direction: str) -> DataFrame:
-    """src, dst, at (from 1), last: the links of each node in order."""
+def children(edges: DataFrame) -> DataFrame:
+    """src, dst, at (from 1), last: each node's links, a pair of nodes once, in the order of its first edge."""
     order = Window.partitionBy("src").orderBy("place", "dst")
-    numbered = links(graph, direction).select("src", "dst", F.row_number().over(order).alias("at"))
-    most = numbered.groupBy("src").agg(F.max("at").alias("most"))
-    return numbered.join(most, "src").select("src", "dst", "at", (F.col("at") == F.col("most")).alias("last"))
+    pairs = edges.groupBy("src", "dst").agg(F.min(F.struct("seq", "kind")).alias("place"))
+    return pairs.select("src", "dst", F.row_number().over(order).alias("at"), F.lead("dst").over(order).isNull().alias("last"))
 
 
 #: path: for each step from the root the number of the child and whether it is the last one; arrays order by it.
@@ -98,11 +105,11 @@ def tree(graph: Graph, root: str, direction: str = "uses", max_rounds: int = 10_
 
 def _below(graph: Graph, root: str, direction: str, level: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The ordered links among what ``root`` reaches, out of nodes that may be expanded, and the ids reached."""
+    edges = ways(graph, direction)
     roots = graph.nodes.where(F.col("id") == root).select("id")
-    inside = stored(reach(graph, roots, direction, level).select("id"), "below")
-    own = Graph(graph.nodes, traversable(graph.edges, direction).join(inside.withColumnRenamed("id", "src"), "src", "left_semi"))
-    steps = children(own, direction).join(expandable(graph).withColumnRenamed("id", "src"), "src", "left_semi")
-    return stored(steps, "children"), inside
+    inside = stored(_reached(graph, edges, roots, level).select("id"), "below")
+    own = inside.join(expandable(graph), "id", "left_semi").withColumnRenamed("id", "src")
+    return stored(children(edges.join(own, "src", "left_semi")), "children"), inside
 
 
 def tree_of_any(graph: Graph, roots: DataFrame, direction: str = "uses", level: int | None = None) -> DataFrame:
@@ -112,10 +119,12 @@ def tree_of_any(graph: Graph, roots: DataFrame, direction: str = "uses", level:
     by nature, so each root's links are walked in one task, and roots in parallel. Links come to the task sorted and
     one batch at a time, into a database that spills to the task's disk, so memory doesn't bound what a root reaches.
     """
-    reached = reach(graph, roots, direction, level)
-    steps = children(graph, direction)
-    kinds = graph.nodes.select("id", "kind")
-    named = reached.join(kinds, "id")
+    edges = ways(graph, direction)
+    kinds = stored(graph.nodes.select("id", "kind"), "kinds")
+    # a node whose least depth is the level is never expanded; roots stay in any case
+    reached = _reached(graph, edges, roots, level).where(F.lit(level is None) | (F.col("depth") < max(level or 0, 1)))
+    named = stored(reached.join(kinds, "id").where(f"depth = 0 OR kind NOT IN ({', '.join(repr(k) for k in TERMINAL_KINDS)})"), "named")
+    steps = children(edges.join(named.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
     own = named.join(steps, (F.col("id") == F.col("src")) & ~F.col("kind").isin(*TERMINAL_KINDS), "left")
     own = own.join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")), "dst", "left").select("root", "id", "kind", "dst", "dst_kind", "at", "last")
     return own.repartition("root").sortWithinPartitions("root", "id", "at").mapInArrow(_walks_of(level), OCCURRENCES)
@@ -220,7 +229,7 @@ def _walked(db: sqlite3.Connection, root: str, level: int | None) -> Iterator[tu
 def walks(graph: Graph, root: str, direction: str = "uses", level: int | None = None) -> DataFrame:
     """path (ids from the root, as an array), depth, id, recursive: every visit of the plain traversal, which cuts
     cycles but expands nodes again wherever they occur, up to ``level`` steps or without a limit."""
-    steps = stored(children(graph, direction), "children")
+    steps = stored(children(ways(graph, direction)), "children")
     frontier = graph.nodes.where(F.col("id") == root).select(F.array("id").alias("path"), F.expr("cast(array() as array<int>)").alias("places"), "id", F.lit(False).alias("recursive"))
     every = frontier = stored(frontier, "walks")
     depth = 0
