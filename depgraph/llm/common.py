@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -53,9 +55,9 @@ SPACE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-#: The low bytes of a number that belong to a word of so many bytes, and the longest word that is read in numbers.
-_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-_LONG = 64
+#: The low bytes of a number that belong to a word of so many bytes.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
+_SHORT, _TOP = 7, np.uint64(1 << 63)
 
 
 def by_bytes(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -69,34 +71,35 @@ def by_bytes(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[
         at = end
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words: eight bytes at a time are mixed in, so words of up to eight bytes and one length never
-    collide; words beyond _LONG bytes get a cryptographic digest."""
-    h = sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    on, at = np.flatnonzero(sizes <= _LONG), 0
-    while len(on):
-        h[on] = mix(h[on] ^ (eights[starts[on] + at] & _MASKS[np.minimum(sizes[on] - at, 8)]))
-        at += 8
-        on = on[sizes[on] > at]
-    for i in np.flatnonzero(sizes > _LONG):
-        word = data[starts[i] : starts[i] + sizes[i]].tobytes()
-        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return h
+def new_key() -> bytes:
+    """A secret for the hashes of one run of an operator: nobody can write texts whose hashes collide in it."""
+    return os.urandom(16)
+
+
+def _short_hashes(values: np.ndarray) -> np.ndarray:
+    """A one-to-one mapping of the 63-bit numbers onto themselves."""
+    low = ~_TOP
+    h = values ^ (values >> np.uint64(30))
+    h = (h * np.uint64(0x9E3779B97F4A7C15)) & low
+    h = h ^ (h >> np.uint64(29))
+    h = (h * np.uint64(0xD6E8FEB86659FD93)) & low
+    return h ^ (h >> np.uint64(32))
 
 
 class Words:
-    """The words of a run of texts (Arrow strings; null: none), as 64-bit hashes.
+    """The words of a run of texts (Arrow strings; null: none).
 
-    hashes: of all words in order. counts: words of each text. starts, ends: bytes of each word in ``data``.
+    counts: words of each text. starts, ends: bytes of each word in ``data``, where A-Z are lower-cased if asked for.
+    hashes: 64 bits of each word. Words of up to 7 bytes are numbers mapped one to one, with the top bit clear, so they
+    never collide; others have the top bit set and a cryptographic digest under ``key``, so they collide by chance only.
     """
 
-    def __init__(self, texts: pa.Array, breaks: bytes = SPACE, lower: bool = False):
+    def __init__(self, texts: pa.Array, breaks: bytes = SPACE, lower: bool = False, key: bytes = b""):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         held = texts.buffers()[2] if len(texts) else None
         self.data = data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.empty(0, np.uint8)
+        self.key, self.lower = key, lower
         offsets = offsets - offsets[0]
         inside = np.ones(256, bool)
         inside[list(breaks)] = False
@@ -108,24 +111,61 @@ class Words:
         closes[edges - 1] = word[edges - 1]
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.counts = np.diff(np.searchsorted(self.starts, offsets))
-        self.hashes = _word_hashes(_LOWER[data] if lower else data, self.starts, self.ends - self.starts)
 
     def each(self) -> Iterator[tuple[int, int]]:
         """First and end word of each text."""
         ends = np.cumsum(self.counts)
         return zip((ends - self.counts).tolist(), ends.tolist(), strict=True)
 
+    @functools.cached_property
+    def _cased(self) -> np.ndarray:
+        return _LOWER[self.data] if self.lower else self.data
+
+    def exact(self, which: np.ndarray | None = None) -> pa.DictionaryArray:
+        """The very bytes of all words, or of those numbered ``which``, each distinct word once."""
+        starts, ends = (self.starts, self.ends) if which is None else (self.starts[which], self.ends[which])
+        bounds = np.empty(2 * len(starts), np.int64)
+        bounds[::2], bounds[1::2] = starts, ends
+        if not len(bounds):
+            return pa.array([], pa.large_binary()).dictionary_encode()
+        # words and what stands between them in turn
+        every = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(self._cased))])
+        return every.take(pa.array(np.arange(0, len(bounds) - 1, 2))).dictionary_encode()
+
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        sizes = self.ends - self.starts
+        out = np.empty(len(sizes), np.uint64)
+        short = sizes <= _SHORT
+        padded = np.concatenate((self._cased, np.zeros(8, np.uint8)))
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        out[short] = _short_hashes((eights[self.starts[short]] & _MASKS[sizes[short]]) | (sizes[short].astype(np.uint64) << np.uint64(56)))
+        long = np.flatnonzero(~short)
+        words = self.exact(long)
+        digests = b"".join([hashlib.blake2b(w, digest_size=8, key=self.key).digest() for w in words.dictionary.to_pylist()])
+        out[long] = np.frombuffer(digests, "<u8")[words.indices.to_numpy()] | _TOP
+        return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words from the hashes of their two parts."""
+    return mix(mix(a) + b)
+
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every ``k`` consecutive words; empty if there are fewer."""
+    """Hash of every ``k`` consecutive words; empty if there are fewer. Runs of 1, 2, 4, ... words are put together."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    base = np.uint64(0xC2B2AE3D27D4EB4F)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * base + words[j : j + n]
-    return mix(h)
+    out, done, runs, size = None, 0, words, 1
+    while done < k:
+        if k & size:
+            most = len(words) - done - size + 1
+            out = runs if out is None else joined(out[:most], runs[done : done + most])
+            done += size
+        if done < k:
+            runs, size = joined(runs[:-size], runs[size:]), 2 * size
+    return mix(out[:n])
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -32,8 +32,8 @@ class Automaton:
     items of shorter whole items that end a state's runs, longest first.
     """
 
-    def __init__(self, items: list[tuple[str, list[int]]], n: int):
-        """items: their ids and 64-bit word hashes."""
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
+        """items: their ids (None: hits words, but has no id to report) and words."""
         self.n = n
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -45,8 +45,8 @@ class Automaton:
                 last = self._add(last, self.words[w])
                 path.append(last)
             ends.append(path)
-        within: list[set[str]] = [set() for _ in self.link]
-        whole: list[list[tuple[int, str]]] = [[] for _ in self.link]
+        within: list[set[str | None]] = [set() for _ in self.link]
+        whole: list[list[tuple[int, str | None]]] = [[] for _ in self.link]
         for (item, ws), path in zip(items, ends, strict=True):
             if len(ws) < n:
                 state = path[-1]
@@ -55,15 +55,15 @@ class Automaton:
                 within[self._of_length(state, n)].add(item)
         order = sorted(range(len(self.link)), key=self.length.__getitem__)
         #: The items of the window that ends each state's runs, if they are long enough; those of its own and linked short items.
-        self.hits: list[tuple[str, ...]] = [()] * len(self.link)
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * len(self.link)
+        self.hits: list[tuple[str | None, ...]] = [()] * len(self.link)
+        self.short: list[tuple[tuple[int, str | None], ...]] = [()] * len(self.link)
         for state in order[1:]:
             above = self.link[state]
             if self.length[above] >= n:
                 self.hits[state] = self.hits[above]
             elif self.length[state] >= n:
-                self.hits[state] = tuple(sorted(within[state]))
-            self.short[state] = (*sorted(whole[state], reverse=True), *self.short[above])
+                self.hits[state] = tuple(sorted(within[state], key=str))
+            self.short[state] = (*sorted(whole[state], key=lambda x: (-x[0], str(x[1]))), *self.short[above])
         self.least = min([n if len(ws) >= n else len(ws) for _, ws in items], default=n)
 
     def _new(self, length: int) -> int:
@@ -123,34 +123,31 @@ class Automaton:
                             yield i + 1, size, item
 
 
-def _spans(automaton: Automaton, hashes: np.ndarray, numbers: tuple[np.ndarray, np.ndarray]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Word spans of a document that windows hit, and the items they are of. Runs of words that no item has are skipped."""
-    known, number = numbers
-    if not len(known):
-        return [], []
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    there = known[at] == hashes
+def _spans(automaton: Automaton, numbers: np.ndarray) -> tuple[list[tuple[int, int]], list[str]]:
+    """Word spans of a document that windows hit, and the items they are of. ``numbers``: of its words, -1 for those that
+    no item has; runs of these are skipped."""
+    there = numbers >= 0
     edges = np.flatnonzero(np.diff(np.r_[False, there, False].astype(np.int8)))
     spans: list[tuple[int, int]] = []
-    items: set[str] = set()
+    items: set[str | None] = set()
     for a, b in edges.reshape(-1, 2):
         if b - a < automaton.least:
             continue
-        for end, size, item in automaton.stream(number[at[a:b]].tolist()):
+        for end, size, item in automaton.stream(numbers[a:b].tolist()):
             items.add(item)
             low, high = int(a) + end - size, int(a) + end
             while spans and spans[-1][1] >= low:
                 low = min(low, spans[-1][0])
                 high = max(high, spans.pop()[1])
             spans.append((low, high))
-    return spans, sorted(items)
+    return spans, sorted(items - {None})
 
 
 def automata(items: DataFrame, n: int, item_id: str, text: str, most: int = AUTOMATON_WORDS) -> Iterator[Automaton]:
     """One for each ``most`` words of items, read through the driver item by item; more than one only for large sets."""
     held, size = [], 0
-    for item, t in items.select(F.col(item_id).cast("string").alias("item"), F.col(text)).where("item IS NOT NULL").orderBy("item").toLocalIterator():
-        words = Words(pa.array([t], pa.string()), NOT_ALNUM, lower=True).hashes.tolist()
+    for item, t in items.select(F.col(item_id).cast("string").alias("item"), F.col(text)).orderBy("item").toLocalIterator():
+        words = Words(pa.array([t], pa.string()), NOT_ALNUM, lower=True).exact().to_pylist()
         if held and size + len(words) > most:
             yield Automaton(held, n)
             held, size = [], 0
@@ -170,18 +167,17 @@ def hit_spans(text, automaton: Automaton, spark) -> object:
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = pickle.loads(sent.value)
-        hashes = np.fromiter(made.words, np.uint64, len(made.words))
-        order = np.argsort(hashes)
-        own = made, (hashes[order], order)
         for texts in batches:
             out = []
             for some in by_bytes(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
                 words = Words(some.column(0), NOT_ALNUM, lower=True)
+                exact = words.exact()
+                numbers = np.array([made.words.get(w, -1) for w in exact.dictionary.to_pylist()] or [-1])[exact.indices.to_numpy()]
                 for a, b in words.each():
-                    spans, items = _spans(own[0], words.hashes[a:b], own[1])
+                    spans, items = _spans(made, numbers[a:b])
                     out.append({"n_words": b - a, "spans": [{"low": x, "high": y} for x, y in spans], "items": items})
             yield pa.array(out, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), ("items", pa.list_(pa.string()))]))
-        del made, own
+        del made
         give_back()
 
     # called nondeterministic so that a filter on the hits isn't pushed below, where it would find them a second time
@@ -198,7 +194,8 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 13, text: str = "text"
     """Add ``into``: n_words, spans (merged word spans inside any occurrence of a window), items (their ids as strings).
 
     Words are letters, digits and all characters beyond ASCII, with A-Z lower-cased. Null and empty texts have no
-    words; items without words or id match nothing; items that repeat an id count as one; without items no word is
+    words; items without words match nothing; those without an id hit words
+    but aren't named; items that repeat an id count as one; without items no word is
     hit. Other columns stay, also those of repeated rows; one named like ``into`` is replaced.
     """
     spark, found = docs.sparkSession, []

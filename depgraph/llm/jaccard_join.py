@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import SPACE, Words, by_bytes, discard, give_back, has_rows, mix, recorded, small_batches, windows, written
+from depgraph.llm.common import SPACE, Words, by_bytes, discard, give_back, has_rows, mix, new_key, recorded, small_batches, windows, written
 from depgraph.llm.components import components
 
 #: Hash bits that go into counts and overlaps, and n-grams that one range counts at once, on average.
@@ -35,9 +35,9 @@ SLICE, OFTEN, FREQUENT = 4 << 20, 8, 1_000
 POSTED = 4_096
 
 
-def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+def ngram_sets(texts: pa.Array, n: int, key: bytes = b"") -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; of fewer words the whole sequence; empty without words."""
-    words = Words(texts, SPACE, lower=True)
+    words = Words(texts, SPACE, lower=True, key=key)
     grams = windows(words.hashes, n)
     for a, b in words.each():
         if b - a >= n:
@@ -58,13 +58,13 @@ _CUT = np.uint64(64 - BITS)
 SETS = "doc_id long, set_id long, n_shingles long, gram long, times long"
 
 
-def _identified(n: int):
+def _identified(n: int, key: bytes):
     """A row for each text, one for each n-gram that is frequent within a slice, and one (without either) for the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 1, SLICE):
-                sets = list(ngram_sets(batch.column(1), n))
+                sets = list(ngram_sets(batch.column(1), n, key))
                 keys = [fingerprint(s) if len(s) else None for s in sets]
                 found = np.sort(np.concatenate([*dict(zip(keys, sets, strict=True)).values(), np.empty(0, np.uint64)])) >> _CUT
                 cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.empty(0, np.int64)
@@ -98,14 +98,14 @@ def _ranks(times: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(times, 1)))).astype(np.uint8)
 
 
-def _alone(n: int):
+def _alone(n: int, key: bytes):
     """set_id and text of each set of a slice, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 0, SLICE):
                 first: dict[int, int] = {}
-                for i, grams in enumerate(ngram_sets(batch.column(0), n)):
+                for i, grams in enumerate(ngram_sets(batch.column(0), n, key)):
                     if len(grams):
                         first.setdefault(fingerprint(grams), i)
                 yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), batch.column(0).take(pa.array(first.values(), pa.int64()))], names=["set_id", "text"])
@@ -151,14 +151,14 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, keys.view("<u8").ravel(), np.frombuffer(join("ranks"), np.uint8)
 
 
-def _dealt(n: int, parts: int, sent):
+def _dealt(n: int, key: bytes, parts: int, sent):
     """Each set's n-grams: frequent ones, with their ranks, to the part of the set, others to the part of their range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, ranks = sent.value
         for whole in batches:
             for batch in by_bytes(whole, 1, SLICE):
-                sets = list(ngram_sets(batch.column(1), n))
+                sets = list(ngram_sets(batch.column(1), n, key))
                 keys = np.concatenate([*sets, np.empty(0, np.uint64)]) >> _CUT
                 owner = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
                 at = np.minimum(np.searchsorted(often, keys), max(len(often) - 1, 0))
@@ -226,14 +226,14 @@ def _prefixed(num: int, den: int):
     return run
 
 
-def candidates(docs: DataFrame, sets: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, num: int, den: int) -> DataFrame:
+def candidates(docs: DataFrame, sets: DataFrame, often: tuple[np.ndarray, np.ndarray], n: int, num: int, den: int, key: bytes) -> DataFrame:
     """set_id, size, uniq (n-grams in no other set), prefix (without those), shared (all others, sorted uint64)."""
     sizes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.first("n_shingles").alias("size"))
     spark = docs.sparkSession
     total = sizes.agg(F.sum("size")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
-    alone = docs.select("text").mapInArrow(_alone(n), "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text"))
-    dealt = alone.mapInArrow(_dealt(n, parts, spark.sparkContext.broadcast(often)), PACKED)
+    alone = docs.select("text").mapInArrow(_alone(n, key), "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text"))
+    dealt = alone.mapInArrow(_dealt(n, key, parts, spark.sparkContext.broadcast(often)), PACKED)
     back = dealt.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_counted(parts), PACKED)
     sizes = sizes.select(F.expr(f"cast(pmod(set_id, {parts}) as int)").alias("part"), "set_id", "size")
     both = back.unionByName(sizes, allowMissingColumns=True).repartitionById(parts, F.col("part"))
@@ -276,10 +276,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
-    found = written(docs.mapInArrow(_identified(n), SETS), "sets")
+    key = new_key()
+    found = written(docs.mapInArrow(_identified(n, key), SETS), "sets")
     sets = found.where("times IS NULL").select("doc_id", "set_id", "n_shingles")
     with recorded() as made:
-        labels = _labels(docs, sets, found, n, num, den)
+        labels = _labels(docs, sets, found, n, num, den, key)
         ids = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
         ids = ids.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("label", "set_id").alias("label"))
         ids = written(ids, "first-ids")
@@ -289,9 +290,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     return sets.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _labels(docs: DataFrame, sets: DataFrame, found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _labels(docs: DataFrame, sets: DataFrame, found: DataFrame, n: int, num: int, den: int, key: bytes) -> DataFrame:
     """node, label: the component of each set that links to another."""
-    known = written(candidates(docs, sets, frequent(found), n, num, den), "candidates")
+    known = written(candidates(docs, sets, frequent(found), n, num, den, key), "candidates")
     postings = written(known.select("set_id", "size", "uniq", F.posexplode("prefix").alias("at", "gram")).select("gram", "set_id", "size", (F.col("uniq") + F.col("at")).alias("at"), (F.col("uniq") / F.col("size")).alias("apart")), "postings")
     central = postings.groupBy("gram").agg(F.min(F.struct("apart", "set_id", "size", "at")).alias("c"), F.min("size").alias("low"), F.count("*").alias("n")).where("n > 1")
     central = written(central.select("gram", "low", F.expr(f"cast(n div {POSTED} as int)").alias("last"), *(F.col(f"c.{x}").alias(f"{x}_c") for x in ("set_id", "size", "at"))), "central")

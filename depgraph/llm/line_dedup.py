@@ -21,7 +21,7 @@ from depgraph.llm.common import discard, has_rows, recorded, unused, written
 
 _LINES = """filter(transform(split({text}, '\\n', -1), (x, i) -> named_struct('at', i, 'line', x)),
   s -> translate(s.line, ' \\t\\r', '') <> '')"""
-_PLACE = F.struct("doc_id", "row_id", "line")
+_PLACE = "struct(doc_id, row_id, line)"
 
 
 def line_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,7 +32,7 @@ def line_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _ranked(pairs: DataFrame, least: int, name: str) -> DataFrame:
     """The pairs (h, m) that occur ``least`` times, with their rank in order, how often and where first they occur."""
-    found = pairs.groupBy("h", "m").agg(F.count(F.lit(1)).alias("n"), F.min(_PLACE).alias("first")).where(F.col("n") >= least)
+    found = pairs.groupBy("h", "m").agg(F.count(F.lit(1)).alias("n"), F.expr(f"min({_PLACE})").alias("first")).where(F.col("n") >= least)
     ordered = found.repartitionByRange("h", "m").sortWithinPartitions("h", "m")
     return written(ordered.select("h", "m", F.monotonically_increasing_id().alias("rank"), "n", "first"), name)
 
@@ -46,7 +46,7 @@ def suffix_rounds(lines: DataFrame, mark: int = 1) -> DataFrame:
     """
     ranks = _ranked(lines, 2, "line-ranks")
     now = lines.join(ranks, ["h", "m"]).select(
-        "doc_id", "row_id", "line", "chars", F.array("rank").alias("ranks"), F.array(F.lit(1)).alias("lengths"), (_PLACE > F.col("first")).alias("later")
+        "doc_id", "row_id", "line", "chars", F.array("rank").alias("ranks"), F.array(F.lit(1)).alias("lengths"), F.expr(f"{_PLACE} > first").alias("later")
     )
     # rows equal in doc_id and text have the same row_id and count once
     now = written(now.dropDuplicates(["row_id", "line"]).withColumn("later_run", F.col("later") if mark == 0 else F.lit(False)), "line-runs")
@@ -64,7 +64,7 @@ def suffix_rounds(lines: DataFrame, mark: int = 1) -> DataFrame:
         ranks = _ranked(pairs, 1, "line-ranks")
         joined = pairs.join(ranks, ["h", "m"]).withColumns({"ranks": F.concat("ranks", F.array("rank")), "lengths": F.concat("lengths", F.array("length"))})
         if k == mark:
-            joined = joined.withColumn("later_run", (F.col("length") == 2**k) & (_PLACE > F.col("first")))
+            joined = joined.withColumn("later_run", (F.col("length") == 2**k) & F.expr(f"{_PLACE} > first"))
         new = written(joined.select(*now.columns, (F.col("n") > 1).alias("twice")), "line-runs")
         discard(held, pairs, ranks)
         again = has_rows(new.where(f"twice AND element_at(lengths, -1) = {2**k}"))

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators; oracle SQL where SQL can express one."""
+"""The registered queries of the operators; oracle SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -104,15 +104,37 @@ def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_token_file, op4_substring_dedup, op5_line_dedup, op6_sharding, op7_decontamination, op8_quality, op9_jaccard_join, op10_byte_bpe)}
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.private_data import KINDS, find_private, listed
+
+    found = find_private(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depgraph.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_neighbours, op3_token_file, op4_substring_dedup, op5_line_dedup, op6_sharding, op7_decontamination, op8_quality, op9_jaccard_join, op10_byte_bpe, op11_private_data, op12_whitening, op13_divergence)}
 
 def _oracles() -> dict[str, str]:
+    from depgraph.llm.divergence import audit_sql
     from depgraph.llm.line_dedup import dedup_lines_sql
 
     return {
         "op5_line_dedup": dedup_lines_sql(),
         "op6_sharding": """SELECT doc_id, lang, source, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
             sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
+        "op13_divergence": audit_sql(),
     }
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import SPACE, Words, by_bytes, discard, has_rows, mix, small_batches, windows, written
+from depgraph.llm.common import SPACE, Words, by_bytes, discard, has_rows, joined, mix, new_key, small_batches, windows, written
 
 #: Words of an anchor.
 ANCHOR = 12
@@ -48,8 +48,8 @@ def _first_least(h: np.ndarray, w: int) -> np.ndarray:
 class Anchored:
     """The anchors of a run of texts. Positions are word numbers within the run."""
 
-    def __init__(self, texts: pa.Array, length: int):
-        self.words = Words(texts, SPACE)
+    def __init__(self, texts: pa.Array, length: int, key: bytes = b""):
+        self.words = Words(texts, SPACE, key=key)
         self.length = length
         self.grams = windows(self.words.hashes, ANCHOR)
         least = _first_least(self.grams, length - ANCHOR + 1)
@@ -69,22 +69,21 @@ class Anchored:
         same = self.owner[1:] == self.owner[:-1]
         size = np.where(same, self.at[1:] - self.at[:-1], 0) + ANCHOR
         edge = size.astype(np.uint64)
-        base = np.uint64(0xC2B2AE3D27D4EB4F)
         for j in range(self.length):  # no anchor is further from the next than a window is long
             on = j < size
             if not on.any():
                 break
-            edge[on] = edge[on] * base + h[self.at[:-1][on] + j]
+            edge[on] = joined(edge[on], h[self.at[:-1][on] + j])
         return mix(edge).astype(np.int64), same
 
 
-def _occurrences(length: int):
+def _occurrences(length: int, key: bytes):
     """One row for each anchor of a row: how often it is there, and its next and previous edge if always the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 1):
-                a = Anchored(batch.column(1), length)
+                a = Anchored(batch.column(1), length, key)
                 if not len(a.at):
                     continue
                 edge, same = a.edges()
@@ -132,13 +131,13 @@ def _kept(words: Words, a: int, b: int, gone: np.ndarray) -> str:
     return b" ".join([data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]).decode()
 
 
-def _judged(length: int):
+def _judged(length: int, key: bytes):
     """Rows without windows to verify are finished; of the others the windows known to repeat and those to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 1):
-                a = Anchored(batch.column(1), length)
+                a = Anchored(batch.column(1), length, key)
                 twice_at, head, place = np.zeros(len(a.at), bool), np.zeros(len(a.at), np.int64), np.zeros(len(a.at), np.int64)
                 lists = batch.column(3)
                 for t in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
@@ -246,7 +245,8 @@ def remove_repeats(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", te
         raise ValueError(f"windows have more than {ANCHOR} words")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("row_id"))
     small_batches(docs.sparkSession)
-    seen = written(docs.select("row_id", "text").mapInArrow(_occurrences(length), OCCURRENCES), "anchors")
+    key = new_key()
+    seen = written(docs.select("row_id", "text").mapInArrow(_occurrences(length, key), OCCURRENCES), "anchors")
     always = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), F.min(c))
     counted = seen.groupBy("gram").agg(F.sum("n").alias("n"), always("after").alias("after"), always("before").alias("before")).where("n > 1").drop("n")
     paths = compacted(written(counted, "repeated-anchors"))
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", te
     flagged = seen.select("gram", "row_id").join(paths, "gram").groupBy("row_id").agg(F.collect_set(F.struct("gram", "head", "place")).alias("anchors"))
     flagged = written(flagged, "flagged")
     both = docs.join(flagged, "row_id", "left").select("doc_id", "text", "row_id", "anchors")
-    judged = written(both.mapInArrow(_judged(length), JUDGED), "judged")
+    judged = written(both.mapInArrow(_judged(length, key), JUDGED), "judged")
     discard(seen, paths, flagged)
     pending = judged.where("row_id IS NOT NULL")
     places = pending.select("row_id", F.explode(F.arrays_zip("pending", "times")).alias("w")).select("row_id", F.col("w.pending").alias("window"), F.col("w.times").alias("n"))
