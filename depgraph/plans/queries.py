@@ -394,10 +394,13 @@ def php_extract_nodes(spark, sf_dir):
 
 
 #: A class for an order, its customer K and its status S: each kind of use and declaration, and what must not count.
-_ORDER = r"""<?php
+_ORDER = r"""<b>new Html()</b> <?= 1 ?>
+<?php
 namespace Desk;
-use Lib\{CustomerK as Buyer, Clerk};
+use Lib\{CustomerK as Buyer, Clerk, function lend, const RATE};
+use function Lib\Price\{tax as levy, fee};
 use Tool\Kit;
+function ownOrderN(): void { helper(); }
 /** @see Nope */
 #[Mark, Kit\Tag([Kit\Nope::A])]
 final class OrderN {
@@ -412,6 +415,19 @@ final class OrderN {
             new Nope()
             TEXT;
     }
+    public string $shown = 'new Nope()' {
+        get => "{$this->label()} $this->total()";
+        set(Buyer|string $new) { $this->total = lend($new); }
+    }
+    function tell() {
+        $x = "Dear {$this->who("{$this->deep}")}, $this->sum() \$this->nope {this->nope}"; ?> <i>new Html($this->nope)</i> <?php
+        $y = <<<LETTER
+          {$this->body()} "quoted" $this?->tail[0]
+          LETTER . <<<'RAW'
+          {$this->nope}
+          RAW;
+        return 3 & mask() | levy() | FEE() | ownOrderN() | namespace\near() | Kit\far() | \Root\top() | lend(1);
+    }
 }
 enum StateN: string { #[Mark] case S = 's'; public function of(): ?Buyer { return helper(self::S); } }
 """
@@ -427,25 +443,48 @@ OrderN declaration-method Desk\OrderN::open|OrderN::open attribute Desk\Run|Orde
 OrderN::open static-call Lib\CustomerK::make|OrderN::open static-property-access Tool\Kit\Box::pool|OrderN::open catch Error|OrderN::open catch Tool\Kit\Fault
 OrderN::open method-call Desk\OrderN::close|OrderN::open const-fetch Lib\CustomerK::KINDS|OrderN::open property-access Desk\OrderN::total
 OrderN::open instanceof Closure|OrderN::open function-call array_map|OrderN::open instantiation Desk\OrderN
+OrderN declaration-property Desk\OrderN::shown|OrderN declaration-method Desk\OrderN::$shown::get|OrderN declaration-method Desk\OrderN::$shown::set|OrderN declaration-method Desk\OrderN::tell
+OrderN::$shown::get method-call Desk\OrderN::label|OrderN::$shown::get property-access Desk\OrderN::total
+OrderN::$shown::set declaration-type-parameter Lib\CustomerK|OrderN::$shown::set property-access Desk\OrderN::total|OrderN::$shown::set function-call Lib\lend
+OrderN::tell method-call Desk\OrderN::who|OrderN::tell property-access Desk\OrderN::deep|OrderN::tell property-access Desk\OrderN::sum|OrderN::tell method-call Desk\OrderN::body|OrderN::tell property-access Desk\OrderN::tail
+OrderN::tell function-call mask|OrderN::tell function-call Lib\Price\tax|OrderN::tell function-call Lib\Price\fee|OrderN::tell function-call Desk\ownOrderN|OrderN::tell function-call Desk\near
+OrderN::tell function-call Tool\Kit\far|OrderN::tell function-call Root\top|OrderN::tell function-call Lib\lend|ownOrderN function-call helper
 StateN declaration-enum-case Desk\StateN::S|StateN::S attribute Desk\Mark|StateN declaration-method Desk\StateN::of
 StateN::of declaration-type-return Lib\CustomerK|StateN::of function-call helper|StateN::of const-fetch Desk\StateN::S"""
 
 
-def _order_sql() -> str:
+_ORDER_NODES = r"""class OrderN|function ownOrderN|constant OrderN::FIRST|constant OrderN::STATUS_S|property OrderN::buyer|property OrderN::other|property OrderN::both|property OrderN::shown
+method OrderN::__construct|method OrderN::open|method OrderN::$shown::get|method OrderN::$shown::set|method OrderN::tell|enum StateN|enum_case StateN::S|method StateN::of"""
+
+
+def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit(_ORDER)
+    for old, new in (("OrderN", F.concat(F.lit("Order"), "o_orderkey")), ("StateN", F.concat(F.lit("State"), "o_orderkey")), ("CustomerK", F.concat(F.lit("Customer"), "o_custkey")), ("STATUS_S", F.concat(F.lit("STATUS_"), "o_orderstatus")), ("BoxS", F.concat(F.lit("Box"), "o_orderstatus")), ("case S", F.concat(F.lit("case "), "o_orderstatus")), ("self::S", F.concat(F.lit("self::"), "o_orderstatus"))):
+        text = F.replace(text, F.lit(old), new)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), text.alias("content"))
+
+
+def _order_sql(rows: str, columns: str) -> str:
+    """The fixed rows for every order; the columns that begin with an own name get the namespace."""
     filled = lambda x: "replace(replace(replace(" + x + ", 'OrderN', 'Order' || o_orderkey), 'StateN', 'State' || o_orderkey), 'CustomerK', 'Customer' || o_custkey)"
-    edges = [e.split(" ") for line in _ORDER_EDGES.split("\n") for e in line.split("|")]
-    values = ", ".join(f"('Desk\\{s}', '{k}', '{d}')" for s, k, d in edges)
     status = "regexp_replace({}, '(STATUS_|Box|::)S$', '\\1' || o_orderstatus)"
-    return f"SELECT DISTINCT {filled(status.format('v.src'))} AS src, v.kind, {filled(status.format('v.dst'))} AS dst FROM orders, (VALUES {values}) v(src, kind, dst)"
+    values = ", ".join("(" + ", ".join(f"'{x}'" for x in e.split(" ")) + ")" for line in rows.split("\n") for e in line.split("|"))
+    names = columns.split(" ")
+    picked = ", ".join(("v.kind" if n == "kind" else filled(status.format(("'Desk\\' || " if n in ("src", "id") else "") + "v." + n))) + f" AS {n}" for n in names)
+    return f"SELECT DISTINCT {picked} FROM orders, (VALUES {values}) v({', '.join(names)})"
 
 
-@_query(_order_sql(), prelude=None)
+@_query(_order_sql(_ORDER_EDGES, "src kind dst"), prelude=None)
 def php_extract_kinds(spark, sf_dir):
-    """Every kind of use and declaration, types and attributes among them, in a file for each order."""
+    """Every kind of use and declaration, in types, attributes, strings, heredocs and hooks too, in a file for each order."""
     from depgraph.sources.php import items
 
-    text = F.lit(_ORDER)
-    for old, new in (("OrderN", F.concat(F.lit("Order"), "o_orderkey")), ("StateN", F.concat(F.lit("State"), "o_orderkey")), ("CustomerK", F.concat(F.lit("Customer"), "o_custkey")), ("STATUS_S", F.concat(F.lit("STATUS_"), "o_orderstatus")), ("BoxS", F.concat(F.lit("Box"), "o_orderstatus")), ("case S", F.concat(F.lit("case "), "o_orderstatus")), ("self::S", F.concat(F.lit("self::"), "o_orderstatus"))):
-        text = F.replace(text, F.lit(old), new)
-    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), text.alias("content"))
-    return build.first_edges(items(files)[1]).select("src", "kind", "dst")
+    return build.first_edges(items(_order_files(spark, sf_dir))[1]).select("src", "kind", "dst")
+
+
+@_query(_order_sql(_ORDER_NODES, "kind id"), prelude=None)
+def php_extract_declared(spark, sf_dir):
+    """What those files declare, plain functions and hooks of properties among them."""
+    from depgraph.sources.php import items
+
+    return build.first_nodes(items(_order_files(spark, sf_dir))[0]).select("id", "kind")

@@ -153,6 +153,56 @@ def test_types_and_attributes(spark):
     assert {r.id for r in nodes.where("kind = 'property'").collect()} == {f"App\\X::{x}" for x in ("a", "b", "c", "n", "s", "p", "r")}
 
 
+def test_lexer_modes():
+    """Strings and heredocs to any depth, HTML, unfinished texts, and the lines of tokens."""
+    from depgraph.sources.lexer import lexed
+
+    toks = lambda x: " ".join(t for t, _ in lexed(x))
+    assert toks("<b>x</b>") == toks("") == toks("<?phpx y") == "" and toks("a <?= f() ?> b <?PHP g(); // h ?> i <?php") == "echo f ( ) ; g ( ) ; ;"
+    deep = '"z"'
+    for i in range(40):
+        deep = f'"a{{$f({deep})}}b"'
+    found = toks(f"<?php {deep};")
+    assert found.count("$f") == 40 and found.endswith(") ;") and found.count("(") == found.count(")") == 80
+    assert toks(r"""<?php "\\{$a} \$b {c} $d->e->f $g[1] ${h} $i?->j $ {" . 'k\'{$l}';""") == "'' . ( $a ) . ( $d -> e ) . ( $g ) . ( h ) . ( $i ?-> j ) . '' ;"
+    assert toks('<?php "{$a->b(fn() => match(1) { 1 => "}", default => new class { } })} x" . y;') == "'' . ( $a -> b ( fn ( ) => match ( 1 ) { 1 => '' , default => new class { } } ) ) . y ;"
+    heredoc = "<?php f(<<<A\n  $x A\n Ab {$y}\n\\\n  A, <<<'B'\n$no\nB, <<<\"C\"\nC);"
+    assert toks(heredoc) == "f ( '' . ( $x ) . ( $y ) , '' , '' ) ;"
+    assert toks("<?php # c\n#[A] /* ' */ 1.5 . 2..3; `ls $d`; __halt_compiler(); new X();") == "#[ A ] 1.5 . 2 . . 3 ; '' . ( $d ) ; __halt_compiler ;"
+    for text in ('"', '"{$', "'", "<<<A\n", "<<<A\nA", "/*", '"$', '"${', "`", "<<<'A'\n"):
+        toks("<?php " + text)
+    assert [(t, n) for t, n in lexed("\n<?php a\n'x\ny' \"\n$b\" /*\n*/ c\n")] == [("a", 2), ("''", 3), ("''", 4), (".", 5), ("(", 5), ("$b", 5), (")", 5), ("c", 6)]
+
+
+NAMES = r"""<?php
+namespace App;
+use Lib\{A, function f, function g as G2, const C};
+use function Lib\h, Lib\i as j;
+use const Lib\K;
+use Lib\f\Deep as f;
+class X {
+    public $p { &get { return strlen($this->q); } final set($v) { other(); } }
+    abstract public int $r { get; set; }
+    function __construct(public $s { get => $this->t; }, private A $late) { get(); $x = ['set' => set(1)]; }
+    function m() { F(); g2(); h(); J(); own(); OWN(); k(); A\z(); f\z(); namespace\z(); \z(); 1 & z(); new K(); new namespace\Y(); new f(); $c = function &() { }; $this->get(); }
+}
+function &own() { }
+"""
+CALLS = r"""X::m function-call Lib\f|X::m function-call Lib\g|X::m function-call Lib\h|X::m function-call Lib\i|X::m function-call App\own|X::m function-call k|X::m function-call Lib\A\z|X::m function-call Lib\f\Deep\z
+X::m function-call App\z|X::m function-call z|X::m instantiation App\K|X::m instantiation App\Y|X::m instantiation Lib\f\Deep|X::m method-call App\X::get|X::$p::get function-call strlen|X::$p::get property-access App\X::q|X::$p::set function-call App\other
+X::__construct function-call get|X::__construct function-call set|X::__construct property-access App\X::t"""
+
+
+def test_names_and_hooks(spark):
+    """Imports by kind, functions of the own namespace, and hooks as methods of their own."""
+    files = [("a.php", NAMES), ("b.php", "<?php namespace App; function Other() { own(); } function z() { }"), ("c.php", "<?php namespace Else; function f() { own(); }")]
+    nodes, edges = items(spark.createDataFrame(files, "path string, content string"))
+    got = {f"{r.src.removeprefix('App' + chr(92))} {r.kind} {r.dst}" for r in edges.where("file.path = 'a.php' AND kind NOT LIKE 'declaration%'").collect()}
+    assert got == {x.replace("App\\other", "App\\Other") for x in split(CALLS)}
+    assert {r.id for r in nodes.where("kind = 'method' AND contains(id, '$')").collect()} == {f"App\\X::${p}::{h}" for p in "pr" for h in ("get", "set")}
+    assert {(r.src, r.dst) for r in edges.where("file.path <> 'a.php'").collect()} == {("App\\Other", "App\\own"), ("Else\\f", "own")}
+
+
 def test_anonymous_class(spark):
     """What an anonymous class does belongs to the method around it, which goes on after it; its methods aren't members."""
     code = "<?php class X { function f() { $o = new class { function g() { new In(); } }; new After(); } function h(T $t) { new Last(); } }"
