@@ -21,12 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depgraph.llm.common import Words, by_bytes, discard, give_back, has_rows, small_batches, written
+from depgraph.llm.common import Words, by_bytes, discard, give_back, has_rows, joined, small_batches, written
 
 #: Bytes between terms: all of ASCII but letters.
 NOT_LETTERS = bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-#: Bytes of texts in a slice, bytes of the first level's prefixes, and bits of the map of prefixes that go on.
-SLICE, FIRST, BITS = 4 << 20, 4, 25
+#: Bytes of texts in a slice, bytes of the first level's prefixes, bits of the map of prefixes that go on, and counts that a
+#: task adds up before it hands them on.
+SLICE, FIRST, BITS, ADDED = 8 << 20, 4, 25, 500_000
 #: No byte of a text in UTF-8.
 END = b"\xff"
 #: Sources and terms that one task compares at once.
@@ -43,33 +44,47 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     doc_group: of each document the number of its group; doc_pairs: how many distinct terms it has; pair_term, pair_count:
     the numbers of these, rising, and how often each occurs. All are little-endian 32-bit numbers.
     """
-    for whole in batches:
-        for batch in by_bytes(whole, 0, SLICE):
-            words = Words(batch.column(0), NOT_LETTERS, lower=True)
-            found = words.exact()
-            order = pc.array_sort_indices(found.dictionary).to_numpy()
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            term = place[found.indices.to_numpy()] if len(found) else np.empty(0, np.int64)
-            doc = np.repeat(np.arange(len(batch)), words.counts)
-            pairs, times = np.unique(doc * max(len(order), 1) + term, return_counts=True)
-            groups: dict[tuple[str, str], int] = {}
-            own = [groups.setdefault(g, len(groups)) for g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            packed = lambda a: np.asarray(a).astype("<i4").tobytes()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "terms": [found.dictionary.take(pa.array(order)).to_pylist()],
-                    "groups": [[{"lang": a, "source": b} for a, b in groups]],
-                    "doc_group": [packed(own)],
-                    "doc_pairs": [packed(np.bincount(pairs // max(len(order), 1), minlength=len(batch)))],
-                    "pair_term": [packed(pairs % max(len(order), 1))],
-                    "pair_count": [packed(times)],
-                },
-                _SLICED,
-            )
+    for batch in _gathered(batches):
+        words = Words(batch.column(0), NOT_LETTERS, lower=True)
+        found = words.exact()
+        order = pc.array_sort_indices(found.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        term = place[found.indices.to_numpy()] if len(found) else np.empty(0, np.int64)
+        doc = np.repeat(np.arange(len(batch)), words.counts)
+        pairs, times = np.unique(doc * max(len(order), 1) + term, return_counts=True)
+        groups: dict[tuple[str, str], int] = {}
+        own = [groups.setdefault(g, len(groups)) for g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        packed = lambda a: np.asarray(a).astype("<i4").tobytes()
+        terms = found.dictionary.take(pa.array(order)).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
+                pa.array([[{"lang": a, "source": b} for a, b in groups]], pa.list_(_GROUP)),
+                pa.array([packed(own)], pa.binary()),
+                pa.array([packed(np.bincount(pairs // max(len(order), 1), minlength=len(batch)))], pa.binary()),
+                pa.array([packed(pairs % max(len(order), 1))], pa.binary()),
+                pa.array([packed(times)], pa.binary()),
+            ],
+            schema=_SLICED,
+        )
     give_back()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE bytes of texts, put together from small ones or cut from large ones."""
+    held, size = [], 0
+    for whole in batches:
+        for part in by_bytes(whole, 0, SLICE):
+            held.append(part)
+            size += part.column(0).nbytes
+            if size >= SLICE:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class _Slice:
     """One row of SLICED: its terms with their end marks, its pairs of document and term, and their languages."""
 
@@ -86,95 +101,144 @@ class _Slice:
         self.group = np.repeat(doc_group, doc_pairs)
         self.lang = of_group[self.group]
 
-    def prefixes(self, length: int | None) -> tuple[list[bytes], np.ndarray]:
-        """The distinct prefixes of that many bytes (None: whole terms) in order, and for each pair the number of its prefix."""
-        cut = self.terms if length is None else pc.binary_slice(self.terms, 0, length)
-        coded = cut.dictionary_encode()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)[self.term]
+    def prefixes(self, length: int) -> tuple[pa.Array, np.ndarray]:
+        """The distinct prefixes of that many bytes in order, and for each pair the number of its prefix."""
+        coded = pc.binary_slice(self.terms, 0, length).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64)[self.term]
 
     def keep(self, on: np.ndarray) -> None:
         self.term, self.count, self.doc, self.group, self.lang = (a[on] for a in (self.term, self.count, self.doc, self.group, self.lang))
 
 
-def _slot(lang: str, prefix: bytes) -> int:
-    return zlib.crc32(prefix, zlib.crc32(lang.encode() + END)) & ((1 << BITS) - 1)
+def _slots(langs: list[str], of: np.ndarray, prefixes: pa.Array, which: np.ndarray, length: int) -> np.ndarray:
+    """Bits of the map for pairs of a language (a number in ``langs``) and a prefix of at most ``length`` bytes (a number)."""
+    width = -(-length // 8)
+    offsets = np.frombuffer(prefixes.buffers()[1], np.int32)[prefixes.offset : prefixes.offset + len(prefixes) + 1].astype(np.int64)
+    data = np.frombuffer(prefixes.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(prefixes) else np.empty(0, np.uint8)
+    sizes = np.diff(offsets)
+    padded = np.zeros((len(prefixes), 8 * width), np.uint8)
+    padded[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = data
+    h = sizes.astype(np.uint64)
+    for column in padded.view("<u8").T:
+        h = joined(h, column)
+    start = np.array([zlib.crc32(x.encode()) for x in langs], np.uint64)
+    return (joined(start[of], h[which]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def _added(tables: Iterator[pa.Table], keys: list[str], sum_: str) -> Iterator[pa.RecordBatch]:
+    """The sums of what several slices of a task have counted."""
+    held, size = [], 0
+    for t in tables:
+        held.append(t)
+        size += t.num_rows
+        if size >= ADDED:
+            held = [pa.concat_tables(held).group_by(keys).aggregate([(sum_, "sum")]).rename_columns([*keys, sum_])]
+            # what slices share is small by now; the rest won't shrink further here
+            yield from held.pop().to_batches(max_chunksize=50_000)
+            size = 0
+    if held:
+        yield from pa.concat_tables(held).group_by(keys).aggregate([(sum_, "sum")]).rename_columns([*keys, sum_]).to_batches(max_chunksize=50_000)
 
 
 def _grouped(major: np.ndarray, minor: np.ndarray, minors: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs (major, minor) and how many there are of each, or the sums of their weights."""
-    keys, back = np.unique(major * minors + minor, return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, back, 1 if weights is None else weights)
-    return keys // max(minors, 1), keys % max(minors, 1), sums
-
-
-def _narrowed(s: _Slice, length: int | None, bitmap: np.ndarray) -> None:
+    minors = max(minors, 1)
+    keys = major * minors + minor
+    most = (int(major.max()) + 1) * minors if len(major) else 0
+    if most <= 1 << 24:
+        sums = np.bincount(keys, weights, most).astype(np.int64)
+        keys = np.flatnonzero(sums)
+        sums = sums[keys]
+    else:
+        keys, back = np.unique(keys, return_inverse=True)
+        sums = np.bincount(back, weights, len(keys)).astype(np.int64)
+    return keys // minors, keys % minors, sums
+
+
+def _narrowed(s: _Slice, length: int, bitmap: np.ndarray) -> None:
     """Leave the pairs whose prefix of that length has its bit set for their language."""
     names, at = s.prefixes(length)
     langs, which, _ = _grouped(s.lang, at, len(names))
+    slots = _slots(s.langs, langs, names, which, length)
     live = np.zeros(len(s.langs) * max(len(names), 1), bool)
-    for a, b in zip(langs.tolist(), which.tolist(), strict=True):
-        slot = _slot(s.langs[a], names[b])
-        live[a * len(names) + b] = bitmap[slot >> 6] >> np.uint64(slot & 63) & np.uint64(1)
-    s.keep(live[s.lang * len(names) + at])
+    live[langs * max(len(names), 1) + which] = (bitmap[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    s.keep(live[s.lang * max(len(names), 1) + at])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield _Slice(batch, i)
 
 
 def _level(length: int, before: int | None, sent):
-    """lang, prefix, docs of each slice: documents by prefixes of ``length`` bytes, of terms whose shorter prefix goes on."""
+    """lang, prefix, docs of a task's slices: documents by prefixes of ``length`` bytes, of terms whose shorter prefix goes on."""
+
+    def counted(s: _Slice) -> pa.Table:
+        if before is not None:
+            _narrowed(s, before, sent.value)
+        names, at = s.prefixes(length)
+        # a document's terms stand in order, and so do their prefixes
+        new = np.r_[True, (at[1:] != at[:-1]) | (s.doc[1:] != s.doc[:-1])] if len(at) else np.empty(0, bool)
+        langs, which, docs = _grouped(s.lang[new], at[new], len(names))
+        return pa.table({"lang": pa.array(s.langs, pa.string()).take(pa.array(langs)), "prefix": names.take(pa.array(which)), "docs": docs})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                s = _Slice(batch, i)
-                if before is not None:
-                    _narrowed(s, before, sent.value)
-                names, at = s.prefixes(length)
-                # a document's terms stand in order, and so do their prefixes
-                new = np.r_[True, (at[1:] != at[:-1]) | (s.doc[1:] != s.doc[:-1])] if len(at) else np.empty(0, bool)
-                langs, which, docs = _grouped(s.lang[new], at[new], len(names))
-                yield pa.RecordBatch.from_pydict({"lang": [s.langs[a] for a in langs], "prefix": [names[b] for b in which], "docs": docs}, pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("docs", pa.int64())]))
+        yield from _added(map(counted, _slices(batches)), ["lang", "prefix"], "docs")
         give_back()
 
     return run
 
 
-def _bitmap(found: DataFrame) -> np.ndarray:
+def _bitmap(found: DataFrame, length: int) -> np.ndarray:
     """The bits of the prefixes (lang, prefix): at most 2**BITS / 64 words come to the driver, whatever their number."""
-    slot = F.expr(f"crc32(concat(encode(lang, 'UTF-8'), X'{END.hex()}', prefix)) & {(1 << BITS) - 1}L")
-    words = found.withColumn("slot", slot).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, cast(slot & 63 AS int)) AS bit")
-    held = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            slots = _slots(langs.dictionary.to_pylist(), langs.indices.to_numpy(), batch.column(1), np.arange(len(batch)), length)
+            yield pa.RecordBatch.from_pydict({"word": slots >> 6, "bit": (np.uint64(1) << (slots & 63).astype(np.uint64)).view(np.int64)})
+
+    held = found.select("lang", "prefix").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros((1 << BITS) // 64, np.uint64)
-    out[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.uint64)
+    out[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def kept_terms(slices: DataFrame, least: int) -> DataFrame:
-    """lang, term of the terms in at least ``least`` documents of their language, by refinement of their prefixes."""
+def kept_terms(slices: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """lang, term, prefix (with the end mark) of the terms in at least ``least`` documents of their language, by refinement of
+    their prefixes; and the length of the last prefixes, which no kept term exceeds."""
     spark = slices.sparkSession
     before, sent, kept, length = None, None, None, FIRST
     while True:
         counted = slices.mapInArrow(_level(length, before, sent), "lang string, prefix binary, docs long").groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
         counted = written(counted.where(F.col("docs") >= least).select("lang", "prefix", F.expr(f"endswith(prefix, X'{END.hex()}')").alias("whole")), "prefixes")
-        done = counted.where("whole").select("lang", F.expr("decode(substr(prefix, 1, length(prefix) - 1), 'UTF-8')").alias("term"))
+        done = counted.where("whole").select("lang", F.expr("decode(substr(prefix, 1, length(prefix) - 1), 'UTF-8')").alias("term"), "prefix")
         kept = done if kept is None else kept.unionByName(done)
         open_ = counted.where("NOT whole")
         if not has_rows(open_):
-            return kept
-        before, sent, length = length, spark.sparkContext.broadcast(_bitmap(open_)), 2 * length
-
-
-def _counts(sent):
-    """lang, source, term, n of each slice: occurrences of the terms whose bit is set."""
+            return kept, length
+        before, sent, length = length, spark.sparkContext.broadcast(_bitmap(open_, length)), 2 * length
+
+
+def _counts(length: int, sent):
+    """lang, source, term, n of a task's slices: occurrences of the terms whose bit is set."""
+
+    def counted(s: _Slice) -> pa.Table:
+        _narrowed(s, length, sent.value)
+        names, at = s.prefixes(length)
+        # a cut term is none that is kept, and shares a bit with one by chance
+        whole = pc.ends_with(names, END).to_numpy(zero_copy_only=False) if len(names) else np.empty(0, bool)
+        on = whole[at]
+        groups, which, n = _grouped(s.group[on], at[on], len(names), s.count[on])
+        terms = pc.binary_slice(names.filter(pa.array(whole)), 0, -1).cast(pa.string())
+        number = np.cumsum(whole) - 1
+        own = pa.array(groups)
+        lang, source = (pa.array([g[i] for g in s.groups], pa.string()).take(own) for i in (0, 1))
+        return pa.table({"lang": lang, "source": source, "term": terms.take(pa.array(number[which])), "n": n})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                s = _Slice(batch, i)
-                _narrowed(s, None, sent.value)
-                names, at = s.prefixes(None)
-                groups, which, n = _grouped(s.group, at, len(names), s.count)
-                rows = {"lang": [s.groups[g][0] for g in groups], "source": [s.groups[g][1] for g in groups], "term": [names[b][:-1].decode() for b in which], "n": n}
-                yield pa.RecordBatch.from_pydict(rows, pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())]))
+        yield from _added(map(counted, _slices(batches)), ["lang", "source", "term"], "n")
         give_back()
 
     return run
@@ -231,9 +295,9 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, text: str = "text", l
     own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
     slices = written(own.mapInArrow(_sliced, SLICED), "slices")
     groups = written(slices.select(F.explode("groups").alias("g")).select("g.lang", "g.source").distinct(), "groups")
-    kept = written(kept_terms(slices, least), "kept-terms")
-    ended = kept.select("lang", F.expr(f"concat(encode(term, 'UTF-8'), X'{END.hex()}')").alias("prefix"))
-    found = slices.mapInArrow(_counts(spark.sparkContext.broadcast(_bitmap(ended))), "lang string, source string, term string, n long")
+    kept, length = kept_terms(slices, least)
+    kept = written(kept, "kept-terms")
+    found = slices.mapInArrow(_counts(length, spark.sparkContext.broadcast(_bitmap(kept, length))), "lang string, source string, term string, n long")
     counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi")
     counts = written(counts, "term-counts")
     discard(slices)
