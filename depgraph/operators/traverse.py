@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from depgraph.model import TERMINAL_KINDS, Graph
 from depgraph.operators.lookup import traversable
-from depgraph.tables import has_rows, stored
+from depgraph.tables import discard, has_rows, stored
 
 
 def ways(graph: Graph, direction: str) -> DataFrame:
@@ -20,11 +20,6 @@ def ways(graph: Graph, direction: str) -> DataFrame:
     return edges if hasattr(graph.edges, "stored_at") else stored(edges, "ways")
 
 
-def expandable(graph: Graph) -> DataFrame:
-    """id of the nodes whose links may be followed: all but builtin and unresolved ones."""
-    return graph.nodes.where(~F.col("kind").isin(*TERMINAL_KINDS)).select("id")
-
-
 def reach(graph: Graph, roots: DataFrame, direction: str = "uses", level: int | None = None, stop: Column | None = None, through_terminals: bool = False) -> DataFrame:
     """root, id, depth of all that each root reaches, itself at depth 0, at the least depth.
 
@@ -68,66 +63,187 @@ OCCURRENCES = "root string, path array<struct<at: int, last: boolean>>, depth in
 _STEP = "struct<at: int, last: boolean>"
 
 
-def tree(graph: Graph, root: str, direction: str = "uses", max_rounds: int = 10_000) -> DataFrame:
+def tree(graph: Graph, root: str, direction: str = "uses", stop: Column | None = None) -> DataFrame:
     """The occurrences (OCCURRENCES) of the whole tree below ``root`` of a graph without cycles.
 
     A node is expanded where it occurs first in depth-first order, which is its least path, shorter prefixes first.
     Least paths are found by relaxing links level by level; each expanded node then lists all its children, with a
-    marker where one was expanded before. A child that is its own ancestor, or paths that don't settle, show a cycle
-    below the root: that is an error, see ``tree_of_any``.
+    marker where one was expanded before. A child that is its own ancestor, or more rounds than nodes, show a cycle
+    below the root: that is an error, see ``tree_of_any``. stop: as there.
     """
-    steps, inside = _below(graph, root, direction)
-    kinds = graph.nodes.select("id", "kind")
-    start = inside.where(F.col("id") == root).select("id", F.expr(f"cast(array() as array<{_STEP}>)").alias("path"))
-    best = stored(start, "paths")
+    edges, kinds = ways(graph, direction), _kinds(graph, stop)
+    roots = kinds.where(F.col("id") == root)
+    inside = stored(_reached(graph, edges, roots, None, stop).select("id"), "below")
+    steps = _steps(edges, inside, kinds)
+    best = stored(roots.select(F.lit(root).alias("root"), "id", F.expr(f"cast(array() as array<{_STEP}>)").alias("path")), "paths")
     frontier, rounds = best, 0
     size = inside.count()
     while has_rows(frontier):
         rounds += 1
-        if rounds > min(size, max_rounds) + 1:
+        if rounds > size + 1:
             raise ValueError("there is a cycle below the root")
-        longer = F.concat("path", F.array(F.struct("at", "last"))).alias("path")
-        found = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), longer).groupBy("id").agg(F.min("path").alias("path"))
-        merged = found.withColumnRenamed("path", "new").join(best, "id", "left")
-        frontier = stored(merged.where("path IS NULL OR new < path").select("id", F.col("new").alias("path")), "paths")
+        found = _extended(frontier, steps).groupBy("root", "id").agg(F.min("path").alias("path"))
+        merged = found.withColumnRenamed("path", "new").join(best, ["root", "id"], "left")
+        frontier = stored(merged.where("path IS NULL OR new < path").select("root", "id", F.col("new").alias("path")), "paths")
         if has_rows(frontier):
             best = stored(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "paths")
-    first = best.select(F.col("id").alias("first_id"), F.col("path").alias("first_path"))
-    below = best.join(steps, F.col("id") == F.col("src")).select(F.concat("path", F.array(F.struct("at", "last"))).alias("path"), F.col("dst").alias("id"), F.col("src").alias("parent"))
-    above = below.join(best.select("id", F.col("path").alias("own")), "id").where("size(own) < size(path) AND slice(path, 1, size(own)) = own")
-    if has_rows(above):
+    lines = _lines(best, steps, kinds)
+    if has_rows(lines.where("marker = 'recursive'")):
         raise ValueError("there is a cycle below the root")
-    every = below.unionByName(best.where(F.col("id") == root).select("path", "id", F.lit(None).cast("string").alias("parent")))
-    named = every.join(kinds, "id").join(first, F.col("id") == F.col("first_id"), "left")
-    marker = F.when(F.size("path") == 0, F.lit(None).cast("string")).when(F.col("kind") == "builtin", "builtin").when(F.col("kind") == "unknown", "unresolved").when(F.col("path") != F.col("first_path"), "*")
-    return named.select(F.lit(root).alias("root"), "path", F.size("path").alias("depth"), "id", "parent", "kind", marker.alias("marker"))
+    return lines
 
 
-def _below(graph: Graph, root: str, direction: str, level: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The ordered links among what ``root`` reaches, out of nodes that may be expanded, and the ids reached."""
-    edges = ways(graph, direction)
-    roots = graph.nodes.where(F.col("id") == root).select("id")
-    inside = stored(_reached(graph, edges, roots, level).select("id"), "below")
-    own = inside.join(expandable(graph), "id", "left_semi").withColumnRenamed("id", "src")
-    return stored(children(edges.join(own, "src", "left_semi")), "children"), inside
+def _kinds(graph: Graph, stop: Column | None) -> DataFrame:
+    """id, kind, open (may be expanded), halted (by ``stop``) of all nodes, written."""
+    halted = F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))
+    return stored(graph.nodes.select("id", "kind", (~F.col("kind").isin(*TERMINAL_KINDS) & ~halted).alias("open"), halted.alias("halted")), "kinds")
+
+
+def _steps(edges: DataFrame, inside: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The ordered links out of those of the nodes ``inside`` that may be expanded."""
+    own = inside.select("id").distinct().join(kinds.where("open"), "id", "left_semi").withColumnRenamed("id", "src")
+    return stored(children(edges.join(own, "src", "left_semi")), "children")
 
 
-def tree_of_any(graph: Graph, roots: DataFrame, direction: str = "uses", level: int | None = None) -> DataFrame:
+def _extended(paths: DataFrame, steps: DataFrame) -> DataFrame:
+    """root, id, path, parent of what the last nodes of paths link to."""
+    longer = F.concat("path", F.array(F.struct("at", "last"))).alias("path")
+    return paths.join(steps, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id"), longer, F.col("src").alias("parent"), F.col("path").alias("above"))
+
+
+def _lines(best: DataFrame, steps: DataFrame, kinds: DataFrame, level: int | None = None) -> DataFrame:
+    """OCCURRENCES, from the path (root, id, path) on which each node occurs first: there it lists its children.
+
+    A child whose own first path leads to its parent is an ancestor; one with another first path was expanded before.
+    """
+    deeper = best if level is None else best.where(F.size("path") < level)
+    first = best.select("root", "id", F.col("path").alias("own"))
+    start = best.where("size(path) = 0").select("root", "id", "path", F.lit(None).cast("string").alias("parent"), F.lit(None).cast(f"array<{_STEP}>").alias("above"))
+    every = _extended(deeper, steps).unionByName(start).join(first, ["root", "id"]).join(kinds, "id")
+    marker = (
+        F.when(F.size("path") == 0, F.lit(None).cast("string"))
+        .when(F.expr("size(own) <= size(above) AND slice(above, 1, size(own)) = own AND open"), "recursive")
+        .when(F.expr("own <> path AND open"), "*")
+        .when(F.col("kind") == "builtin", "builtin")
+        .when(F.col("kind") == "unknown", "unresolved")
+    )
+    return every.select("root", "path", F.size("path").alias("depth"), "id", "parent", "kind", marker.alias("marker"))
+
+
+def tree_of_any(graph: Graph, roots: DataFrame, direction: str = "uses", level: int | None = None, stop: Column | None = None) -> DataFrame:
     """The occurrences (OCCURRENCES) of the tree below each root (column id), for any graph and any level.
 
-    Which occurrence expands a node depends on all that come before it in depth-first order, which is sequential
-    by nature, so each root's links are walked in one task, and roots in parallel. Links come to the task sorted and
-    one batch at a time, into a database that spills to the task's disk, so memory doesn't bound what a root reaches.
+    stop: condition on the nodes' columns; a node that meets it occurs wherever a link leads to it, but is neither expanded
+    nor counted as expanded. With a level see ``_first_to_level``, without one ``_first_of_any``.
     """
-    edges = ways(graph, direction)
-    kinds = stored(graph.nodes.select("id", "kind"), "kinds")
-    # a node whose least depth is the level is never expanded; roots stay in any case
-    reached = _reached(graph, edges, roots, level).where(F.lit(level is None) | (F.col("depth") < max(level or 0, 1)))
-    named = stored(reached.join(kinds, "id").where(f"depth = 0 OR kind NOT IN ({', '.join(repr(k) for k in TERMINAL_KINDS)})"), "named")
-    steps = children(edges.join(named.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
-    own = named.join(steps, (F.col("id") == F.col("src")) & ~F.col("kind").isin(*TERMINAL_KINDS), "left")
-    own = own.join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind")), "dst", "left").select("root", "id", "kind", "dst", "dst_kind", "at", "last")
-    return own.repartition("root").sortWithinPartitions("root", "id", "at").mapInArrow(_walks_of(level), OCCURRENCES)
+    edges, kinds = ways(graph, direction), _kinds(graph, stop)
+    reached = _reached(graph, edges, roots, level, stop).select("root", "id", "depth")
+    # a node whose least depth is the level is never followed
+    steps = _steps(edges, reached if level is None else reached.where(F.col("depth") < level), kinds)
+    start = stored(reached.where("depth = 0").select("root", "id", F.expr(f"cast(array() as array<{_STEP}>)").alias("path")), "paths")
+    best = _first_of_any(start, steps, reached) if level is None else _first_to_level(start, steps, level)
+    return _lines(best, steps, kinds, level)
+
+
+def _first_to_level(start: DataFrame, steps: DataFrame, level: int) -> DataFrame:
+    """root, id, path: the first occurrence of each node in depth-first order, down to ``level``.
+
+    The first path of a node is the least of the first paths of its parents, each with one more step, of those parents
+    that first occur above the level; a parent whose first path became longer than that gives nothing, though a later and
+    shorter one would. So each round makes all paths anew from those of the round before, and a result that stays is the only one
+    there is: where all nodes up to some place in depth-first order have their paths, the next one gets its own, as
+    a wrong path leads through a later node and comes after it.
+    """
+    now = start
+    while True:
+        found = _extended(now.where(F.size("path") < level), steps).select("root", "id", "path").unionByName(start)
+        new = stored(found.groupBy("root", "id").agg(F.min("path").alias("path")), "paths")
+        if not has_rows(new.join(now, ["root", "id", "path"], "left_anti")) and not has_rows(now.join(new, ["root", "id"], "left_anti")):
+            return new
+        discard(*(t for t in (now,) if t is not start))
+        now = new
+
+
+def cyclic_components(links: DataFrame) -> DataFrame:
+    """id, component of the nodes that lie on cycles of the links (src, dst) through other nodes.
+
+    Nodes without links in or out are trimmed away; over what is left, each node takes the least id that leads to it, and the nodes of
+    that colour which lead back to it are one component. What has none goes on to the next round.
+    """
+    live = stored(links.where("src <> dst").select("src", "dst").distinct(), "cycle-links")
+    whole = live.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    while has_rows(live):
+        for _ in range(4):
+            both = live.select(F.col("src").alias("id")).intersect(live.select("dst"))
+            ends = lambda x: both.select(F.col("id").alias(x))  # noqa: E731, B023
+            cut = stored(live.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi"), "cycle-links")
+            same = cut.count() == live.count()
+            discard(live)
+            live = cut
+            if same:
+                break
+        colours = front = stored(live.select(F.col("src").alias("id")).union(live.select("dst")).distinct().withColumn("colour", F.col("id")), "colours")
+        while has_rows(front):
+            taken = front.join(live, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("new"))
+            better = stored(taken.join(colours, "id").where("new < colour").select("id", F.col("new").alias("colour")), "colours")
+            colours = stored(colours.join(better, "id", "left_anti").unionByName(better), "colours")
+            front = better
+        back = live.join(colours.select(F.col("id").alias("src"), "colour"), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other")
+        back = stored(back.select("src", "dst"), "colour-links")
+        found = front = stored(colours.where("id = colour").select("id", F.col("colour").alias("component")), "components")
+        while has_rows(front):
+            new = front.join(back, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "component").distinct()
+            front = stored(new.join(found, "id", "left_anti"), "components")
+            found = found.unionByName(front)
+        found = stored(found, "components")
+        whole = whole.unionByName(found)
+        gone = lambda x: found.select(F.col("id").alias(x))  # noqa: E731, B023
+        rest = stored(live.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti"), "cycle-links")
+        discard(live, back)
+        live = rest
+    single = whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(whole.join(single, "component", "left_semi").select("id", "component"), "components")
+
+
+def _first_of_any(start: DataFrame, steps: DataFrame, reached: DataFrame) -> DataFrame:
+    """root, id, path: the first occurrence of each node in depth-first order.
+
+    Once the walk enters a component of nodes that lead to one another it doesn't leave it for good before all of them were
+    visited, and what it visits outside never leads back. So the first path into a component is the least of the first paths of the nodes that
+    link into it, with that step, and the order inside depends only on where it was entered and the links inside. Components
+    are finished once all that link into them are, a round of joins for each; only one that holds a cycle is walked, by its own links.
+    """
+    member = cyclic_components(steps)
+    named = steps.join(member.select(F.col("id").alias("src"), F.col("component").alias("of_src")), "src", "left").join(member.select(F.col("id").alias("dst"), F.col("component").alias("of_dst")), "dst", "left")
+    named = stored(named.withColumns({"of_src": F.coalesce("of_src", "src"), "of_dst": F.coalesce("of_dst", "dst")}), "named-links")
+    across, within = named.where("of_src <> of_dst"), named.where("of_src = of_dst AND src <> dst")
+    any_cycle = has_rows(member)
+    need = reached.join(across, F.col("id") == F.col("src")).groupBy("root", F.col("of_dst").alias("component")).agg(F.count(F.lit(1)).alias("need"))
+    waiting = stored(need.select("root", "component", "need", F.lit(0).cast("long").alias("have"), F.lit(None).cast(f"array<{_STEP}>").alias("path"), F.lit(None).cast("string").alias("id")), "waiting")
+    front = stored(_inner(start, member, within), "paths") if any_cycle else start
+    best = front
+    while has_rows(front):
+        came = front.join(across, F.col("id") == F.col("src")).select("root", F.col("of_dst").alias("component"), F.lit(0).cast("long").alias("need"), F.lit(1).cast("long").alias("have"), F.concat("path", F.array(F.struct("at", "last"))).alias("path"), F.col("dst").alias("id"))
+        now = waiting.unionByName(came).groupBy("root", "component").agg(F.max("need").alias("need"), F.sum("have").alias("have"), F.min_by(F.struct("path", "id"), "path").alias("p"))
+        now = stored(now.select("root", "component", "need", "have", "p.path", "p.id"), "waiting")
+        entered = now.where("have = need").select("root", "id", "path")
+        front = stored(_inner(entered, member, within) if any_cycle else entered, "paths")
+        best = best.unionByName(front)
+        waiting = now.where("have < need")
+    return stored(best, "paths")
+
+
+def _inner(entered: DataFrame, member: DataFrame, within: DataFrame) -> DataFrame:
+    """root, id, path of all nodes of the components entered at (root, id, path); nodes outside cycles stand for themselves."""
+    entered = stored(entered, "entered")
+    inside = entered.select("id").distinct().join(member, "id")
+    links = inside.select(F.col("id").alias("root"), F.col("component").alias("of_src")).join(within, "of_src")
+    kind = F.lit("component")
+    links = links.select("root", F.col("src").alias("id"), kind.alias("kind"), "dst", kind.alias("dst_kind"), "at", "last")
+    walked = links.repartition("root").sortWithinPartitions("root", "id", "at").mapInArrow(_walks_of(None), OCCURRENCES).where("marker IS NULL")
+    walked = walked.select(F.col("root").alias("entry"), F.col("id").alias("inner"), F.col("path").alias("more"))
+    both = entered.join(walked, F.col("id") == F.col("entry"), "left")
+    return both.select("root", F.coalesce("inner", "id").alias("id"), F.when(F.col("inner").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"))
 
 
 _WALKED = pa.schema(
@@ -226,10 +342,13 @@ def _walked(db: sqlite3.Connection, root: str, level: int | None) -> Iterator[tu
             path.pop()
 
 
-def walks(graph: Graph, root: str, direction: str = "uses", level: int | None = None) -> DataFrame:
+def walks(graph: Graph, root: str, direction: str = "uses", level: int | None = None, stop: Column | None = None) -> DataFrame:
     """path (ids from the root, as an array), depth, id, recursive: every visit of the plain traversal, which cuts
-    cycles but expands nodes again wherever they occur, up to ``level`` steps or without a limit."""
-    steps = stored(children(ways(graph, direction)), "children")
+    cycles but expands nodes again wherever they occur, up to ``level`` steps or without a limit. stop: as in ``tree_of_any``."""
+    edges = ways(graph, direction)
+    if stop is not None:
+        edges = edges.join(graph.nodes.where(F.coalesce(stop, F.lit(False))).select(F.col("id").alias("src")), "src", "left_anti")
+    steps = stored(children(edges), "children")
     frontier = graph.nodes.where(F.col("id") == root).select(F.array("id").alias("path"), F.expr("cast(array() as array<int>)").alias("places"), "id", F.lit(False).alias("recursive"))
     every = frontier = stored(frontier, "walks")
     depth = 0

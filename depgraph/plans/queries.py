@@ -291,21 +291,77 @@ def tree_lines_walked(spark, sf_dir):
     return report.report(star_graph(spark, sf_dir), CUSTOMER, "uses").select("ord", "line")
 
 
-@_query()
+def _lines_sql(roots: str, steps: str, best: str, level: int | None = None) -> str:
+    """CTEs named lines: of each root, from the steps (src, dst, at, last) and the first paths ``best`` (root, id, path, stem, ids)."""
+    cut = "" if level is None else f" AND len(f.path) < {level}"
+    return f"""{steps}, {best},
+lines AS (SELECT id AS root, CAST([] AS BIGINT[]) AS path, id, CAST(NULL AS VARCHAR) AS marker, id AS line FROM nodes WHERE {roots}
+UNION ALL SELECT root, path, dst, marker, stem || branch || dst || CASE marker WHEN '*' THEN ' (*)' WHEN 'recursive' THEN ' (recursive)' WHEN 'unresolved' THEN ' (unresolved)' ELSE '' END
+FROM (SELECT f.root, list_append(f.path, s.at) AS path, s.dst, f.stem, CASE WHEN s.last THEN '└── ' ELSE '├── ' END AS branch,
+CASE WHEN n.kind = 'unknown' THEN 'unresolved' WHEN list_contains(f.ids, s.dst) THEN 'recursive' WHEN list_append(f.path, s.at) <> b.path THEN '*' END AS marker
+FROM best f JOIN nodes p ON p.id = f.id AND p.kind <> 'unknown' JOIN steps s ON s.src = f.id JOIN nodes n ON n.id = s.dst JOIN best b ON b.root = f.root AND b.id = s.dst WHERE true{cut}))"""
+
+
+def _ordered_steps_sql(side: str) -> str:
+    return f"""steps AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY place.seq, place.kind, dst) AS at, lead(dst) OVER (PARTITION BY src ORDER BY place.seq, place.kind, dst) IS NULL AS last
+FROM (SELECT src, dst, min(struct_pack(seq := seq, kind := kind)) AS place FROM edges WHERE {side} GROUP BY src, dst))"""
+
+
+def _rounds_sql(roots: str, level: int, rounds: int) -> str:
+    """CTE best: first paths under a level, by as many rounds as bring all of them to rest (the query fails if they don't)."""
+    step = "CASE WHEN s.stay THEN r.{0} ELSE {1} END"
+    return f"""ways AS (SELECT s.src, s.dst, s.at, s.last, false AS stay FROM steps s JOIN nodes n ON n.id = s.src AND n.kind <> 'unknown' UNION ALL SELECT id, id, 0, false, true FROM nodes WHERE {roots}),
+rounds AS (SELECT 0 AS k, id AS root, id, CAST([] AS BIGINT[]) AS path, '' AS stem, [id] AS ids FROM nodes WHERE {roots}
+UNION ALL SELECT k, root, id, p.path, p.stem, p.ids FROM (SELECT k, root, id, min(struct_pack(path := path, stem := stem, ids := ids)) AS p
+FROM (SELECT r.k + 1 AS k, r.root, s.dst AS id, {step.format("path", "list_append(r.path, s.at)")} AS path, {step.format("stem", "r.stem || CASE WHEN s.last THEN '    ' ELSE '│   ' END")} AS stem, {step.format("ids", "list_append(r.ids, s.dst)")} AS ids
+FROM rounds r JOIN ways s ON s.src = r.id WHERE r.k < {rounds} AND (s.stay AND r.id = r.root AND len(r.path) = 0 OR NOT s.stay AND len(r.path) < {level})) GROUP BY k, root, id)),
+settled AS (SELECT CASE WHEN count(*) FILTER (WHERE n <> 2) > 0 THEN error('paths changed in the last round') END AS e FROM (SELECT count(*) AS n FROM rounds WHERE k >= {rounds - 1} GROUP BY root, id, path)),
+best AS (SELECT root, id, path, stem, ids FROM rounds, settled WHERE k = {rounds} AND e IS NULL)"""
+
+
+@_query(f"SELECT root, {_ORD}, line, marker FROM lines", recursive=_lines_sql("starts_with(id, 'Geo\\Nation')", _ordered_steps_sql("reverse"), _rounds_sql("starts_with(id, 'Geo\\Nation')", 3, 8), 3))
 def tree_level_limited(spark, sf_dir):
-    """Three levels below each nation's users; SQL can't tell what is expanded first under a level."""
+    """Three levels below each nation's users."""
     graph = star_graph(spark, sf_dir)
-    roots = graph.nodes.where("id LIKE 'Geo\\\\\\\\Nation%'")
+    roots = graph.nodes.where(F.col("id").startswith("Geo\\Nation"))
     return report.rendered(traverse.tree_of_any(graph, roots, "used-by", 3)).select("root", "ord", "line", "marker")
 
 
-@_query()
+def _flow_level(level: int):
+    recursive = _lines_sql("true", _ordered_steps_sql("NOT reverse"), _rounds_sql("true", level, 30), level)
+
+    def flow_tree_level(spark, sf_dir):
+        """Trees below every node of the cyclic graph, cut where what is expanded first decides what appears at all."""
+        graph = flow_graph(spark, sf_dir)
+        return report.rendered(traverse.tree_of_any(graph, graph.nodes, "uses", level)).select("root", "ord", "line", "marker")
+
+    return _query(f"SELECT root, {_ORD}, line, marker FROM lines", FLOW_SQL, recursive)(flow_tree_level)
+
+
+flow_tree_level = _flow_level(2)
+
+#: All simple paths from every node, and of them the first to each node.
+_SIMPLE = """simple AS (SELECT id AS root, id, CAST([] AS BIGINT[]) AS path, '' AS stem, [id] AS ids FROM nodes
+UNION ALL SELECT w.root, s.dst, list_append(w.path, s.at), w.stem || CASE WHEN s.last THEN '    ' ELSE '│   ' END, list_append(w.ids, s.dst)
+FROM simple w JOIN steps s ON s.src = w.id WHERE NOT list_contains(w.ids, s.dst)),
+best AS (SELECT root, id, p.path, p.stem, p.ids FROM (SELECT root, id, min(struct_pack(path := path, stem := stem, ids := ids)) AS p FROM simple GROUP BY root, id))"""
+
+
+@_query(f"SELECT root, {_ORD}, line, marker FROM lines", FLOW_SQL, _lines_sql("true", _ordered_steps_sql("NOT reverse"), _SIMPLE))
 def flow_tree(spark, sf_dir):
     """The trees below every node of the cyclic graph, with recursion markers."""
     graph = flow_graph(spark, sf_dir)
     return report.rendered(traverse.tree_of_any(graph, graph.nodes, "uses")).select("root", "ord", "line", "marker")
 
 
+@_query(f"SELECT root, {_ORD}, line, marker FROM lines", recursive=_lines_sql("starts_with(id, 'Geo\\Region')", _ordered_steps_sql("reverse"), _rounds_sql("starts_with(id, 'Geo\\Region')", 9, 20).replace("n.kind <> 'unknown'", "n.kind NOT IN ('unknown', 'method')")).replace("p.kind <> 'unknown'", "p.kind NOT IN ('unknown', 'method')").replace("WHEN list_append(f.path, s.at) <> b.path", "WHEN n.kind <> 'method' AND list_append(f.path, s.at) <> b.path"))
+def tree_stopped(spark, sf_dir):
+    """Who uses each region, stopping at methods: they are listed wherever they occur, never followed, never marked."""
+    graph = star_graph(spark, sf_dir)
+    roots = graph.nodes.where(F.col("id").startswith("Geo\\Region"))
+    return report.rendered(traverse.tree_of_any(graph, roots, "used-by", stop=F.col("kind") == "method")).select("root", "ord", "line", "marker")
+
+
 @_query("SELECT (SELECT count(*) FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges b WHERE b.src = e.dst AND b.dst = e.src)) AS one_way, (SELECT count(*) FROM forward f WHERE NOT EXISTS (SELECT 1 FROM inverse b WHERE b.src = f.dst AND b.dst = f.src)) AS without_inverse")
 def invariant_bidirectional(spark, sf_dir):
     graph = star_graph(spark, sf_dir)
@@ -341,15 +397,6 @@ def reverse_edges_inverted(spark, sf_dir):
     return ends.select("src", "kind", "dst", G.forward_kind(F.col("kind"), F.col("src_kind"), F.col("dst_kind")).alias("forward_kind"))
 
 
-@_query()
-def synthetic_graph_stats(spark, sf_dir):
-    """Kinds of the edges of graphs grown from each supplier's key."""
-    from depgraph.sources.synth import synthetic_graph
-
-    graph = synthetic_graph(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed")), 2)
-    return graph.edges.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_sources"))
-
-
 def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: PHP text for each customer, supplier, part and nation, made by Spark from the tables."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

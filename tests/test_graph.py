@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from depgraph import functions as G
 from depgraph.model import EDGE_KINDS, NODES, edge_kinds, inverse_of
 from depgraph.operators import build, lookup, report, traverse, validate
+from depgraph.tables import stored
 
 EDGE = "src string, kind string, dst string, reverse boolean, file struct<path: string, line: int, column: int, name: string>, seq long"
 
@@ -193,3 +194,86 @@ def test_identifiers(spark):
     names = spark.createDataFrame([("a1",), ("1a",), ("é_",), ("a b",), ("a\\b",)], "n string")
     assert [tuple(r) for r in names.select(G.is_identifier(F.col("n")), G.is_namespace(F.col("n"))).collect()] == [(True, True), (False, False), (True, True), (False, False), (False, True)]
     assert spark.range(1).select(G.is_builtin(F.lit("SELF")), G.is_builtin(F.lit("selfish"))).first() == (True, False)
+
+
+def brute_tree(below, root, level=None, stop=()):
+    """(path, id, marker) of the depth-first walk; below: ordered children of each node."""
+    out, expanded = [], set()
+
+    def visit(x, path, above):
+        marker = "recursive" if x in above else "*" if x in expanded else None
+        out.append((tuple(path), x, marker))
+        if marker or x in stop:
+            return
+        expanded.add(x)
+        for i, y in enumerate(below.get(x, []) if level is None or len(path) < level else []):
+            visit(y, [*path, i + 1], above | {x})
+
+    visit(root, [], frozenset())
+    return out
+
+
+def random_graphs():
+    rng = random.Random(21)
+    for size, links in ((6, 2), (9, 3), (12, 2), (14, 1.3)):
+        names = "ABCDEFGHIJKLMN"[:size]
+        pairs = [a + b for a in names for b in rng.sample(names, size) if rng.random() < links / size]
+        yield names, pairs
+    # two cycles in a row, entered at different places, and a loop on one node
+    yield "ABCDEFGH", ["AC", "AB", "BC", "CD", "DB", "BE", "CG", "EF", "FG", "GE", "FF", "GH", "HH", "DA"]
+    yield "ABCDEFGH", ["AC", "AB", "BC", "CD", "DB", "BE", "CG", "EF", "FG", "GE", "FF", "GH", "HH"]
+
+
+def test_trees_of_any_graph(spark):
+    """Trees below every node, whole and to levels, with and without stopped nodes, against a plain recursion."""
+    names, pairs = [], []
+    for i, (own, links) in enumerate(random_graphs()):
+        names += [f"{x}{i}" for x in own]
+        pairs += [(f"{a}{i}", f"{b}{i}") for a, b in links]
+    graph = made(spark, pairs, nodes=names)
+    graph = type(graph)(stored(graph.nodes, "n"), stored(graph.edges, "e"))
+    below = {}
+    for a, b in pairs:
+        below.setdefault(a, []).append(b)
+    halt = [n for n in names if n[0] in "BF"]
+    stop = F.substring_index("id", "\\", -1).isin(*halt)
+    for level, stopped in ((None, ()), (3, ()), (None, halt), (2, halt)):
+        got = {}
+        for r in traverse.tree_of_any(graph, graph.nodes, "uses", level, stop if stopped else None).collect():
+            got.setdefault(r.root[4:], []).append((tuple(s["at"] for s in r.path), r.id[4:], r.marker))
+        for root in names:
+            assert sorted(got[root], key=str) == sorted(brute_tree(below, root, level, stopped), key=str), (level, root)
+
+
+def test_cyclic_components(spark):
+    links = ["AB", "BC", "CA", "CD", "DE", "ED", "EF", "FG", "GH", "HH", "XY", "YX", "XA", "ZX"]
+    got = traverse.cyclic_components(spark.createDataFrame([tuple(x) for x in links], "src string, dst string"))
+    assert {r.id: r.component for r in got.collect()} == {"A": "A", "B": "A", "C": "A", "D": "D", "E": "D", "X": "X", "Y": "X"}
+    assert traverse.cyclic_components(spark.createDataFrame([("A", "B"), ("B", "B")], "src string, dst string")).count() == 0
+
+
+def test_no_task_holds_a_root(spark):
+    """Only links within components that hold a cycle are walked in Python; levels take none at all."""
+    graph = made(spark, ["AB", "BC", "CB", "AD", "DE"])
+    plan = traverse.tree_of_any(graph, graph.nodes, "uses", 3)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+    walked = []
+    real = traverse._walks_of
+    try:
+        traverse._walks_of = lambda level: walked.append(level) or real(level)
+        traverse.tree_of_any(made(spark, ["AB", "AC", "BD", "CD"]), made(spark, ["AB"]).nodes, "uses").count()
+        assert walked == []
+    finally:
+        traverse._walks_of = real
+
+
+def test_stopped_nodes(spark):
+    """A stopped node is visited each time, but what lies below it is not, unless another way leads there."""
+    graph = made(spark, ["AB", "AC", "BD", "CB", "CD", "DE"])
+    stop = F.col("id") == "App\\B"
+    want = ["A", "├── B", "└── C", "    ├── B", "    └── D", "        └── E"]
+    assert lines(graph, stop=stop) == lines(graph, stop=stop, cyclic=False) == want
+    assert [r.id[-1] for r in traverse.walks(graph, "App\\A", stop=stop).orderBy("places").collect()] == list("ABCBDE")
+    assert lines(graph, root="B", stop=stop) == ["B"]
+    # as users of D are counted, but not what uses the stopped one
+    assert [r.id[-1] for r in traverse.walks(graph, "App\\D", "used-by", stop=stop).orderBy("places").collect()] == list("DBCA")
