@@ -27,7 +27,7 @@ from depgraph.llm.common import Words, by_bytes, discard, give_back, has_rows, j
 NOT_LETTERS = bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 #: Bytes of texts in a slice, bytes of the first level's prefixes, bits of the map of prefixes that go on, and counts that a
 #: task adds up before it hands them on.
-SLICE, FIRST, BITS, ADDED = 8 << 20, 4, 25, 500_000
+SLICE, FIRST, BITS, ADDED = 2 << 20, 4, 25, 500_000
 #: No byte of a text in UTF-8.
 END = b"\xff"
 #: Sources and terms that one task compares at once.
