@@ -36,12 +36,18 @@ def first_edges(edges: DataFrame) -> DataFrame:
     return chosen.select("src", "kind", "dst", "first.*").select(edges.columns)
 
 
+#: Places of placeholders: behind those of all other nodes, in the order of the edges that name them first.
+_BEHIND = 1 << 61
+
+
 def placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """An unresolved node of kind unknown for each end of an edge that has no node."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    """An unresolved node of kind unknown for each end of an edge that has no node, in the order of the first edge of each,
+    sources before targets."""
+    end = lambda c, side: edges.select(F.col(c).alias("id"), (F.col("seq") * 2 + (_BEHIND + side)).alias("seq"))
+    ends = end("src", 0).union(end("dst", 1)).groupBy("id").agg(F.min("seq").alias("seq"))
     missing = ends.join(nodes.select("id"), "id", "left_anti")
     typed = {f.name: f.dataType for f in nodes.schema}
-    values = {"id": F.col("id"), "kind": F.lit("unknown"), "resolved": F.lit(False), "seq": F.lit(1 << 62).cast("long")}
+    values = {"id": F.col("id"), "kind": F.lit("unknown"), "resolved": F.lit(False), "seq": F.col("seq")}
     return missing.select(*(values.get(c, F.lit(None)).cast(typed[c]).alias(c) for c in nodes.columns))
 
 
@@ -73,24 +79,34 @@ def forward_edges(graph: Graph) -> DataFrame:
     return graph.edges.where("NOT reverse").withColumn("seq", F.expr("seq div 2"))
 
 
+def kept(graph: Graph) -> Graph:
+    """The graph with nodes and edges written, unless they are tables already."""
+    table = lambda df, name: df if hasattr(df, "stored_at") else stored(df, name)
+    return Graph(table(graph.nodes, "nodes"), table(graph.edges, "edges"))
+
+
+def _renumbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows in the same order, at the least places that tasks can give without knowing of each other."""
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "renumbered")
+
+
 def add_nodes(graph: Graph, nodes: DataFrame) -> Graph:
-    """Add nodes; placeholders are replaced, concrete nodes are an error, by whatever they would be replaced."""
+    """Add nodes behind those that are there; one that was a placeholder takes its place. Concrete nodes that are there already are an
+    error, by whatever they would be replaced."""
     taken = graph.nodes.where("kind <> 'unknown'").select("id")
     clash = nodes.join(taken, "id", "left_semi").select("id").take(1)
     if clash:
         raise NodeExists(f"Node already exists: {clash[0][0]}")
-    kept = graph.nodes.join(nodes.select("id"), "id", "left_anti")
-    return Graph(kept.unionByName(strict_nodes(nodes)), graph.edges)
+    there, new = _renumbered(graph.nodes, "seq", "id"), _renumbered(strict_nodes(nodes), "seq", "id")
+    top = there.agg(F.max("seq")).first()[0]
+    base = 0 if top is None else top + 1
+    old = there.select("id", F.col("seq").alias("old"))
+    placed = new.join(old, "id", "left").withColumn("seq", F.coalesce("old", F.col("seq") + base)).drop("old").select(there.columns)
+    return Graph(there.join(new.select("id"), "id", "left_anti").select(there.columns).unionByName(placed), graph.edges)
 
 
 #: Places from here on are numbered anew when edges are added, so that no number of merges runs out of places.
-_FAR = 1 << 61
-
-
-def _renumbered(edges: DataFrame) -> DataFrame:
-    """The edges in the same order, at the least places that tasks can give without knowing of each other."""
-    order = ["seq", "src", "kind", "dst"]
-    return stored(edges.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "renumbered")
+_FAR = 1 << 60
 
 
 def add_edges(graph: Graph, edges: DataFrame) -> Graph:
@@ -98,17 +114,18 @@ def add_edges(graph: Graph, edges: DataFrame) -> Graph:
     there = forward_edges(graph)
     last, top = there.agg(F.max("seq")).first()[0], edges.agg(F.max("seq")).first()[0]
     if (last or 0) + (top or 0) + 1 >= _FAR:
-        there, edges = _renumbered(there), _renumbered(edges)
+        order = ("seq", "src", "kind", "dst")
+        there, edges = _renumbered(there, *order), _renumbered(edges, *order)
         last = there.agg(F.max("seq")).first()[0]
     base = 0 if last is None else last + 1
-    joined = there.unionByName(edges.withColumn("seq", F.col("seq") + base))
-    known = graph.nodes
-    return Graph(known.unionByName(placeholders(known, edges)), both_ways(first_edges(joined)))
+    edges = edges.withColumn("seq", F.col("seq") + base)
+    return Graph(graph.nodes.unionByName(placeholders(graph.nodes, edges)), both_ways(first_edges(there.unionByName(edges))))
 
 
 def merge(graph: Graph, other: Graph) -> Graph:
-    """Both graphs as one; a node of ``other`` whose id is concrete in ``graph`` is an error. Inputs stay as they are."""
-    return add_edges(add_nodes(graph, other.nodes), forward_edges(other))
+    """Both graphs as one, written; a node of ``other`` whose id is concrete in ``graph`` is an error. Inputs stay as they are."""
+    graph, other = kept(graph), kept(other)
+    return kept(add_edges(kept(add_nodes(graph, other.nodes)), forward_edges(other)))
 
 
 def merge_conflicts(graph: Graph, other: Graph) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depgraph.functions import is_reverse
 from depgraph.model import Graph
+from depgraph.tables import numbered
 
 DIRECTIONS = ("uses", "used-by")
 
@@ -40,6 +41,16 @@ def out_edges(graph: Graph, src: str) -> DataFrame:
     return graph.edges.where(F.col("src") == src).orderBy("seq", "kind", "dst")
 
 
+def in_edges(graph: Graph, dst: str) -> DataFrame:
+    """All edges to a node, in order; a stored graph reads one bucket of those that lie by their targets."""
+    return getattr(graph, "incoming", graph.edges).where(F.col("dst") == dst).orderBy("seq", "kind", "src")
+
+
+def nodes(graph: Graph) -> DataFrame:
+    """All nodes in the order in which they came, with their place from 1."""
+    return numbered(graph.nodes, "seq", "id")
+
+
 def traversable(edges: DataFrame, direction: str) -> DataFrame:
     """Forward edges for ``uses``, reverse edges for ``used-by``."""
     if direction not in DIRECTIONS:

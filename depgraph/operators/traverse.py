@@ -361,3 +361,61 @@ def walks(graph: Graph, root: str, direction: str = "uses", level: int | None =
             break
         every = every.unionByName(frontier)
     return every.select("path", "places", (F.size("path") - 1).alias("depth"), "id", "recursive")
+
+
+#: Visits are counted up to this many.
+MANY = 10**30
+
+
+def visit_counts(graph: Graph, direction: str = "uses") -> DataFrame:
+    """id, visits: how many visits the plain traversal from each node makes (see ``walks``), for all nodes at once.
+
+    A node without cycles below it is visited once, and all below each of its children as often as from there; so counts are
+    added up along the links, from the ends back, a round of joins for each step, and nothing is walked twice. Within a component
+    that holds a cycle the paths that meet no node twice are walked, by joins, and each is multiplied by what lies outside. Counts
+    above MANY are MANY.
+    """
+    links = ways(graph, direction).select("src", "dst").distinct()
+    member = cyclic_components(links)
+    of = lambda x: member.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    named = links.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    named = stored(named.withColumns({"of_src": F.coalesce("of_src", "src"), "of_dst": F.coalesce("of_dst", "dst")}), "named-links")
+    across, within = named.where("of_src <> of_dst"), named.where("of_src = of_dst")
+    nodes = stored(graph.nodes.select("id").join(member, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "members")
+    inner = _inner_walks(within)
+    count = lambda c: F.least(F.lit(str(MANY)).cast("decimal(38, 0)"), c.cast("decimal(38, 0)"))
+    need = nodes.join(across.groupBy(F.col("of_src").alias("component")).agg(F.count(F.lit(1)).alias("need")), "component", "left").select("id", "component", F.coalesce("need", F.lit(0)).alias("need"))
+    waiting = stored(need.select("id", "component", "need", F.lit(0).cast("long").alias("have"), count(F.lit(0)).alias("below")), "waiting")
+    done = None
+    while has_rows(waiting):
+        have = waiting.groupBy("component").agg(F.sum("have").alias("all"))
+        state = stored(waiting.join(have, "component"), "counted")
+        ready = state.where("all = need")
+        times = ready.join(inner, "id", "left").select("id", F.coalesce("inner", "id").alias("inner"), F.coalesce("n", count(F.lit(1))).alias("n"), F.coalesce("closed", F.lit(0)).alias("closed"))
+        outside = ready.select(F.col("id").alias("inner"), (F.col("below") + 1).alias("each"))
+        product = F.coalesce(F.try_multiply(F.col("n").cast("decimal(38, 0)"), F.col("each").cast("decimal(38, 0)")), F.lit(str(MANY)).cast("decimal(38, 0)"))
+        now = times.join(outside, "inner").groupBy("id").agg(F.coalesce(F.try_sum(count(product) + F.col("closed")), F.lit(str(MANY)).cast("decimal(38, 0)")).alias("visits"))
+        now = stored(now.select("id", count(F.col("visits")).alias("visits")), "visits")
+        if not has_rows(now):
+            raise AssertionError("links lead in a circle between components")
+        done = now if done is None else done.unionByName(now)
+        came = now.join(across, F.col("id") == F.col("dst")).groupBy("src").agg(F.count(F.lit(1)).alias("more"), count(F.try_sum("visits")).alias("gained")).withColumnRenamed("src", "id")
+        left = state.where("all < need").join(came, "id", "left")
+        waiting = stored(left.select("id", "component", "need", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have"), count(F.col("below") + F.coalesce("gained", count(F.lit(0)))).alias("below")), "waiting")
+    return graph.nodes.select("id", F.lit(None).cast("decimal(38, 0)").alias("visits")).limit(0) if done is None else done
+
+
+def _inner_walks(within: DataFrame) -> DataFrame:
+    """id, inner, n, closed: on how many paths inside their component, which meet no node twice, each node leads to each other
+    one (itself once), and of these how often a link closes a circle there."""
+    front = stored(within.select("src").distinct().select(F.col("src").alias("id"), F.array("src").alias("path")), "inner-walks")
+    every = None
+    while has_rows(front):
+        on = front.join(within, F.element_at("path", -1) == F.col("src")).select("id", "path", "dst", F.array_contains("path", F.col("dst")).alias("closed"))
+        on = stored(on, "inner-walks")
+        ends = front.select("id", F.element_at("path", -1).alias("inner"), F.lit(1).alias("n"), F.lit(0).alias("closed")).unionByName(on.where("closed").select("id", F.element_at("path", -1).alias("inner"), F.lit(0).alias("n"), F.lit(1).alias("closed")))
+        every = ends if every is None else every.unionByName(ends)
+        front = on.where("NOT closed").select("id", F.concat("path", F.array("dst")).alias("path"))
+    if every is None:
+        every = within.select(F.col("src").alias("id"), F.col("dst").alias("inner"), F.lit(1).alias("n"), F.lit(0).alias("closed")).limit(0)
+    return stored(every.groupBy("id", "inner").agg(F.sum("n").cast("decimal(38, 0)").alias("n"), F.sum("closed").alias("closed")), "inner-walks")

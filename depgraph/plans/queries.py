@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from depgraph import functions as G
 from depgraph.model import Graph
-from depgraph.operators import build, lookup, report, traverse, validate
+from depgraph.operators import build, hierarchy, lookup, report, traverse, validate
+from depgraph.sources import stored
 from depgraph.sources.tables import FLOW_SQL, STAR_SQL, flow_graph, star_graph, star_items, table
+from depgraph.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -397,6 +400,126 @@ def reverse_edges_inverted(spark, sf_dir):
     return ends.select("src", "kind", "dst", G.forward_kind(F.col("kind"), F.col("src_kind"), F.col("dst_kind")).alias("forward_kind"))
 
 
+# The order in which the tables give their nodes.
+_NODE_ORDER = r"""SELECT 'Geo\Region' || r_regionkey AS id, 0 AS rank, r_regionkey AS number FROM region UNION ALL SELECT 'Geo\Nation' || n_nationkey, 1, n_nationkey FROM nation UNION ALL SELECT 'Sales\Customer' || c_custkey, 2, c_custkey FROM customer
+UNION ALL SELECT 'Catalog\Supplier' || s_suppkey, 3, s_suppkey FROM supplier UNION ALL SELECT 'Catalog\Part' || p_partkey, 4, p_partkey FROM part UNION ALL SELECT 'Catalog\Part' || p_partkey || '::size', 5, p_partkey FROM part
+UNION ALL SELECT DISTINCT 'Catalog\' || p_type, 6, 0 FROM part UNION ALL SELECT 'Sales\Customer' || o_custkey || '::order' || o_orderkey, 7, o_orderkey FROM orders"""
+
+
+@_query(f"""SELECT id, kind, row_number() OVER (ORDER BY kind = 'unknown', rank, number, first, id) AS place FROM nodes LEFT JOIN ({_NODE_ORDER}) USING (id)
+LEFT JOIN (SELECT id, min(seq) AS first FROM (SELECT src AS id, seq FROM forward UNION ALL SELECT dst, seq + 1 FROM forward) GROUP BY id) USING (id)""")
+def nodes_in_order(spark, sf_dir):
+    """Declared nodes in the order of their tables, then what is only used, by the edge that uses it first."""
+    return lookup.nodes(star_graph(spark, sf_dir)).select("id", "kind", "place")
+
+
+# Sales comes first and names nations, parts and suppliers, which keep those places when their own graphs are merged in.
+_MERGE_ORDER = f"""named AS (SELECT id, split_part(id, chr(92), 1) AS space, rank, number FROM ({_NODE_ORDER})),
+ends AS (SELECT split_part(src, chr(92), 1) AS space, src AS id, seq FROM forward UNION ALL SELECT split_part(src, chr(92), 1), dst, seq + 1 FROM forward),
+placed AS (SELECT id, CASE space WHEN 'Sales' THEN 0 WHEN 'Geo' THEN 2 ELSE 4 END AS phase, rank, number FROM named
+UNION ALL SELECT id, CASE space WHEN 'Sales' THEN 1 WHEN 'Geo' THEN 3 ELSE 5 END, 0, min(seq) FROM ends GROUP BY space, id),
+best AS (SELECT id, min(struct_pack(phase := phase, rank := rank, number := number)) AS p FROM placed GROUP BY id)"""
+
+
+@_query("SELECT id, kind, row_number() OVER (ORDER BY p.phase, p.rank, p.number, id) AS place FROM best JOIN nodes USING (id)", recursive=_MERGE_ORDER)
+def merged_nodes_in_order(spark, sf_dir):
+    """The order of nodes after two merges: a node that was a placeholder stands where it was named first."""
+    nodes, edges = star_items(spark, sf_dir)
+    part = lambda space: build.assemble(nodes.where(F.col("id").startswith(f"{space}\\")), edges.where(F.col("src").startswith(f"{space}\\")))
+    free = lambda g: Graph(g.nodes.where("kind <> 'unknown'"), g.edges)
+    merged = build.merge(build.merge(part("Sales"), free(part("Geo"))), free(part("Catalog")))
+    return lookup.nodes(merged).select("id", "kind", "place")
+
+
+_ABOVE = """up AS (SELECT DISTINCT src AS id, dst AS ancestor FROM forward WHERE kind IN ('declaration-extends', 'declaration-implements', 'declaration-trait-use')),
+above AS (SELECT id, ancestor FROM up UNION SELECT a.id, u.ancestor FROM above a JOIN up u ON u.id = a.ancestor),
+inherited AS (SELECT DISTINCT u.id, a.ancestor FROM up u JOIN above a ON a.id = u.ancestor WHERE a.ancestor <> u.ancestor)"""
+
+
+@_query("SELECT a.id, a.ancestor, u.id IS NOT NULL AS stated, i.id IS NOT NULL AS inherited FROM above a LEFT JOIN up u ON u.id = a.id AND u.ancestor = a.ancestor LEFT JOIN inherited i ON i.id = a.id AND i.ancestor = a.ancestor", recursive=_ABOVE)
+def hierarchy_closure(spark, sf_dir):
+    """Nations and regions above each customer and supplier, and whether they are stated or inherited."""
+    return hierarchy.ancestors(star_graph(spark, sf_dir))
+
+
+@_query("SELECT id, ancestor, kind FROM (SELECT * FROM above EXCEPT SELECT * FROM inherited) a JOIN (SELECT id AS ancestor, kind FROM nodes) n USING (ancestor)", recursive=_ABOVE)
+def hierarchy_direct(spark, sf_dir):
+    """All that is above a symbol less what it inherits, with the kind of what is above."""
+    graph = star_graph(spark, sf_dir)
+    return hierarchy.direct(graph).join(graph.nodes.select(F.col("id").alias("ancestor"), "kind"), "ancestor").select("id", "ancestor", "kind")
+
+
+def _opened(spark, sf_dir):
+    """The graph written in buckets and opened again."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    stored.save_graph(star_graph(spark, sf_dir), path)
+    return stored.open_graph(spark, path)
+
+
+@_query(f"SELECT src, kind, dst, seq FROM edges WHERE src = '{CUSTOMER}' UNION ALL SELECT src, kind, dst, seq FROM edges WHERE dst = '{CUSTOMER}'")
+def stored_edges_of_node(spark, sf_dir):
+    """All edges from and to one node, each from one bucket of a stored graph."""
+    graph = _opened(spark, sf_dir)
+    return lookup.out_edges(graph, CUSTOMER).union(lookup.in_edges(graph, CUSTOMER)).select("src", "kind", "dst", "seq")
+
+
+@_query("SELECT id, depth FROM reached", recursive=_reach_sql(f"id = '{REGION}'", True))
+def stored_reach(spark, sf_dir):
+    """Reachability over the buckets of a stored graph."""
+    graph = _opened(spark, sf_dir)
+    return traverse.reach(graph, lookup.node(graph, REGION), "used-by").select("id", "depth")
+
+
+_VISITS = "v AS (SELECT id AS root, [id] AS ids, id, false AS recursive FROM nodes UNION ALL SELECT v.root, list_append(v.ids, s.dst), s.dst, list_contains(v.ids, s.dst) FROM v JOIN steps s ON s.src = v.id WHERE NOT v.recursive)"
+_COUNTED = "SELECT root AS id, CAST(count(*) AS BIGINT) AS visits, count(*) <= (SELECT count(*) * count(*) FROM nodes) AS bounded FROM v GROUP BY root"
+
+
+def _visits(graph: Graph) -> DataFrame:
+    counts = traverse.visit_counts(graph, "uses")
+    size = graph.nodes.count()
+    return counts.select("id", F.col("visits").cast("long").alias("visits"), (F.col("visits") <= size * size).alias("bounded"))
+
+
+@_query(_COUNTED, recursive=f"{_STEPS.format('NOT reverse')}, {_VISITS}")
+def visit_counts(spark, sf_dir):
+    """Visits of the plain traversal from every node, and whether they stay below the square of the number of nodes."""
+    return _visits(star_graph(spark, sf_dir))
+
+
+@_query(_COUNTED, FLOW_SQL, f"{_STEPS.format('NOT reverse')}, {_VISITS}")
+def flow_visit_counts(spark, sf_dir):
+    """The same on the graph that is one component full of cycles."""
+    return _visits(flow_graph(spark, sf_dir))
+
+
+# Paths below the folder that the query writes; "skip" and "tmp" are excluded, a path with "Customer" or "Nation" is included.
+_SCANNED = r"""SELECT 'src/n' || c_nationkey || '/' || 'Customer' || c_custkey || '.php' AS rel_path, length(c_name) AS n_chars FROM customer
+UNION ALL SELECT 'lib/deep/er/Nation' || n_nationkey || '.php', length(n_name) FROM nation"""
+
+
+@_query(_SCANNED, prelude=None)
+def files_scanned(spark, sf_dir):
+    """Files written from the tables and found again: excluded folders, other endings and what isn't included stay out."""
+    from depgraph.sources.files import scan
+    from depgraph.sources.listing import write_files
+
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    root = root if "://" in root else f"file://{root}"
+    rows = lambda t, content, *path: table(spark, sf_dir, t).select(F.concat(*(F.lit(x) if "/" in x or "." in x or x[0].isupper() else F.col(x) for x in path)).alias("rel"), F.col(content).alias("content"))
+    files = rows("customer", "c_name", "src/n", "c_nationkey", "/Customer", "c_custkey", ".php")
+    for more in (
+        rows("nation", "n_name", "lib/deep/er/Nation", "n_nationkey", ".php"),
+        rows("nation", "n_name", "lib/skip/deep/Nation", "n_nationkey", ".php"),
+        rows("nation", "n_name", "tmp/Nation", "n_nationkey", ".php"),
+        rows("nation", "n_name", "lib/Nation", "n_nationkey", ".txt"),
+        rows("region", "r_name", "lib/Region", "r_regionkey", ".php"),
+    ):
+        files = files.unionByName(more)
+    write_files(files, root)
+    found = scan(spark, [root], includes=["Customer", "/Nation[0-9]+/"], excludes=["skip", "tmp*"])
+    return found.select("rel_path", F.length("content").cast("long").alias("n_chars"))
+
+
 def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: PHP text for each customer, supplier, part and nation, made by Spark from the tables."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

@@ -277,3 +277,92 @@ def test_stopped_nodes(spark):
     assert lines(graph, root="B", stop=stop) == ["B"]
     # as users of D are counted, but not what uses the stopped one
     assert [r.id[-1] for r in traverse.walks(graph, "App\\D", "used-by", stop=stop).orderBy("places").collect()] == list("DBCA")
+
+
+def test_order_of_nodes(spark):
+    """Placeholders follow in the order of edges, keep their places when declared, and hand them on through merges."""
+    order = lambda g: "".join(r.id[-1] for r in lookup.nodes(g).orderBy("place").collect())
+    first = made(spark, ["AZ", "AC", "YB"], nodes=["B", "A"])
+    assert order(first) == "BAZCY"
+    second = made(spark, ["CX", "CW", "QA"], nodes=["D", "C"])
+    free = type(second)(second.nodes.where("kind <> 'unknown'"), second.edges)
+    both = build.merge(first, free)
+    assert order(both) == "BAZCYDXWQ"
+    third = made(spark, ["XV"], nodes=["E", "X", "Z"])
+    again = build.merge(both, type(third)(third.nodes.where("kind <> 'unknown'"), third.edges))
+    assert order(again) == "BAZCYDXWQEV"
+    assert {r.id[-1] for r in again.nodes.where("kind = 'unknown'").collect()} == set("YWQV")
+    assert order(build.add_nodes(first, made(spark, [], nodes=["C", "F"]).nodes)) == "BAZCYF"
+
+
+def test_hierarchy(spark):
+    """All ancestors against plain recursion; what is direct is all less what others bring."""
+    from depgraph.operators import hierarchy
+
+    rng = random.Random(4)
+    pairs = sorted({a + b for a, b in (sorted(rng.sample("ABCDEFGHIJ", 2)) for _ in range(18))}) + ["KL", "LM", "MK"]
+    graph = made(spark, pairs, kind="declaration-extends", node_kind="class")
+    up = {}
+    for a, b in pairs:
+        up.setdefault(a, set()).add(b)
+
+    def above(x, seen=()):
+        return set().union(*({y} | above(y, (*seen, x)) for y in up.get(x, ()) if y not in seen)) if x in up else set()
+
+    def all_above(x):
+        out, todo = set(), list(up.get(x, ()))
+        while todo:
+            y = todo.pop()
+            if y not in out:
+                out.add(y)
+                todo += up.get(y, ())
+        return out
+
+    got = {(r.id[-1], r.ancestor[-1]): (r.stated, r.inherited) for r in hierarchy.ancestors(graph).collect()}
+    want = {(x, y): (y in up[x], any(y in all_above(z) for z in up[x] if z != y)) for x in up for y in all_above(x)}
+    assert got == want
+    assert {(r.id[-1], r.ancestor[-1]) for r in hierarchy.direct(graph).collect()} == {k for k, v in want.items() if not v[1]}
+
+
+def test_stored_graph(spark, tmp_path):
+    """A lookup reads one bucket, a step of a traversal shuffles no edges, and another session opens the same files."""
+    from depgraph.sources.stored import open_graph, save_graph
+
+    path = f"file://{tmp_path}/it's"
+    graph = made(spark, [a + b for a in "ABCDEFGH" for b in "ABCDEFGH" if a < b])
+    held = save_graph(graph, path, 4)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    # only so does the plan name the buckets that it reads
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    for df in (lookup.out_edges(held, "App\\C"), lookup.in_edges(held, "App\\C"), lookup.node(held, "App\\C")):
+        assert "SelectedBucketsCount: 1 out of 4" in plan(df)
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    key = lambda df: sorted(map(tuple, df.select("src", "kind", "dst", "seq").collect()))
+    assert key(held.edges) == key(graph.edges) == key(held.incoming) and held.nodes.count() == 8
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        front = spark.createDataFrame([("App\\A",)], "id string").join(traverse.ways(held, "uses"), F.col("id") == F.col("src"))
+        physical = plan(front).split("== Physical Plan ==")[1]
+        assert physical.count("Exchange") == 1 and "Exchange" not in physical[physical.index("FileScan") :]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    other = open_graph(spark.newSession(), path)
+    assert sorted(r.id for r in traverse.reach(other, lookup.node(other, "App\\G")).collect()) == ["App\\G", "App\\H"]
+    with pytest.raises(Exception, match="(?i)exist"):
+        save_graph(graph, path, 4)
+
+
+def test_visit_counts(spark):
+    """Visits from every node of graphs with cycles, as the plain walk makes them one by one."""
+    pairs = [(f"{a}{i}", f"{b}{i}") for i, (_, own) in enumerate(list(random_graphs())[4:]) for a, b in own]
+    graph = made(spark, pairs)
+    below = {}
+    for a, b in pairs:
+        below.setdefault(a, []).append(b)
+
+    def visits(x, above=frozenset()):
+        return 1 if x in above else 1 + sum(visits(y, above | {x}) for y in below.get(x, ()))
+
+    got = {r.id[4:]: int(r.visits) for r in traverse.visit_counts(graph).collect()}
+    assert got == {x: visits(x) for x in {x for p in pairs for x in p}}

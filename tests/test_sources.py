@@ -240,6 +240,40 @@ def test_scan(spark, tmp_path):
     assert found([]) == []
 
 
+def test_excluded_folders_are_not_opened(spark, tmp_path, monkeypatch):
+    """Only folders that may hold what counts are listed, each once; a pattern that is an expression prunes none."""
+    from depgraph.sources import listing
+
+    for name in ("a/b/x.php", "a/skip/deep/y.php", "a/skip/z.php", "c/d.php", "c/.git/e.php", "top.php", "c/n.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("<?php")
+    log = tmp_path.parent / f"{tmp_path.name}.log"
+    real = listing._list
+
+    def counted(root):
+        run = real(root)
+
+        def logged(batches):
+            def each():
+                for b in batches:
+                    with open(log, "a") as f:
+                        f.writelines(f"{x}\n" for x in b.column(0).to_pylist())
+                    yield b
+
+            return run(each())
+
+        return logged
+
+    monkeypatch.setattr(listing, "_list", counted)
+    found = lambda **o: sorted(r.rel_path for r in scan(spark, [str(tmp_path)], **o).collect())
+    assert found(excludes=["skip"]) == ["a/b/x.php", "c/d.php", "top.php"]
+    assert sorted(log.read_text().split("\n")) == ["", "", "a", "a/b", "c"]
+    log.unlink()
+    assert found(excludes=["/skip$/"], includes=["a/"]) == ["a/b/x.php", "a/skip/deep/y.php", "a/skip/z.php"]
+    assert len(log.read_text().split("\n")) == 7
+    assert not listing.reachable("nowhere://x/y")
+
+
 def test_synthetic(spark):
     seeds = spark.range(20).withColumnRenamed("id", "seed")
     graph = synthetic_graph(seeds, 3)
