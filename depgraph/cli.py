@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 import sys
 from collections.abc import Sequence
 
@@ -10,22 +9,15 @@ from pyspark.sql import SparkSession
 
 from depgraph.config import Config, ConfigError, load
 from depgraph.model import Graph
-from depgraph.operators.lookup import NotFound
-from depgraph.operators.report import report
-from depgraph.sources.files import scan
-from depgraph.sources.php import graph_of
-from depgraph.sources.synth import synthetic_graph
+from depgraph.registry import ANALYZERS, REPORTERS
 
 OK, FAILURE, INVALID = 0, 1, 2
 
 
 def analyse(spark: SparkSession, config: Config) -> Graph:
-    """The graph of the files below the base path, or a synthetic one."""
-    if config.type == "debug":
-        seed = config.debug.get("seed")
-        seeds = spark.range(1).selectExpr(f"{random.getrandbits(62) if seed is None else seed} AS seed")
-        return synthetic_graph(seeds, config.debug["depth"])
-    return graph_of(scan(spark, [config.base_path], config.includes, config.excludes))
+    """The graph that the analyser of the settings' type makes of the base path."""
+    options = {"php": {"includes": config.includes, "excludes": config.excludes}, "debug": config.debug}.get(config.type, {})
+    return ANALYZERS.find(config.type)(spark, config.base_path, **options)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -40,9 +32,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             builder = builder.config("spark.driver.memory", args.memory_limit)
         spark = builder.getOrCreate()
     try:
-        for row in report(analyse(spark, config), target, config.direction, config.level).select("line").toLocalIterator():
+        reporter = REPORTERS.find(getattr(args, "format", "tree"))
+        for row in reporter(analyse(spark, config), target, config.direction, config.level).select("line").toLocalIterator():
             print(row.line)
-    except NotFound as e:
+    except LookupError as e:  # no such target or reporter
         print(e, file=sys.stderr)
         return FAILURE
     return OK

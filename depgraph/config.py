@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-DIRECTIONS, TYPES = ("uses", "used-by"), ("php", "debug")
+DIRECTIONS = ("uses", "used-by")
 PREFIX = "DEPGRAPH_"
 
 
@@ -85,6 +85,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--debug-depth", type=int)
     p.add_argument("--debug-seed", type=int)
     p.add_argument("--memory-limit")
+    p.add_argument("--format", help="name of a reporter")
     return p
 
 
@@ -128,8 +129,10 @@ def checked(s: Mapping[str, Any]) -> Config:
         value = s.get(key, [])
         if not isinstance(value, (list, tuple)) or any(not isinstance(x, str) or not x.strip() for x in value):
             wrong(f"{key} must be a list of non-blank strings")
-    if s.get("type") not in TYPES:
-        wrong(f"type must be one of {', '.join(TYPES)}")
+    from depgraph.registry import ANALYZERS  # only now, as others may be registered by then
+
+    if s.get("type") not in ANALYZERS:
+        wrong(f"type must be one of {', '.join(ANALYZERS)}")
     debug = s.get("debug", {})
     if not isinstance(debug, Mapping):
         wrong("debug must be a mapping")

@@ -274,6 +274,44 @@ def test_excluded_folders_are_not_opened(spark, tmp_path, monkeypatch):
     assert not listing.reachable("nowhere://x/y")
 
 
+def test_registry(spark, tmp_path, capsys):
+    """A user's own analyser, collector and reporter, beside those that are here."""
+    from pyspark.sql import functions as F
+
+    from depgraph import cli, registry
+
+    (tmp_path / "a.php").write_text("<?php namespace N; class A { function f(B $b) { echo 'x', print(1); $this->g(); } function g() { } }")
+    try:
+
+        @registry.COLLECTORS.register("echoes")
+        def echoes(tokens):
+            return tokens.where("lower(tok) = 'echo'").select("path", "pos", "line", F.col("source").alias("src"), F.lit("function-call").alias("kind"), F.lit("echo").alias("dst"))
+
+        @registry.ANALYZERS.register("echoing")
+        def echoing(spark, path):
+            return registry.ANALYZERS.find("php")(spark, path, collectors=("echoes",))
+
+        @registry.REPORTERS.register("flat")
+        def flat(graph, root, direction="uses", level=None):
+            return registry.REPORTERS.find("tree")(graph, root, direction, level).select("ord", F.col("id").alias("line"))
+
+        assert cli.main(["--type", "echoing", "--format", "flat", "N\\A", str(tmp_path)], spark) == cli.OK
+        assert capsys.readouterr().out.split() == ["N\\A", "N\\A::f", "N\\B", "echo", "N\\A::g", "N\\A::g"]
+        assert cli.main(["--format", "dot", "--level", "1", "N\\A", str(tmp_path)], spark) == cli.OK
+        out = capsys.readouterr().out.rstrip().split("\n")
+        assert (out[0], out[-1]) == ("digraph {", "}") and sorted(out[1:-1]) == sorted(
+            [r'  "N\\A" [tooltip="class"];', r'  "N\\A::f" [tooltip="method"];', r'  "N\\A::g" [tooltip="method"];', r'  "N\\A" -> "N\\A::f" [label="declaration-method"];', r'  "N\\A" -> "N\\A::g" [label="declaration-method"];']
+        )
+        assert cli.main(["--format", "none", "N\\A", str(tmp_path)], spark) == cli.FAILURE
+        with pytest.raises(ValueError):
+            registry.REPORTERS.register("flat")(flat)
+        with pytest.raises(TypeError):
+            registry.REPORTERS.register("text")("no function")
+    finally:
+        for r, name in ((registry.COLLECTORS, "echoes"), (registry.ANALYZERS, "echoing"), (registry.REPORTERS, "flat")):
+            r.pop(name, None)
+
+
 def test_synthetic(spark):
     seeds = spark.range(20).withColumnRenamed("id", "seed")
     graph = synthetic_graph(seeds, 3)
