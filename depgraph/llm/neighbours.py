@@ -3,9 +3,9 @@
 Vectors get one more component that makes their lengths equal, so that the largest inner product is the smallest
 distance. A bounded sample is halved again and again at the median, which gives lists of equal size; their means
 are the centroids. A graph of near centroids is held in memory and searched best first. Each vector goes to the
-list of its nearest centroid and, near a boundary, to the lists of others that are nearly as near; each query is
-compared with all centroids and visits all lists whose centroids are nearly as near as its nearest one, however many
-they are. Lists are scored exactly, in double precision.
+list of its nearest centroid and, near a boundary, to the lists of others that are nearly as near; each query searches the
+graph with a beam that grows until it reaches beyond all centroids that are nearly as near as its nearest one, and visits
+the lists of these, however many they are. Lists are scored exactly, in double precision.
 
 Equal vectors are one vector with its smallest ids, so a vector that many rows share is one entry of its list.
 """
@@ -24,10 +24,14 @@ from depgraph.llm.common import has_rows, written
 
 #: Bounds, whatever the input's size: vectors to fit on, lists, and what is scored at once in one task.
 FIT_VECTORS, MAX_LISTS, BLOCK = 50_000, 4_096, 4_096
+#: Bytes of the vectors to fit on, which come to the driver; wide vectors are fewer.
+FIT_BYTES = 128 << 20
 #: Vectors of a list (more where MAX_LISTS is reached), lists of a boundary vector, links of a centroid.
 LIST, COPIES, DEGREE = 256, 4, 24
 #: Lists that each query visits at least, however near the nearest centroid is.
 LEAST_VISITS = 4
+#: Centroids that a query's search holds at first.
+BEAM = 32
 #: The share of their true neighbours among the fitted vectors that so many of those must find; the ratio grows to it.
 FOUND, TRIED = 0.95, 256
 
@@ -105,6 +109,21 @@ class Centroids:
         order = np.argsort(far, axis=1, kind="stable")
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(far, order, axis=1)
 
+    def within(self, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of near centroids, nearest first, and which of them are within the ratio of the nearest or among the ``least``
+        nearest. Rows whose whole beam is within the ratio are searched again with twice the beam, so none is cut off."""
+        n = len(self.at)
+        ids, keep = np.zeros((len(x), n), np.int64), np.zeros((len(x), n), bool)
+        rows, beam = np.arange(len(x)), min(n, BEAM)
+        while len(rows):
+            found, d = self.search(x[rows], beam)
+            near = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
+            done = ~near[:, -1] | (beam == n)
+            near[:, :least] = True
+            ids[rows[done], : found.shape[1]], keep[rows[done], : found.shape[1]] = found[done], near[done] & (found[done] >= 0)
+            rows, beam = rows[~done], min(n, 2 * beam)
+        return ids, keep
+
     def every(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all centroids and their squared distances, nearest first, for each row of x."""
         own = (self.at * self.at).sum(axis=1)
@@ -130,12 +149,11 @@ def _lists(sent, longest: float, ratio: float, query: bool):
 
 def chosen(model: Centroids, x: np.ndarray, longest: float, ratio: float, query: bool) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of lists, nearest first, for each row of x, and which of them it goes to."""
-    ids, d = model.every(_longer(x, None)) if query else model.search(_longer(x, longest), 4 * COPIES)
-    keep = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
     if query:
-        keep[:, :LEAST_VISITS] = True
-    else:
-        keep[:, COPIES:] = False
+        return model.within(_longer(x, None), ratio, LEAST_VISITS)
+    ids, d = model.search(_longer(x, longest), 4 * COPIES)
+    keep = np.sqrt(d) <= ratio * np.sqrt(d[:, :1]) + 1e-12
+    keep[:, COPIES:] = False
     return ids, keep
 
 
@@ -199,7 +217,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, near: float = 1.1, bounda
     go by the smaller vec_id. near, boundary: how many times as far as the nearest centroid may a query's or a
     vector's further lists be; near grows where the fitted vectors show that it is too little (FOUND). Vectors that are null, zero, not of the commonest length, or hold null, NaN or
     infinite components take no part, nor do rows with a null id; of repeated ids each row takes part. The index is
-    fitted on at most FIT_VECTORS vectors, those with the least hash, and holds all. Other columns are not looked at.
+    fitted on at most FIT_VECTORS vectors and FIT_BYTES bytes, those with the least hash, and holds all. Other columns are not looked at.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -214,7 +232,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, near: float = 1.1, bounda
     distinct = written(least.groupBy("key").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("first")), "distinct-vectors")
     total = distinct.count()
     longest = distinct.agg(F.max(F.expr("sqrt(aggregate(embedding, double(0), (s, x) -> s + x * x))"))).first()[0]
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("key"), "key").limit(FIT_VECTORS).select("embedding").collect()])
+    most = max(1, min(FIT_VECTORS, FIT_BYTES // (8 * max(1, size["n"]))))
+    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(most).select("embedding").toArrow().column(0).combine_chunks()
+    sample = sample.flatten().to_numpy().reshape(len(sample), -1)
     model = Centroids(_longer(sample, longest), min(MAX_LISTS, max(1, total // LIST)))
     near = wide_enough(model, sample, longest, near, boundary, k)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
