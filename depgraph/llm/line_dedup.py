@@ -8,8 +8,9 @@
    Rounds end when no run of 2**k lines occurs twice; the last ranks order the suffix array.
 3. The longest common prefix of neighbours in the suffix array is put together from the rounds: the highest round in
    which both have one rank, and then the same from the first line after that run on.
-4. Intervals of the suffix array whose longest common prefix reaches the least length are repeated runs. The first
-   suffix of an interval, by doc_id and line, stays; the others start later copies, which are deleted.
+4. Intervals of the suffix array whose neighbours have at least so many lines in common are repeated runs: an interval goes
+   from a place whose prefix is shorter to the next such place. The first suffix of an interval, by doc_id and line, stays;
+   the others start later copies, which are deleted.
 """
 
 from __future__ import annotations
@@ -21,9 +22,6 @@ from depgraph.llm.common import discard, has_rows, recorded, unused, written
 
 _LINES = """filter(transform(split({text}, '\\n', -1), (x, i) -> named_struct('at', i, 'line', x)),
   s -> translate(s.line, ' \\t\\r', '') <> '')"""
-_PLACE = "struct(doc_id, row_id, line)"
-
-
 def line_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_id, t and u (which tell texts apart), own: characters and two hashes of each line that is not blank."""
     own = F.transform(F.expr(_LINES.format(text=f"`{text}`")), lambda s: F.struct(F.length(s["line"]).alias("chars"), F.xxhash64(s["line"]).alias("h"), F.hash(s["line"]).alias("m")))
@@ -31,25 +29,22 @@ def line_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _ranked(pairs: DataFrame, least: int, name: str) -> DataFrame:
-    """The pairs (h, m) that occur ``least`` times, with their rank in order, how often and where first they occur."""
-    found = pairs.groupBy("h", "m").agg(F.count(F.lit(1)).alias("n"), F.expr(f"min({_PLACE})").alias("first")).where(F.col("n") >= least)
+    """The pairs (h, m) that occur ``least`` times, with their rank in order and how often they occur."""
+    found = pairs.groupBy("h", "m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     ordered = found.repartitionByRange("h", "m").sortWithinPartitions("h", "m")
-    return written(ordered.select("h", "m", F.monotonically_increasing_id().alias("rank"), "n", "first"), name)
+    return written(ordered.select("h", "m", F.monotonically_increasing_id().alias("rank"), "n"), name)
 
 
-def suffix_rounds(lines: DataFrame, mark: int = 1) -> DataFrame:
-    """doc_id, row_id, line, chars, ranks, lengths, later, later_run of each start of a repeated line.
+def suffix_rounds(lines: DataFrame) -> DataFrame:
+    """doc_id, row_id, line, chars, ranks, lengths of each start of a repeated line.
 
     lines: doc_id, row_id, line, chars, h, m. ranks and lengths: of each round, the rank of the run of 2**k lines and its
-    lines, fewer if a line that occurs once or the end comes first. later: the line occurs at an earlier place too;
-    later_run: the run of 2**mark lines does.
+    lines, fewer if a line that occurs once or the end comes first.
     """
     ranks = _ranked(lines, 2, "line-ranks")
-    now = lines.join(ranks, ["h", "m"]).select(
-        "doc_id", "row_id", "line", "chars", F.array("rank").alias("ranks"), F.array(F.lit(1)).alias("lengths"), F.expr(f"{_PLACE} > first").alias("later")
-    )
+    now = lines.join(ranks, ["h", "m"]).select("doc_id", "row_id", "line", "chars", F.array("rank").alias("ranks"), F.array(F.lit(1)).alias("lengths"))
     # rows equal in doc_id and text have the same row_id and count once
-    now = written(now.dropDuplicates(["row_id", "line"]).withColumn("later_run", F.col("later") if mark == 0 else F.lit(False)), "line-runs")
+    now = written(now.dropDuplicates(["row_id", "line"]), "line-runs")
     discard(ranks)
     k, held = 0, now
     while has_rows(now):
@@ -63,49 +58,69 @@ def suffix_rounds(lines: DataFrame, mark: int = 1) -> DataFrame:
         pairs = written(pairs.drop("beyond"), "line-pairs")
         ranks = _ranked(pairs, 1, "line-ranks")
         joined = pairs.join(ranks, ["h", "m"]).withColumns({"ranks": F.concat("ranks", F.array("rank")), "lengths": F.concat("lengths", F.array("length"))})
-        if k == mark:
-            joined = joined.withColumn("later_run", (F.col("length") == 2**k) & F.expr(f"{_PLACE} > first"))
         new = written(joined.select(*now.columns, (F.col("n") > 1).alias("twice")), "line-runs")
         discard(held, pairs, ranks)
         again = has_rows(new.where(f"twice AND element_at(lengths, -1) = {2**k}"))
         now, held = new.drop("twice"), new
-        if not again and k >= mark:
+        if not again:
             break
     return now
 
 
 def common_prefixes(starts: DataFrame) -> DataFrame:
-    """row_id, line, other_row, other_line, lcp: neighbours in the suffix array and how many lines they have in common.
+    """doc_id, row_id, line, chars, part, place, other_row, other_line, lcp: each suffix in the order of the suffix array, the one
+    in front of it, and how many lines they have in common.
 
-    starts: as ``suffix_rounds`` gives them. Neighbours without a common line are left out.
+    starts: as ``suffix_rounds`` gives them. place: from 0 without gaps; part: a range of places that one task can hold.
     """
     order = [F.element_at("ranks", -1).alias("last"), "row_id", "line"]
-    ordered = starts.select(*order, "ranks", "lengths").repartitionByRange("last", "row_id", "line").sortWithinPartitions("last", "row_id", "line")
+    ordered = starts.select(*order, "doc_id", "chars", "ranks", "lengths").repartitionByRange("last", "row_id", "line").sortWithinPartitions("last", "row_id", "line")
     ordered = written(ordered.withColumn("id", F.monotonically_increasing_id()), "suffix-array")
     # the ids count within partitions; one row a partition tells where each begins
     part, within = F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
     begins = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
-    places = ordered.withColumn("part", F.shiftright("id", 33)).join(F.broadcast(begins), "part").select((F.col("begin") + within).alias("place"), "row_id", "line", "ranks", "lengths")
-    other = places.select((F.col("place") - 1).alias("place"), F.col("row_id").alias("other_row"), F.col("line").alias("other_line"), F.col("ranks").alias("other_ranks"))
+    places = ordered.withColumn("part", F.shiftright("id", 33)).join(F.broadcast(begins), "part").select((F.col("begin") + within).alias("place"), "part", "doc_id", "row_id", "line", "chars", "ranks", "lengths")
+    other = places.select((F.col("place") + 1).alias("place"), F.col("row_id").alias("other_row"), F.col("line").alias("other_line"), F.col("ranks").alias("other_ranks"))
     # a rank that two suffixes share in a round they share in all rounds before it
-    equal = F.size(F.filter(F.arrays_zip(F.col("ranks").alias("a"), F.col("other_ranks").alias("b")), lambda s: s["a"] == s["b"])).alias("equal")
-    keys = ["row_id", "line", "other_row", "other_line"]
-    pairs = places.join(other, "place").select(*keys, F.lit(0).alias("lcp"), equal, "lengths").where("equal > 0")
-    grown = lambda p: p.select(*keys, (F.col("lcp") + F.col("lengths")[F.col("equal") - 1]).alias("lcp"), (F.col("equal") - 1).alias("round"), F.expr("lengths[equal - 1] = shiftleft(1, equal - 1) AND equal > 1").alias("open"))
+    equal = F.size(F.filter(F.arrays_zip(F.col("ranks").alias("a"), F.col("other_ranks").alias("b")), lambda s: s["a"] == s["b"]))
+    equal = F.coalesce(F.when(F.col("other_ranks").isNotNull(), F.greatest(equal, F.lit(0))), F.lit(0)).alias("equal")
+    keys = ["doc_id", "row_id", "line", "chars", "part", "place", "other_row", "other_line"]
+    pairs = places.join(other, "place", "left").select(*keys, F.lit(0).alias("lcp"), equal, "lengths")
+    grown = lambda p: p.select(*keys, F.expr("if(equal > 0, lcp + lengths[equal - 1], lcp)").alias("lcp"), (F.col("equal") - 1).alias("round"), F.expr("equal > 1 AND lengths[equal - 1] = shiftleft(1, equal - 1)").alias("open"))
     found = written(grown(pairs), "prefixes")
     done = found.where("NOT open").select(*keys, "lcp")
     while has_rows(found.where("open")):
         here = starts.select("row_id", F.col("line").alias("at"), "ranks", "lengths")
         there = starts.select(F.col("row_id").alias("other_row"), F.col("line").alias("other_at"), F.col("ranks").alias("other_ranks"))
         on = found.where("open").withColumns({"at": F.col("line") + F.col("lcp"), "other_at": F.col("other_line") + F.col("lcp")})
-        on = on.join(here, ["row_id", "at"], "left").join(there, ["other_row", "other_at"], "left").withColumn("equal", F.least(F.coalesce(F.greatest(equal, F.lit(0)), F.lit(0)), "round"))
-        on = written(on.select(*keys, "lcp", "equal", "lengths"), "prefixes")
-        found = grown(on.where("equal > 0"))
-        done = done.unionByName(on.where("equal = 0").select(*keys, "lcp")).unionByName(found.where("NOT open").select(*keys, "lcp"))
+        on = on.join(here, ["row_id", "at"], "left").join(there, ["other_row", "other_at"], "left")
+        found = written(grown(on.select(*keys, "lcp", F.least(equal, "round").alias("equal"), "lengths")), "prefixes")
+        done = done.unionByName(found.where("NOT open").select(*keys, "lcp"))
     return done
 
 
-def _gone_lines(docs: DataFrame, min_doublings: int, min_chars: int, doc_id: str, text: str) -> DataFrame:
+def later_copies(prefixes: DataFrame, conditions: dict[str, str]) -> DataFrame:
+    """row_id, line, chars, and a flag for each condition: whether the suffix is a later one in its interval.
+
+    prefixes: as ``common_prefixes`` gives them. conditions: name -> SQL on lcp and chars that holds where a suffix belongs to
+    the same interval as the one in front of it. An interval is known by the place at which it begins, the last at which the
+    condition fails: within a range of places a running maximum, and one row a range tells what came before.
+    """
+    breaks = {f"{n}_at": F.when(~F.expr(c), F.col("place")) for n, c in conditions.items()}
+    suffixes = prefixes.select("doc_id", "row_id", "line", "chars", "part", "place", *(b.alias(n) for n, b in breaks.items()))
+    ends = suffixes.groupBy("part").agg(*(F.max(n).alias(n) for n in breaks))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ends = ends.select("part", *(F.max(n).over(earlier).alias(f"{n}_before") for n in breaks))
+    past = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    out = suffixes.join(F.broadcast(ends), "part").select("doc_id", "row_id", "line", "chars", *(F.coalesce(F.max(n).over(past), F.col(f"{n}_before")).alias(n) for n in breaks))
+    out = written(out, "intervals")
+    for name in conditions:
+        first = out.groupBy(f"{name}_at").agg(F.count(F.lit(1)).alias("n"), F.expr("min(struct(doc_id, row_id, line))").alias("first")).where("n > 1").drop("n")
+        out = out.join(first, f"{name}_at", "left").withColumn(name, F.expr("coalesce(struct(doc_id, row_id, line) > first, false)")).drop("first")
+    return out.select("row_id", "line", "chars", *conditions)
+
+
+def _gone_lines(docs: DataFrame, min_lines: int, min_chars: int, doc_id: str, text: str) -> DataFrame:
     """row_id, gone (the lines to delete), longest, of rows that have either."""
     # filtered once written, as Spark would make the sequences twice otherwise
     whole = written(line_sequences(docs, doc_id, text), "lines").where("size(own) > 0")
@@ -113,25 +128,26 @@ def _gone_lines(docs: DataFrame, min_doublings: int, min_chars: int, doc_id: str
     firsts = written(firsts.select(F.col("f.row_id").alias("row_id"), (F.col("low") < F.col("high")).alias("copied")), "first-texts")
     own = whole.join(firsts, "row_id", "left")
     lines = own.where("copied IS NOT NULL").select("doc_id", "row_id", F.posexplode("own").alias("line", "s")).select("doc_id", "row_id", "line", "s.chars", "s.h", "s.m")
-    starts = suffix_rounds(lines, min_doublings)
-    run = 2**min_doublings
-    cut = starts.where(f"later_run OR later AND chars >= {min_chars}")
-    cut = cut.select("row_id", F.explode(F.when(F.col("later_run"), F.sequence("line", F.col("line") + (run - 1))).otherwise(F.array("line"))).alias("at"))
+    starts = suffix_rounds(lines)
     prefixes = common_prefixes(starts)
-    longest = prefixes.select("row_id", "lcp").unionByName(prefixes.select(F.col("other_row").alias("row_id"), "lcp"))
+    later = later_copies(prefixes, {"later_run": f"lcp >= {min_lines}", "later": f"lcp >= 1 AND chars >= {min_chars}"})
+    # a short line by itself begins an interval of its own
+    cut = later.where("later_run OR later")
+    cut = cut.select("row_id", F.explode(F.when(F.col("later_run"), F.sequence("line", F.col("line") + (min_lines - 1))).otherwise(F.array("line"))).alias("at"))
+    longest = prefixes.where("lcp > 0").select("row_id", "lcp").unionByName(prefixes.where("lcp > 0").select(F.col("other_row").alias("row_id"), "lcp"))
     every = cut.select("row_id", "at", F.lit(0).alias("lcp")).unionByName(longest.select("row_id", F.lit(None).cast("int").alias("at"), "lcp"))
     by_row = every.groupBy("row_id").agg(F.collect_set("at").alias("gone"), F.max("lcp").alias("lcp"))
     # copies of a whole text: all lines of the later ones, if there are enough of them or each is long enough by itself
-    copies = own.where("coalesce(copied, true)").select("row_id", "copied", F.size("own").alias("n"), F.expr(f"filter(sequence(0, size(own) - 1), i -> size(own) >= {run} OR own[i].chars >= {min_chars})").alias("all")).dropDuplicates(["row_id"])
+    copies = own.where("coalesce(copied, true)").select("row_id", "copied", F.size("own").alias("n"), F.expr(f"filter(sequence(0, size(own) - 1), i -> size(own) >= {min_lines} OR own[i].chars >= {min_chars})").alias("all")).dropDuplicates(["row_id"])
     return by_row.join(copies, "row_id", "full").select(
         "row_id", F.when(F.col("n").isNotNull() & F.col("copied").isNull(), F.col("all")).otherwise(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"), F.coalesce("n", "lcp").alias("longest")
     )
 
 
-def dedup_lines(docs: DataFrame, min_doublings: int = 1, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Delete later copies of repeated runs of lines; the first copy of each, by doc_id and line, stays.
 
-    Deleted is each line in a later copy of a run of at least 2**min_doublings lines, and each line that is by
+    Deleted is each line in a later copy of a run of at least ``min_lines`` lines, and each line that is by
     itself a later copy and has ``min_chars`` characters or more. Lines are compared by 96 bits of hashes; blank ones
     (spaces, tabs, carriage returns) are no part of runs and stay. All columns stay, whatever their names; ``text``
     holds the lines left, and is null or empty where it was. Added: n_lines (not blank), n_removed, longest_run (lines
@@ -140,7 +156,7 @@ def dedup_lines(docs: DataFrame, min_doublings: int = 1, min_chars: int = 40, do
     gives an empty one.
     """
     with recorded() as made:
-        result = _gone_lines(docs, min_doublings, min_chars, doc_id, text)
+        result = _gone_lines(docs, min_lines, min_chars, doc_id, text)
     # what is left to do needs this small table only
     result = written(result, "gone-lines")
     discard(*(t for t in made if t is not result))
