@@ -59,6 +59,18 @@ class Store:
         options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration()).rename(hidden, self._path(f"manifest/v{version:08d}.json"), options)
 
+    def _change(self, shards) -> int:
+        """Commit the newest version as ``shards`` (manifest -> its new parts) changes it. If another writer was first, the
+        change is made once more on that writer's version; what was written stays, so nothing is written again."""
+        while True:
+            before = self.manifest()
+            try:
+                self.commit(before | shards(before))
+                return before["version"] + 1
+            except Exception:
+                if self.version() <= before["version"]:
+                    raise
+
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
         found = self.manifest(version)
@@ -86,17 +98,26 @@ class Store:
         Each arrival's rows stay together, so nothing is shuffled; null is an arrival of its own. Rows are kept as they
         are, equal ones and those with nulls too, under any column names; an empty table adds a version without shards.
         """
-        before = self.manifest()
         schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
-        if before["schema"] not in (None, schema):
-            raise ValueError("the rows don't have the columns of the store")
+
+        def fits(manifest: dict) -> None:
+            if manifest["schema"] not in (None, schema):
+                raise ValueError("the rows don't have the columns of the store")
+
+        fits(self.manifest())
         name = uuid.uuid4().hex
         column, taken = "arrival", {c.lower() for c in rows.columns}
         while column in taken:
             column += "_"
-        rows.withColumn(column, F.xxhash64(F.col(arrival))).write.partitionBy(column).option("compression", "zstd").parquet(f"{self.path}/data/{name}")
-        self.commit(before | {"schema": schema, "shards": before["shards"] + self._listed(name, smallest, fanout)})
-        return before["version"] + 1
+        quoted = "`" + arrival.replace("`", "``") + "`"
+        rows.withColumn(column, F.xxhash64(F.col(quoted))).write.partitionBy(column).option("compression", "zstd").parquet(f"{self.path}/data/{name}")
+        new = self._listed(name, smallest, fanout)
+
+        def added(before: dict) -> dict:
+            fits(before)
+            return {"schema": schema, "shards": before["shards"] + new}
+
+        return self._change(added)
 
     def compact(self, target: int = 128 << 20, smallest: int = 1 << 20, fanout: int = 4) -> int:
         """Merge each tier of ``fanout`` or more shards below the target size into files of about that size.
@@ -137,7 +158,14 @@ class Store:
                     spark.conf.unset(k) if v is None else spark.conf.set(k, v)
             if not merged:
                 return before["version"]
-            self.commit(before | {"shards": [s for s in before["shards"] if s["file"] not in merged] + made})
+
+            def replaced(now: dict) -> dict:
+                """Rows that another writer merged meanwhile must not come twice."""
+                if not merged <= {s["file"] for s in now["shards"]}:
+                    raise RuntimeError("another writer has merged these shards")
+                return {"shards": [s for s in now["shards"] if s["file"] not in merged] + made}  # noqa: B023
+
+            self._change(replaced)
 
     def vacuum(self, grace: float = 7 * 86_400) -> None:
         """Remove all versions but the newest, and the data that only they name.

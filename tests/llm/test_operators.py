@@ -399,6 +399,26 @@ def test_sharding(spark, odd, empty):
     assert none.read().count() == 0 and none.compact() == 1
 
 
+def test_store_with_two_writers(spark, monkeypatch):
+    """A writer that loses the race commits on the winner's version; a column with a dot may tell arrivals."""
+    from depgraph.llm.common import scratch_path
+    from depgraph.llm.shards import Store
+
+    path = scratch_path(spark, "two-writers")
+    first, second = Store(spark, path), Store(spark, path)
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "`a.id` long, `b.c``d` string").coalesce(1)
+    real = first._listed
+
+    def late(*args):
+        monkeypatch.setattr(first, "_listed", real)
+        second.append(rows(3, 4), arrival="b.c`d")
+        return real(*args)
+
+    monkeypatch.setattr(first, "_listed", late)
+    assert first.append(rows(1, 2), arrival="a.id") == 2 and second.version() == 2
+    assert sorted(r[0] for r in second.read().collect()) == [1, 2, 3, 4]
+
+
 def test_quality(spark, empty):
     from depgraph.llm.quality import classify
 
@@ -572,6 +592,17 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert sorted(kept, key=str) == sorted([(1, "a"), (1, "b"), (None, "c"), (None, ""), (None, "")], key=str)
 
 
+def test_stages_side_by_side(spark):
+    """A stage called twice: both results can be read, until a later stage is called on what was written of them."""
+    import corpus_pipeline
+
+    text = "a line that many documents share, long enough to count\nand its second line"
+    docs = lambda *ids: spark.createDataFrame([(i, f"{text}\nown {i}", "en", "s", 9) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    one, two = corpus_pipeline.delete_lines(spark, docs(1, 2), ""), corpus_pipeline.delete_lines(spark, docs(5, 6, 7), "")
+    assert {r.doc_id: r.text for r in one.collect()} == {1: f"{text}\nown 1", 2: "own 2"}
+    assert {r.doc_id for r in two.where("text LIKE 'own%'").collect()} == {6, 7}
+
+
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     """Each stage keeps its columns, and rows with nulls, empty texts and repeated ids, and takes empty tables."""
     import corpus_pipeline as C
