@@ -12,22 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Intermediate tables of the stage that was called last.
-_MADE: list[DataFrame] = []
+#: Intermediate tables that the results of stages still read, by session and stage.
+_MADE: dict[tuple[int, str], list[DataFrame]] = {}
 
 
 def _stage(function):
-    """A stage whose intermediate tables are deleted when the next one is called: each stage's result is written and
-    read again before, so only the written result is needed from then on."""
+    """A stage that deletes the intermediate tables of the stages before it.
+
+    Its documents are the written result of the stage before, so the tables that this result was made of are needed no more. Those of
+    the same stage, of later ones and of other sessions stay, as do tables that ``docs`` itself still reads; so results of one
+    stage on several inputs can be read side by side until a later stage is called.
+    """
+    name = function.__name__
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         from depgraph.llm.common import discard, recorded
 
-        discard(*_MADE)
+        order = [f.__name__ for _, f in STAGES]
+        read = docs.inputFiles()
+        for key in [k for k in _MADE if k[0] == id(spark) and order.index(k[1]) < order.index(name)]:
+            held = _MADE.pop(key)
+            kept = [t for t in held if any(t.stored_at.split("://")[-1] in f for f in read)]
+            discard(*(t for t in held if t not in kept))
+            if kept:
+                _MADE[key] = kept
         with recorded() as made:
             out = function(spark, docs, sf_dir)
-        _MADE[:] = made
+        _MADE.setdefault((id(spark), name), []).extend(made)
         return out
 
     return run_stage
