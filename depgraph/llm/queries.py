@@ -115,7 +115,7 @@ def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depgraph.llm.whitening import whiten
 
-    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def _whitened(n: int, sums: list[int], axes: np.ndarray):
             most = n * int(np.abs(x).max(initial=0)) + max(map(abs, sums), default=0)
             off = _exact(x, most) * n - _exact(np.array(sums, object if most >= 2**62 else np.int64), most)
             off = _exact(off, int(np.abs(off).max(initial=0)) ** 2 * max(x.shape[1], 1))
-            squares = [int(v) for v in (off * off).sum(axis=1)]
+            squares = [int(v) if v < 10**38 else None for v in (off * off).sum(axis=1).tolist()]
             yield pa.RecordBatch.from_pydict(
                 {"x": some.column(0), "weight": some.column(1), "n": some.column(2), "deviation": squares, "whitened": list((x - mean) @ axes)},
                 pa.schema([("x", some.column(0).type), ("weight", pa.int64()), ("n", pa.int64()), ("deviation", _WIDE), ("whitened", pa.list_(pa.float64()))]),
@@ -142,7 +142,7 @@ def whiten(vectors: DataFrame, most: int = 8, weights: str = "counts", vec_id: s
     """vec_id, component (from 1), n, deviation, whitened, explained, identity_error of each row that takes part.
 
     A number c of a vector becomes x = floor(1024 c) + 100000. weights: ``counts`` fits on all rows, ``one`` on each distinct x
-    once; n is the sum of the weights. deviation: the sum over dimensions of (n x - S)**2, exact, as a decimal; an error if it
+    once; n is the sum of the weights. deviation: the sum over dimensions of (n x - S)**2, exact, as a decimal; null if it
     exceeds 38 digits. whitened: x - S / n along the component, by the root of its eigenvalue. explained: the share of
     the trace. identity_error: the largest absolute entry of the whitened vectors' covariance less the identity.
 

@@ -168,6 +168,8 @@ def test_whitening_of_odd_tables(spark):
     # sums beyond 64 bits
     far = whiten(make([(1, [2.0**50, 1.0]), (2, [0.0, 1.0])])).collect()
     assert {int(r.deviation) for r in far} == {(1 << 60) ** 2}
+    far = whiten(make([(1, [2.0**51, 1.0]), (2, [0.0, 1.0])] * 9)).collect()
+    assert {r.deviation for r in far} == {None} and all(abs(abs(r.whitened) - 1) < 1e-9 for r in far)
 
 
 # -- divergence ------------------------------------------------------------------------------------------------------
