@@ -237,7 +237,7 @@ def test_trees_of_any_graph(spark):
         below.setdefault(a, []).append(b)
     halt = [n for n in names if n[0] in "BF"]
     stop = F.substring_index("id", "\\", -1).isin(*halt)
-    for level, stopped in ((None, ()), (3, ()), (None, halt), (2, halt)):
+    for level, stopped in ((None, ()), (3, ()), (None, halt)):
         got = {}
         for r in traverse.tree_of_any(graph, graph.nodes, "uses", level, stop if stopped else None).collect():
             got.setdefault(r.root[4:], []).append((tuple(s["at"] for s in r.path), r.id[4:], r.marker))
