@@ -563,7 +563,7 @@ def php_extract_nodes(spark, sf_dir):
     return build.first_nodes(items(php_files(spark, sf_dir))[0]).select("id", "kind")
 
 
-#: A class for an order, its customer K and its status S: each kind of use and declaration, and what must not count.
+#: A class N for a customer, one K for its nation, and a name S for that too: each kind of use and declaration, and what must not count.
 _ORDER = r"""<b>new Html()</b> <?= 1 ?>
 <?php
 namespace Desk;
@@ -629,24 +629,24 @@ method OrderN::__construct|method OrderN::open|method OrderN::$shown::get|method
 
 def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(_ORDER)
-    for old, new in (("OrderN", F.concat(F.lit("Order"), "o_orderkey")), ("StateN", F.concat(F.lit("State"), "o_orderkey")), ("CustomerK", F.concat(F.lit("Customer"), "o_custkey")), ("STATUS_S", F.concat(F.lit("STATUS_"), "o_orderstatus")), ("BoxS", F.concat(F.lit("Box"), "o_orderstatus")), ("case S", F.concat(F.lit("case "), "o_orderstatus")), ("self::S", F.concat(F.lit("self::"), "o_orderstatus"))):
+    for old, new in (("OrderN", F.concat(F.lit("Order"), "c_custkey")), ("StateN", F.concat(F.lit("State"), "c_custkey")), ("CustomerK", F.concat(F.lit("Customer"), "c_nationkey")), ("STATUS_S", F.concat(F.lit("STATUS_"), F.concat(F.lit("N"), "c_nationkey"))), ("BoxS", F.concat(F.lit("Box"), F.concat(F.lit("N"), "c_nationkey"))), ("case S", F.concat(F.lit("case "), F.concat(F.lit("N"), "c_nationkey"))), ("self::S", F.concat(F.lit("self::"), F.concat(F.lit("N"), "c_nationkey")))):
         text = F.replace(text, F.lit(old), new)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), text.alias("content"))
+    return table(spark, sf_dir, "orders").select(F.col("c_custkey").cast("string").alias("path"), text.alias("content"))
 
 
 def _order_sql(rows: str, columns: str) -> str:
     """The fixed rows for every order; the columns that begin with an own name get the namespace."""
-    filled = lambda x: "replace(replace(replace(" + x + ", 'OrderN', 'Order' || o_orderkey), 'StateN', 'State' || o_orderkey), 'CustomerK', 'Customer' || o_custkey)"
-    status = "regexp_replace({}, '(STATUS_|Box|::)S$', '\\1' || o_orderstatus)"
+    filled = lambda x: "replace(replace(replace(" + x + ", 'OrderN', 'Order' || c_custkey), 'StateN', 'State' || c_custkey), 'CustomerK', 'Customer' || c_nationkey)"
+    status = "regexp_replace({}, '(STATUS_|Box|::)S$', '\\1' || 'N' || c_nationkey)"
     values = ", ".join("(" + ", ".join(f"'{x}'" for x in e.split(" ")) + ")" for line in rows.split("\n") for e in line.split("|"))
     names = columns.split(" ")
     picked = ", ".join(("v.kind" if n == "kind" else filled(status.format(("'Desk\\' || " if n in ("src", "id") else "") + "v." + n))) + f" AS {n}" for n in names)
-    return f"SELECT DISTINCT {picked} FROM orders, (VALUES {values}) v({', '.join(names)})"
+    return f"SELECT DISTINCT {picked} FROM customer, (VALUES {values}) v({', '.join(names)})"
 
 
 @_query(_order_sql(_ORDER_EDGES, "src kind dst"), prelude=None)
 def php_extract_kinds(spark, sf_dir):
-    """Every kind of use and declaration, in types, attributes, strings, heredocs and hooks too, in a file for each order."""
+    """Every kind of use and declaration, in types, attributes, strings, heredocs and hooks too, in a file for each customer."""
     from depgraph.sources.php import items
 
     return build.first_edges(items(_order_files(spark, sf_dir))[1]).select("src", "kind", "dst")
