@@ -1,4 +1,4 @@
-"""Traversal: reachability by a frontier loop, ordered depth-first occurrences, path enumeration."""
+"""Traversal: reachability by a frontier loop, ordered depth-first occurrences, components on cycles, path enumeration, visit counts."""
 
 from __future__ import annotations
 
@@ -160,7 +160,8 @@ def _first_to_level(start: DataFrame, steps: DataFrame, level: int) -> DataFrame
         new = stored(found.groupBy("root", "id").agg(F.min("path").alias("path")), "paths")
         if not has_rows(new.join(now, ["root", "id", "path"], "left_anti")) and not has_rows(now.join(new, ["root", "id"], "left_anti")):
             return new
-        discard(*(t for t in (now,) if t is not start))
+        if now is not start:
+            discard(now)
         now = new
 
 
@@ -255,6 +256,8 @@ _READ, _ROWS, _STEPS = 1_000, 5_000, 200_000
 
 
 def _walks_of(level: int | None):
+    """Walks over the links of one component each, in tasks; ``level`` as in ``tree_of_any``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """batches: links sorted by root. Each root's links go to a database of their own and are walked when the next root begins."""
         root, db = None, None
