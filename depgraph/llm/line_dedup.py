@@ -104,7 +104,8 @@ def later_copies(prefixes: DataFrame, conditions: dict[str, str]) -> DataFrame:
 
     prefixes: as ``common_prefixes`` gives them. conditions: name -> SQL on lcp and chars that holds where a suffix belongs to
     the same interval as the one in front of it. An interval is known by the place at which it begins, the last at which the
-    condition fails: within a range of places a running maximum, and one row a range tells what came before.
+    condition fails: within a range of places a running maximum, and one row a range tells what came before. So all of it
+    happens within the ranges; of an interval that goes on through several of them, the first suffixes of its parts are compared.
     """
     breaks = {f"{n}_at": F.when(~F.expr(c), F.col("place")) for n, c in conditions.items()}
     suffixes = prefixes.select("doc_id", "row_id", "line", "chars", "part", "place", *(b.alias(n) for n, b in breaks.items()))
@@ -112,11 +113,17 @@ def later_copies(prefixes: DataFrame, conditions: dict[str, str]) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     ends = ends.select("part", *(F.max(n).over(earlier).alias(f"{n}_before") for n in breaks))
     past = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    out = suffixes.join(F.broadcast(ends), "part").select("doc_id", "row_id", "line", "chars", *(F.coalesce(F.max(n).over(past), F.col(f"{n}_before")).alias(n) for n in breaks))
+    out = suffixes.join(F.broadcast(ends), "part").select("doc_id", "row_id", "line", "chars", "part", *(F.coalesce(F.max(n).over(past), F.col(f"{n}_before")).alias(n) for n in breaks))
+    place = "struct(doc_id, row_id, line)"
+    # the same ranges: nothing is shuffled for these
+    out = out.withColumns({f"{n}_first": F.expr(f"min({place}) OVER (PARTITION BY part, {n}_at)") for n in conditions})
     out = written(out, "intervals")
     for name in conditions:
-        first = out.groupBy(f"{name}_at").agg(F.count(F.lit(1)).alias("n"), F.expr("min(struct(doc_id, row_id, line))").alias("first")).where("n > 1").drop("n")
-        out = out.join(first, f"{name}_at", "left").withColumn(name, F.expr("coalesce(struct(doc_id, row_id, line) > first, false)")).drop("first")
+        at = f"{name}_at"
+        # at most one for each range
+        through = F.broadcast(ends.select(F.col(f"{at}_before").alias(at)).where(f"{at} IS NOT NULL").distinct())
+        whole = F.broadcast(out.join(through, at).groupBy(at).agg(F.min(f"{name}_first").alias("first")))
+        out = out.join(whole, at, "left").withColumn(name, F.expr(f"{place} > least(first, {name}_first)")).drop("first")
     return out.select("row_id", "line", "chars", *conditions)
 
 
