@@ -58,7 +58,7 @@ _CUT = np.uint64(64 - BITS)
 SETS = "doc_id long, set_id long, n_shingles long, gram long, times long"
 
 
-def _identified(n: int, key: bytes):
+def _identified(n: int, key: bytes = b""):
     """A row for each text, one for each n-gram that is frequent within a slice, and one (without either) for the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def _ranks(times: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(times, 1)))).astype(np.uint8)
 
 
-def _alone(n: int, key: bytes):
+def _alone(n: int, key: bytes = b""):
     """set_id and text of each set of a slice, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
