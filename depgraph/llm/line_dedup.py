@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from depgraph.llm.common import discard, has_rows, recorded, unused, written
 
-_LINES = """filter(transform(split({text}, '\\n', -1), (x, i) -> named_struct('at', i, 'line', x)),
-  s -> translate(s.line, ' \\t\\r', '') <> '')"""
+#: A line is blank if nothing is left of it without these characters in front.
+_NOT_BLANK = "trim(LEADING ' \\t\\r' FROM {line}) <> ''"
+
+
 def line_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_id, t and u (which tell texts apart), own: characters and two hashes of each line that is not blank."""
-    own = F.transform(F.expr(_LINES.format(text=f"`{text}`")), lambda s: F.struct(F.length(s["line"]).alias("chars"), F.xxhash64(s["line"]).alias("h"), F.hash(s["line"]).alias("m")))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(" \t\r")) != "")
+    own = F.transform(lines, lambda x: F.struct(F.length(x).alias("chars"), F.xxhash64(x).alias("h"), F.hash(x).alias("m")))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_id"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"), own.alias("own"))
 
 
@@ -170,7 +173,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, doc_id
     key, gone, long, parts, at = unused(docs, "key", "gone", "longest", "parts", "at")
     result = result.toDF(key, gone, long)
     out = docs.withColumn(key, F.xxhash64(doc_id, text)).join(result, key, "left")
-    out = out.withColumns({parts: F.split(text, "\n", -1), at: F.expr(f"transform({_LINES.format(text=f'`{text}`')}, s -> s.at)")})
+    out = out.withColumn(parts, F.split(text, "\n", -1))
+    out = out.withColumn(at, F.expr(f"filter(sequence(0, size({parts}) - 1), i -> {_NOT_BLANK.format(line=f'{parts}[i]')})"))
     left = F.expr(f"transform(array_except(sequence(0, size({parts}) - 1), transform({gone}, i -> {at}[i])), i -> {parts}[i])")
     return out.withColumns(
         {
