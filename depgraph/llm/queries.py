@@ -108,7 +108,8 @@ def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depgraph.llm.private_data import KINDS, find_private, listed
 
     found = find_private(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # in SQL: a second parameter of a Python lambda would be given the place of the element
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

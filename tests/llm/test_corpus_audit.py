@@ -1,5 +1,6 @@
 """Personal data, whitening, divergence, and the hashes that operators share, against brute force."""
 
+import hashlib
 import random
 import re
 from fractions import Fraction
@@ -123,6 +124,22 @@ def test_private_data(spark):
     assert len(one) == 1
 
 
+def test_private_data_query(spark, tmp_path):
+    from depgraph.llm.private_data import KINDS
+    from depgraph.llm.queries import op11_private_data
+
+    texts = private_corpus() + ["a@b.c d@e.f", "1.2.3.4 and 5.6.7.8 and a@b.c", "+1 555 010 9999", "4111 1111 1111 1111 +1 (555) 010-9999", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        base = plain_spans(t or "")
+        listed = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
+        want.append((i, *(sum(k == own for _, own, _ in base) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest()))
+    got = op11_private_data(spark, str(tmp_path)).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256")
+    assert got.dtypes[1:5] == [(f"n_{k}", "bigint") for k in KINDS]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 # -- whitening -------------------------------------------------------------------------------------------------------
 
 
