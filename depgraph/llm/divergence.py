@@ -4,9 +4,9 @@
    source and the numbers and counts of its terms. Texts are read once.
 2. Iceberg refinement: a term is a string of bytes and an end mark. Level by level the first 4, 8, 16, ... bytes of the terms are
    counted by the distinct documents of a language that hold a term so beginning. A prefix with too few documents is
-   discarded with all that begins with it; a prefix with its end mark is a complete term, and is kept. Levels end
-   when no unfinished prefix is left. Which prefixes go on is sent to the tasks as a bitmap of a fixed size; where two prefixes
-   share a bit, one that should have gone lives on for a level and is then counted exactly.
+   discarded with all that begins with it; a prefix with its end mark is a complete term, and is kept and not looked at again.
+   Levels end when no unfinished prefix is left. Which prefixes go on is sent to the tasks as a bitmap of a fixed size; where two
+   unfinished prefixes share a bit, one that should have gone lives on for a level and is then counted exactly.
 3. Occurrences of kept terms are summed by source, and compared in integers.
 """
 
@@ -155,14 +155,17 @@ def _grouped(major: np.ndarray, minor: np.ndarray, minors: int, weights: np.ndar
     return keys // minors, keys % minors, sums
 
 
-def _narrowed(s: _Slice, length: int, bitmap: np.ndarray) -> None:
-    """Leave the pairs whose prefix of that length has its bit set for their language."""
+def _narrowed(s: _Slice, length: int, bitmap: np.ndarray, open_only: bool = False) -> None:
+    """Leave the pairs whose prefix of that length has its bit set for their language; ``open_only``: and has no end mark."""
     names, at = s.prefixes(length)
     langs, which, _ = _grouped(s.lang, at, len(names))
     slots = _slots(s.langs, langs, names, which, length)
     live = np.zeros(len(s.langs) * max(len(names), 1), bool)
     live[langs * max(len(names), 1) + which] = (bitmap[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-    s.keep(live[s.lang * max(len(names), 1) + at])
+    on = live[s.lang * max(len(names), 1) + at]
+    if open_only and len(names):
+        on &= ~pc.ends_with(names, END).to_numpy(zero_copy_only=False)[at]
+    s.keep(on)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
@@ -176,7 +179,8 @@ def _level(length: int, before: int | None, sent):
 
     def counted(s: _Slice) -> pa.Table:
         if before is not None:
-            _narrowed(s, before, sent.value)
+            # a complete term was counted at its level, and may share a bit with a prefix that goes on
+            _narrowed(s, before, sent.value, open_only=True)
         names, at = s.prefixes(length)
         # a document's terms stand in order, and so do their prefixes
         new = np.r_[True, (at[1:] != at[:-1]) | (s.doc[1:] != s.doc[:-1])] if len(at) else np.empty(0, bool)

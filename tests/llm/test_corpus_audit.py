@@ -1,12 +1,14 @@
 """Personal data, whitening, divergence, and the hashes that operators share, against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -263,6 +265,25 @@ def test_prefix_refinement_discards(spark, monkeypatch):
     assert {r.term for r in D.kept_terms(slices, 20)[0].collect()} == {"common", "commons"}
 
 
+def test_complete_terms_that_share_a_bit_are_kept_once(spark, monkeypatch):
+    from depgraph.llm import divergence as D
+
+    # of terms complete at the first level and prefixes that go on, two with the same bit
+    letters = "abcdefghijklmnopqrst"
+    short, long = ([x + "".join(y) for x in letters for y in itertools.product(letters, repeat=n)] for n in (2, 3))
+    slots = lambda xs, end: D._slots(["en"], np.zeros(len(xs), np.int64), pa.array([x.encode() + end for x in xs], pa.binary()), np.arange(len(xs)), 4).tolist()
+    by_slot = dict(zip(slots(long, b""), long, strict=True))
+    whole, begin = next((x, by_slot[s]) for x, s in zip(short, slots(short, D.END), strict=True) if s in by_slot)
+    rows = [(f"{whole} {begin}ning other {whole}" if i % 3 else f"{begin}ning {whole} z", "en", f"s{i % 4}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
+    want = brute_audit(rows, 10, 10)
+    slices = docs.mapInArrow(D._sliced, D.SLICED)
+    assert sorted(r.term for r in D.kept_terms(slices, 10)[0].collect()) == sorted([whole, f"{begin}ning", "other"])
+    assert sorted(map(tuple, D.audit(docs).collect())) == want
+    monkeypatch.setattr(D, "_bitmap", lambda found, length: np.full((1 << D.BITS) // 64, -1, np.int64).view(np.uint64))
+    assert sorted(map(tuple, D.audit(docs).collect())) == want
+
+
 # -- what operators share --------------------------------------------------------------------------------------------
 
 
