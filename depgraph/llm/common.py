@@ -24,14 +24,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int | None = None) -> None:
     """Send texts to Python workers in Arrow batches of at most so many rows, unless the session asks for fewer.
 
-    Spark's own 10,000 rows of long texts take much of a worker's memory, and each task holds several batches.
+    Spark's own 10,000 rows of long texts take much of a worker's memory, and each task holds several batches. ``size``: a batch
+    ends with the row that reaches so many bytes, for tables of few large rows; executors build batches outside their heap.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    # with another unit it is the session's own
+    if size and (found := spark.conf.get(key).lower().removesuffix("b")).isdigit() and not 0 < int(found) <= size:
+        spark.conf.set(key, str(size))
 
 
 def give_back() -> None:

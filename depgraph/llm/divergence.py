@@ -25,9 +25,9 @@ from depgraph.llm.common import Words, by_bytes, discard, give_back, has_rows, j
 
 #: Bytes between terms: all of ASCII but letters.
 NOT_LETTERS = bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-#: Bytes of texts in a slice, bytes of the first level's prefixes, bits of the map of prefixes that go on, and counts that a
-#: task adds up before it hands them on.
-SLICE, FIRST, BITS, ADDED = 2 << 20, 4, 25, 500_000
+#: Bytes of texts in a slice, bytes of the first level's prefixes, bits of the map of prefixes that go on, counts that a task
+#: adds up before it hands them on, and counters that it holds at once for pairs of which most don't occur.
+SLICE, FIRST, BITS, ADDED, DENSE = 2 << 20, 4, 25, 500_000, 1 << 20
 #: No byte of a text in UTF-8.
 END = b"\xff"
 #: Sources and terms that one task compares at once.
@@ -125,19 +125,28 @@ def _slots(langs: list[str], of: np.ndarray, prefixes: pa.Array, which: np.ndarr
     return (joined(start[of], h[which]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _added(tables: Iterator[pa.Table], keys: list[str], sum_: str) -> Iterator[pa.RecordBatch]:
-    """The sums of what several slices of a task have counted."""
-    held, size = [], 0
-    for t in tables:
-        held.append(t)
-        size += t.num_rows
+def _added(parts: Iterator[tuple[list[tuple], np.ndarray, pa.Array, np.ndarray]], fields: list[str], key: str, sum_: str) -> Iterator[pa.RecordBatch]:
+    """The sums of what several slices of a task have counted; of each its groups (strings, one for each field), and the number of
+    the group, the key and the count of each row. Groups are numbered anew within the task, and named where rows are handed on."""
+    held, size, numbers = [], 0, {}
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        found = pa.concat_tables(held).group_by(["group", key]).aggregate([(sum_, "sum")]).rename_columns(["group", key, sum_])
+        # what slices share is small by now; the rest won't shrink further here
+        held.clear()
+        names = [pa.array([g[i] for g in numbers], pa.string()) for i in range(len(fields))]
+        for some in found.to_batches(max_chunksize=50_000):
+            yield pa.RecordBatch.from_arrays([*(n.take(some.column("group")) for n in names), some.column(key), some.column(sum_)], names=[*fields, key, sum_])
+
+    for groups, which, keys, sums in parts:
+        own = np.array([numbers.setdefault(g, len(numbers)) for g in groups], np.int32)
+        held.append(pa.table({"group": own[which], key: keys, sum_: sums}))
+        size += len(sums)
         if size >= ADDED:
-            held = [pa.concat_tables(held).group_by(keys).aggregate([(sum_, "sum")]).rename_columns([*keys, sum_])]
-            # what slices share is small by now; the rest won't shrink further here
-            yield from held.pop().to_batches(max_chunksize=50_000)
+            yield from summed()
             size = 0
     if held:
-        yield from pa.concat_tables(held).group_by(keys).aggregate([(sum_, "sum")]).rename_columns([*keys, sum_]).to_batches(max_chunksize=50_000)
+        yield from summed()
 
 
 def _grouped(major: np.ndarray, minor: np.ndarray, minors: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,13 +154,16 @@ def _grouped(major: np.ndarray, minor: np.ndarray, minors: int, weights: np.ndar
     minors = max(minors, 1)
     keys = major * minors + minor
     most = (int(major.max()) + 1) * minors if len(major) else 0
-    if most <= 1 << 24:
+    if most <= DENSE:
         sums = np.bincount(keys, weights, most).astype(np.int64)
         keys = np.flatnonzero(sums)
         sums = sums[keys]
     else:
-        keys, back = np.unique(keys, return_inverse=True)
-        sums = np.bincount(back, weights, len(keys)).astype(np.int64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sums = np.diff(np.r_[first, len(keys)]) if weights is None else np.add.reduceat(weights[order], first)
+        keys = keys[first]
     return keys // minors, keys % minors, sums
 
 
@@ -177,7 +189,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
 def _level(length: int, before: int | None, sent):
     """lang, prefix, docs of a task's slices: documents by prefixes of ``length`` bytes, of terms whose shorter prefix goes on."""
 
-    def counted(s: _Slice) -> pa.Table:
+    def counted(s: _Slice) -> tuple[list[tuple], np.ndarray, pa.Array, np.ndarray]:
         if before is not None:
             # a complete term was counted at its level, and may share a bit with a prefix that goes on
             _narrowed(s, before, sent.value, open_only=True)
@@ -185,10 +197,10 @@ def _level(length: int, before: int | None, sent):
         # a document's terms stand in order, and so do their prefixes
         new = np.r_[True, (at[1:] != at[:-1]) | (s.doc[1:] != s.doc[:-1])] if len(at) else np.empty(0, bool)
         langs, which, docs = _grouped(s.lang[new], at[new], len(names))
-        return pa.table({"lang": pa.array(s.langs, pa.string()).take(pa.array(langs)), "prefix": names.take(pa.array(which)), "docs": docs})
+        return [(x,) for x in s.langs], langs, names.take(pa.array(which)), docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _added(map(counted, _slices(batches)), ["lang", "prefix"], "docs")
+        yield from _added(map(counted, _slices(batches)), ["lang"], "prefix", "docs")
         give_back()
 
     return run
@@ -228,7 +240,7 @@ def kept_terms(slices: DataFrame, least: int) -> tuple[DataFrame, int]:
 def _counts(length: int, sent):
     """lang, source, term, n of a task's slices: occurrences of the terms whose bit is set."""
 
-    def counted(s: _Slice) -> pa.Table:
+    def counted(s: _Slice) -> tuple[list[tuple], np.ndarray, pa.Array, np.ndarray]:
         _narrowed(s, length, sent.value)
         names, at = s.prefixes(length)
         # a cut term is none that is kept, and shares a bit with one by chance
@@ -237,12 +249,10 @@ def _counts(length: int, sent):
         groups, which, n = _grouped(s.group[on], at[on], len(names), s.count[on])
         terms = pc.binary_slice(names.filter(pa.array(whole)), 0, -1).cast(pa.string())
         number = np.cumsum(whole) - 1
-        own = pa.array(groups)
-        lang, source = (pa.array([g[i] for g in s.groups], pa.string()).take(own) for i in (0, 1))
-        return pa.table({"lang": lang, "source": source, "term": terms.take(pa.array(number[which])), "n": n})
+        return s.groups, groups, terms.take(pa.array(number[which])), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _added(map(counted, _slices(batches)), ["lang", "source", "term"], "n")
+        yield from _added(map(counted, _slices(batches)), ["lang", "source"], "term", "n")
         give_back()
 
     return run
@@ -295,7 +305,7 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, text: str = "text", l
     no terms, a source alone in its language no pairs. Other columns are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=2 * SLICE)
     own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
     slices = written(own.mapInArrow(_sliced, SLICED), "slices")
     groups = written(slices.select(F.explode("groups").alias("g")).select("g.lang", "g.source").distinct(), "groups")

@@ -284,6 +284,35 @@ def test_complete_terms_that_share_a_bit_are_kept_once(spark, monkeypatch):
     assert sorted(map(tuple, D.audit(docs).collect())) == want
 
 
+def test_slices_are_sent_in_small_batches(spark):
+    """A batch of all of a task's slices would be held outside the executor's heap, with as many copies as its buffers grew."""
+    from depgraph.llm import divergence as D
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    D.audit(spark.createDataFrame([("one two", "en", "s")], "text string, lang string, source string"))
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    large = spark.range(0, 12, 1, 1).select(F.expr(f"repeat('x', {D.SLICE})").alias("slice"))
+    assert max(r.n for r in large.mapInArrow(rows, "n long").collect()) <= 2
+
+
+def test_counts_of_pairs():
+    from depgraph.llm import divergence as D
+
+    rng = np.random.default_rng(4)
+    for minors in (7, D.DENSE):
+        major, minor, weights = rng.integers(0, 5, 3_000), rng.integers(0, min(minors, 900), 3_000), rng.integers(1, 9, 3_000)
+        for w in (None, weights):
+            want = {}
+            for a, b, n in zip(major.tolist(), minor.tolist(), (weights * 0 + 1 if w is None else w).tolist(), strict=True):
+                want[a, b] = want.get((a, b), 0) + n
+            got = D._grouped(major, minor, minors, w)
+            assert list(zip(*(x.tolist() for x in got), strict=True)) == [(a, b, n) for (a, b), n in sorted(want.items())]
+
+
 # -- what operators share --------------------------------------------------------------------------------------------
 
 
