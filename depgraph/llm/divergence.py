@@ -27,7 +27,7 @@ from depgraph.llm.common import Words, by_bytes, discard, give_back, has_rows, j
 NOT_LETTERS = bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 #: Bytes of texts in a slice, bytes of the first level's prefixes, bits of the map of prefixes that go on, counts that a task
 #: adds up before it hands them on, and counters that it holds at once for pairs of which most don't occur.
-SLICE, FIRST, BITS, ADDED, DENSE = 2 << 20, 4, 25, 500_000, 1 << 20
+SLICE, FIRST, BITS, ADDED, DENSE = 2 << 20, 4, 25, 1_000_000, 1 << 20
 #: No byte of a text in UTF-8.
 END = b"\xff"
 #: Sources and terms that one task compares at once.
@@ -130,10 +130,13 @@ def _added(parts: Iterator[tuple[list[tuple], np.ndarray, pa.Array, np.ndarray]]
     the group, the key and the count of each row. Groups are numbered anew within the task, and named where rows are handed on."""
     held, size, numbers = [], 0, {}
 
-    def summed() -> Iterator[pa.RecordBatch]:
+    def summed(more: bool = False) -> Iterator[pa.RecordBatch]:
         found = pa.concat_tables(held).group_by(["group", key]).aggregate([(sum_, "sum")]).rename_columns(["group", key, sum_])
-        # what slices share is small by now; the rest won't shrink further here
         held.clear()
+        if more and len(found) <= ADDED * 2 // 3:
+            # slices share much, so the next ones may be added to these
+            held.append(found)
+            return
         names = [pa.array([g[i] for g in numbers], pa.string()) for i in range(len(fields))]
         for some in found.to_batches(max_chunksize=50_000):
             yield pa.RecordBatch.from_arrays([*(n.take(some.column("group")) for n in names), some.column(key), some.column(sum_)], names=[*fields, key, sum_])
@@ -143,8 +146,8 @@ def _added(parts: Iterator[tuple[list[tuple], np.ndarray, pa.Array, np.ndarray]]
         held.append(pa.table({"group": own[which], key: keys, sum_: sums}))
         size += len(sums)
         if size >= ADDED:
-            yield from summed()
-            size = 0
+            yield from summed(more=True)
+            size = sum(map(len, held))
     if held:
         yield from summed()
 
@@ -324,7 +327,7 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10, text: str = "text", l
     named = written(named.withColumn("block", F.expr("pmod(xxhash64(source), blocks)")), "sources")
     shares = counts.join(named, ["lang", "source"]).withColumn("p", F.expr(_share("n", "total", "terms")))
     shares = written(shares.select("lang", "source", "term", "n", "p", "whole", "terms", "block", "blocks"), "shares")
-    terms = shares.join(shares.groupBy("lang", "term").agg(F.sum("n").alias("all")), ["lang", "term"]).withColumn("q", F.expr(_share("all", "whole", "terms")))
+    terms = shares.withColumn("all", F.expr("sum(n) OVER (PARTITION BY lang, term)")).withColumn("q", F.expr(_share("all", "whole", "terms")))
     best = ranked(terms.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_DISTANCE).alias("value"))).where(F.col("rank") <= top)
     return best.unionByName(ranked(_pairs(named, shares)))
 
