@@ -366,3 +366,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["Nope", str(tmp_path)], spark) == cli.FAILURE
     assert cli.main(["-L", "x", "A"], spark) == cli.INVALID
     assert cli.main(["--type", "debug", "--debug-depth", "1", "--debug-seed", "1", "Nope"], spark) == cli.FAILURE
+
+
+def test_tokens_stay_in_their_tasks(spark):
+    """Only items are written, and tokens are neither shuffled nor sorted."""
+    from depgraph.tables import recorded
+
+    files = spark.createDataFrame([("a.php", SERVICE), ("b.php", LISTS)], "path string, content string")
+    with recorded() as made:
+        nodes, edges = items(files)
+    assert max(t.count() for t in made) <= nodes.count() + edges.count()
+    # where seq isn't asked for, paths aren't joined
+    assert "Join" not in nodes.select("id").distinct()._jdf.queryExecution().optimizedPlan().toString()
\ No newline at end of file
