@@ -377,4 +377,17 @@ def test_tokens_stay_in_their_tasks(spark):
         nodes, edges = items(files)
     assert max(t.count() for t in made) <= nodes.count() + edges.count()
     # where seq isn't asked for, paths aren't joined
-    assert "Join" not in nodes.select("id").distinct()._jdf.queryExecution().optimizedPlan().toString()
\ No newline at end of file
+    assert "Join" not in nodes.select("id").distinct()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nodes_alone(spark):
+    """Declarations come without edges, from one reading."""
+    from depgraph.sources.php import declared_items
+    from depgraph.tables import recorded
+
+    files = spark.createDataFrame([("a.php", SERVICE), ("b.php", LISTS), ("n.php", None)], "path string, content string")
+    with recorded() as made:
+        nodes = declared_items(files)
+    assert all(t.columns == ["path", "file_at"] for t in made)
+    key = lambda df: sorted((r.id, r.kind, r.file.path, r.file.line) for r in df.collect())
+    assert key(nodes) == key(items(files)[0])
