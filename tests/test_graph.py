@@ -377,9 +377,10 @@ def test_pairs_lie_together(spark):
     graph = build.assemble(spark.createDataFrame([(x, "class", True, None, 0) for x in "AB"], NODES), edges)
     got = {(r.src, r.kind, r.dst, r.reverse, r.seq) for r in graph.edges.collect()}
     assert got == {("A", "instantiation", "B", False, 6), ("A", "instanceof", "B", False, 0), ("B", "attribute", "B", False, 4), ("B", "used-by", "A", True, 1), ("B", "used-by", "B", True, 5)}
-    for check in (validate.one_way, validate.without_inverse):
+    for check in (validate.one_way, validate.without_inverse, validate.asymmetric):
         assert check(graph).count() == 0
         assert check(graph)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     # on graphs that don't keep pairs, edges whose way back is missing or of another kind are found
     cut = Graph(graph.nodes, graph.edges.where("NOT (reverse AND src = 'B' AND dst = 'A')"))
     assert {(r.src, r.kind) for r in validate.one_way(cut).collect()} == {("A", "instantiation"), ("A", "instanceof")} == {(r.src, r.kind) for r in validate.without_inverse(cut).collect()}
+    assert {(r.src, r.dst) for r in validate.asymmetric(cut).collect()} == {("A", "B")}
