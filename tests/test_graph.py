@@ -1,5 +1,6 @@
 """Hand-built graphs with known results."""
 
+import os
 import random
 
 import pyarrow as pa
@@ -384,3 +385,49 @@ def test_pairs_lie_together(spark):
     cut = Graph(graph.nodes, graph.edges.where("NOT (reverse AND src = 'B' AND dst = 'A')"))
     assert {(r.src, r.kind) for r in validate.one_way(cut).collect()} == {("A", "instantiation"), ("A", "instanceof")} == {(r.src, r.kind) for r in validate.without_inverse(cut).collect()}
     assert {(r.src, r.dst) for r in validate.asymmetric(cut).collect()} == {("A", "B")}
+
+
+def test_loops_leave_their_results_only(spark):
+    """Links, and what is known of nodes, are discarded once nothing reads them."""
+    from depgraph.tables import recorded
+
+    graph = made(spark, ["AB", "BC", "AC"])
+    for run in (lambda: traverse.reach(graph, graph.nodes, "uses"), lambda: traverse.visit_counts(graph), lambda: traverse.tree_of_any(graph, graph.nodes)):
+        with recorded() as tables:
+            found = run()
+        left = {t.stored_at.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in tables if os.path.exists(t.stored_at.removeprefix("file://"))}
+        assert not left & {"ways", "known", "counted", "links"}
+        assert found.count()
+
+
+def test_merge_leaves_its_result_only(spark):
+    from depgraph.tables import recorded
+
+    with recorded() as tables:
+        graph = build.merge(made(spark, ["AB"]), made(spark, ["CD"]))
+    assert sum(os.path.exists(t.stored_at.removeprefix("file://")) for t in tables) == 2
+    assert graph.nodes.count() == 4 and graph.edges.count() == 4
+
+
+def test_edge_without_both_ends_dangles_once(spark):
+    from depgraph.model import Graph
+
+    graph = made(spark, ["AB", "BC"])
+    assert validate.dangling(graph).count() == 0
+    assert validate.dangling(Graph(graph.nodes.where("id = 'App\\\\C'"), graph.edges)).count() == 4
+    assert validate.dangling(Graph(graph.nodes.where("id <> 'App\\\\C'"), graph.edges)).count() == 2
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from depgraph.tables import settled
+
+    files = lambda: {f for f in (x.getName() for x in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))) if f.startswith("shuffle_")}
+    before = files()
+    assert settled(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "swept").count() == 7
+    end = time.time() + 10
+    while (more := {f for f in files() - before if f.endswith(".data")}) and time.time() < end:
+        time.sleep(0.5)
+    # counting the table makes one of its own
+    assert len(more) <= 1
